@@ -265,8 +265,11 @@ def _(spark, sf):
 @query(
     "c12_stratified_folds",
     sql(
-        "SELECT customerID, Churn_Binary, CAST((class_rank - 1 + CASE WHEN Churn_Binary = 1 THEN "
-        "(SELECT n_c FROM class_sizes WHERE y = 0) ELSE 0 END) % 5 AS INTEGER) AS fold FROM class_ranked"
+        """, starts AS (SELECT y, n_c, coalesce(CAST(sum(n_c) OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS s FROM class_sizes),
+        dealt AS (SELECT y, (s + i) % 5 AS fold FROM starts, generate_series(0, (SELECT max(n_c) FROM class_sizes) - 1) AS g(i) WHERE i < n_c),
+        spans AS (SELECT y, fold, sum(count(*)) OVER (PARTITION BY y ORDER BY fold) AS hi, count(*) AS n FROM dealt GROUP BY y, fold)
+        SELECT customerID, Churn_Binary, CAST(fold AS INTEGER) AS fold FROM class_ranked
+        JOIN spans ON y = Churn_Binary AND class_rank <= hi AND class_rank > hi - n"""
     ),
 )
 def _(spark, sf):

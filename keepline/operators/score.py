@@ -48,6 +48,5 @@ def linear_score(df: DataFrame, coefficients: DataFrame, out: str = "churn_prob"
 
 def score(model, df: DataFrame, out: str = "churn_prob") -> DataFrame:
     """P(positive) from a fitted Spark ML classifier or pipeline, computed once per row."""
-    scored = model.transform(df)
-    made = [c for c in ("rawPrediction", "probability", "prediction") if c not in df.columns]
-    return scored.withColumn(out, vector_to_array("probability")[1]).drop(*made)
+    scored = model.transform(df).withColumn(out, vector_to_array("probability")[1])
+    return scored.select(*[F.col(f"`{c}`") for c in df.columns if c != out], out)

@@ -1,15 +1,23 @@
-"""Exact, reproducible stratified splits and folds."""
+"""Exact, reproducible stratified splits and folds.
+
+Rows of a class are put in hash order of their key and cut at exact ranks. The cut points are
+found with narrow aggregates: row counts per hash range say which range holds the wanted rank,
+and only that range is looked at closely. What comes out is a handful of (hash, key) constants,
+so assigning the sides is a plain column expression: no wide row is ever shuffled.
+"""
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepline.operators.ranks import running_totals
-
 MAX_CLASSES = 1000
+MAX_RANGES = 200_000
+HASH_BITS = 32
 
 
 def key_hash(key: Column, seed: int) -> Column:
@@ -34,22 +42,60 @@ def per_class(label: str, values: dict) -> Column:
     return out
 
 
-def hash_rank(
-    df: DataFrame, key: str, label: str, seed: int, out: str = "class_rank", bits: int = 12
-) -> DataFrame:
-    """1-based rank of each row within its class, in hash order of the key.
+def rank_keys(
+    df: DataFrame, key: str, label: str, seed: int, ranks: dict, bits: int = 14
+) -> dict[tuple, tuple[int, object]]:
+    """The (hash, key) found at each wanted 1-based rank of each class.
 
-    ``2**bits`` hash ranges per class are ranked independently; raise ``bits`` with the data.
+    ``2**bits`` hash ranges per class; a range of the data is all one task ever sorts, so raise
+    ``bits`` with the data. Rows of equal key count together and stay together.
     """
-    hashed = df.withColumns(
-        {
-            "_h": key_hash(F.col(key), seed),
-            "_one": F.lit(1).cast("long"),
-        }
-    ).withColumn("_range", F.shiftright("_h", 32 - bits))
-    return running_totals(hashed, "_range", ["_h", key], {out: "_one"}, within=[label]).drop(
-        "_h", "_one", "_range"
+    bits = min(bits, int(math.log2(MAX_RANGES / max(len(ranks), 1))))
+    rows = df.select(F.col(label).alias("y"), F.col(key).alias("k")).withColumn(
+        "h", key_hash(F.col("k"), seed)
     )
+    in_range = F.shiftright("h", HASH_BITS - bits)
+    counts = rows.groupBy("y", in_range.alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()
+    sizes: dict = {}
+    for c in sorted(counts, key=lambda c: c["r"]):
+        sizes.setdefault(c["y"], []).append((c["r"], c["n"]))
+    wanted: dict[tuple, list[tuple[int, int]]] = {}  # (class, range) -> [(rank, rank in range)]
+    for y, positions in ranks.items():
+        ends = list(accumulate(n for _, n in sizes.get(y, [])))
+        for rank in positions:
+            i = bisect_left(ends, rank)
+            before = ends[i - 1] if i else 0
+            wanted.setdefault((y, sizes[y][i][0]), []).append((rank, rank - before))
+    if not wanted:
+        return {}
+    near = F.lit(False)
+    for y, r in wanted:
+        near = near | (F.col("y").eqNullSafe(F.lit(y)) & (F.col("r") == r))
+    up_to = Window.partitionBy("y", "r").orderBy("h", "k")
+    placed = (
+        rows.withColumn("r", in_range)
+        .where(near)
+        .groupBy("y", "r", "h", "k")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("end", F.sum("n").over(up_to.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+    hit = F.lit(False)
+    for (y, r), places in wanted.items():
+        for _, place in places:
+            covers = (F.col("end") >= place) & (F.col("end") - F.col("n") < place)
+            hit = hit | (F.col("y").eqNullSafe(F.lit(y)) & (F.col("r") == r) & covers)
+    out = {}
+    for row in placed.where(hit).collect():
+        for rank, place in wanted[(row["y"], row["r"])]:
+            if row["end"] - row["n"] < place <= row["end"]:
+                out[(row["y"], rank)] = (row["h"], row["k"])
+    return out
+
+
+def _up_to(key: str, seed: int, point: tuple[int, object]) -> Column:
+    """Whether a row comes at or before the point in hash order."""
+    h, k = key_hash(F.col(key), seed), point
+    return (h < k[0]) | ((h == k[0]) & (F.col(key) <= F.lit(k[1])))
 
 
 def test_quotas(classes: list[tuple], test_size: float) -> dict:
@@ -65,32 +111,44 @@ def test_quotas(classes: list[tuple], test_size: float) -> dict:
 
 
 def stratified_split(
-    df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42, bits: int = 12
+    df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42, bits: int = 14
 ) -> DataFrame:
     """Adds ``split`` = 'train' | 'test' with exact class quotas.
 
     Membership depends on seed and key only, not on partitioning or row order.
     """
     quotas = test_quotas(classes_of(df, label), test_size)
-    ranked = hash_rank(df, key, label, seed, "_rank", bits)
-    is_test = F.col("_rank") <= per_class(label, quotas)
-    return ranked.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train"))).drop("_rank")
+    points = rank_keys(df, key, label, seed, {y: [q] for y, q in quotas.items() if q}, bits)
+    is_test = F.lit(False)
+    for (y, _), point in points.items():
+        is_test = is_test | (F.col(label).eqNullSafe(F.lit(y)) & _up_to(key, seed, point))
+    return df.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
+
+
+def fold_sizes(classes: list[tuple], k: int) -> dict[object, list[int]]:
+    """Rows per class and fold: classes are dealt in turn, each going on where the last ended."""
+    out, seen = {}, 0
+    for y, n in classes:
+        out[y] = [(n - (f - seen) % k + k - 1) // k if (f - seen) % k < n else 0 for f in range(k)]
+        seen += n
+    return out
 
 
 def stratified_folds(
-    df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42, out: str = "fold", bits: int = 12
+    df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42, out: str = "fold", bits: int = 14
 ) -> DataFrame:
-    """Adds fold numbers 0..k-1; sizes differ by at most one, per class and overall.
-
-    Classes are dealt one after the other, each going on where the previous one ended.
-    """
-    starts, seen = {}, 0
-    for value, n in classes_of(df, label):
-        starts[value] = seen
-        seen += n
-    ranked = hash_rank(df, key, label, seed, "_rank", bits)
-    position = F.col("_rank") - 1 + per_class(label, starts)
-    return ranked.withColumn(out, (position % k).cast("int")).drop("_rank")
+    """Adds fold numbers 0..k-1; sizes differ by at most one, per class and overall."""
+    ends = {y: list(accumulate(sizes)) for y, sizes in fold_sizes(classes_of(df, label), k).items()}
+    cuts = {y: sorted({e for e in es[:-1] if e}) for y, es in ends.items()}
+    points = rank_keys(df, key, label, seed, cuts, bits)
+    fold = F.lit(None).cast("int")
+    for y, es in ends.items():
+        mine = F.lit(k - 1)
+        for f in reversed(range(k - 1)):
+            if es[f]:
+                mine = F.when(_up_to(key, seed, points[(y, es[f])]), F.lit(f)).otherwise(mine)
+        fold = F.when(F.col(label).eqNullSafe(F.lit(y)), mine).otherwise(fold)
+    return df.withColumn(out, fold)
 
 
 def split_summary(df: DataFrame, label: str, n_features: int) -> DataFrame:

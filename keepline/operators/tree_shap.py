@@ -9,7 +9,7 @@ The tables are bounded by the model (trees x leaves x 2^depth), not by the data.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.ml import PipelineModel
@@ -26,8 +26,7 @@ MAX_NODES = 5_000_000
 TABLE_DEPTH = 8
 
 
-@dataclass
-class TreeTable:
+class TreeTable(NamedTuple):
     """Leaves of one tree: features and intervals (lo, hi] per path position, padded."""
 
     feature: np.ndarray  # [leaves, depth] feature index, 0 where padded
@@ -42,7 +41,8 @@ class TreeTable:
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:
     """Node table of a saved boosted-tree model: one row per node, with its tree's weight."""
     nodes = spark.read.parquet(f"{path}/data")
-    meta = spark.read.parquet(f"{path}/treesMetadata").select("treeID", F.col("weights").alias("weight"))
+    # the saved metadata columns are positional
+    meta = spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "metadata", "weight").drop("metadata")
     return nodes.join(meta, "treeID").select(
         "treeID",
         "weight",
@@ -64,24 +64,30 @@ def node_table(model: PipelineModel, spark: SparkSession) -> DataFrame:
     return read_nodes(spark, path)
 
 
-def pattern_values(bits: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Shapley values of reaching a leaf, per answer pattern: [patterns, depth]."""
-    m, d = bits.shape
-    out = np.zeros((m, d))
-    order_weight = [
-        math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)
-    ]
-    for i in range(d):
-        # poly[:, k] = sum over k-subsets of the other features being "known"
-        poly = np.zeros((m, d))
-        poly[:, 0] = 1.0
-        for j in range(d):
-            if j != i:
-                shifted = np.zeros_like(poly)
-                shifted[:, 1:] = poly[:, :-1] * bits[:, [j]]
-                poly = poly * share[j] + shifted
-        out[:, i] = (bits[:, i] - share[i]) * (poly @ np.array(order_weight))
-    return out
+def _closed_form():
+    """Made here so that it travels to executors by value; they need not have this package."""
+
+    def pattern_values(bits: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Shapley values of reaching a leaf, per answer pattern: [patterns, depth]."""
+        m, d = bits.shape
+        out = np.zeros((m, d))
+        weight = [math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)]
+        for i in range(d):
+            # column k holds the sum over all k-subsets of the other features being known
+            subsets = np.zeros((m, d))
+            subsets[:, 0] = 1.0
+            for j in range(d):
+                if j != i:
+                    known = np.zeros_like(subsets)
+                    known[:, 1:] = subsets[:, :-1] * bits[:, [j]]
+                    subsets = subsets * share[j] + known
+            out[:, i] = (bits[:, i] - share[i]) * (subsets @ np.array(weight))
+        return out
+
+    return pattern_values
+
+
+pattern_values = _closed_form()
 
 
 def _all_patterns(d: int) -> np.ndarray:
@@ -116,25 +122,25 @@ def tree_tables(nodes: DataFrame) -> tuple[list[TreeTable], float]:
                 stack.append((child, {**path, f: (*bounds, share * part)}))
         depth = max(max(len(p) for _, p in leaves), 1)
         n = len(leaves)
+        table = np.zeros((n, 2**depth, depth)) if depth <= TABLE_DEPTH else None
         t = TreeTable(
             np.zeros((n, depth), dtype=np.int64), np.full((n, depth), -np.inf),
             np.full((n, depth), np.inf), np.ones((n, depth)), np.zeros(n, dtype=np.int64),
-            np.zeros(n), None,
+            np.zeros(n), table,
         )
         for k, (value, path) in enumerate(leaves):
             for j, (f, (lo, hi, share)) in enumerate(path.items()):
                 t.feature[k, j], t.lo[k, j], t.hi[k, j], t.share[k, j] = f, lo, hi, share
             t.used[k], t.value[k] = len(path), value
             base += value * float(np.prod(t.share[k]))
-        if depth <= TABLE_DEPTH:
-            t.table = np.zeros((n, 2**depth, depth))
+        if table is not None:
             for k in range(n):
                 d = t.used[k]
                 if d:
                     small = t.value[k] * pattern_values(_all_patterns(d), t.share[k, :d])
                     # a padded position always answers yes: its bit is set in every code
                     codes = np.arange(2**d) + (2**depth - 2**d)
-                    t.table[k, codes, :d] = small
+                    table[k, codes, :d] = small
         tables.append(t)
     return tables, base
 
@@ -145,21 +151,22 @@ def _attributor(shared, n_features: int, n_keep: int, values_of):
     def attribute(x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), n_features))
         for t in shared.value:
-            n_leaves, depth = t.feature.shape
-            seen = x[:, t.feature]
-            bits = (seen > t.lo) & (seen <= t.hi)
-            if t.table is not None:
+            feature, lo, hi, share, used, value, table = t
+            n_leaves, depth = feature.shape
+            seen = x[:, feature]
+            bits = (seen > lo) & (seen <= hi)
+            if table is not None:
                 codes = bits @ (1 << np.arange(depth))
-                phi = t.table[np.arange(n_leaves)[None, :], codes]
+                phi = table[np.arange(n_leaves)[None, :], codes]
             else:
                 phi = np.zeros(bits.shape)
                 for k in range(n_leaves):
-                    d = t.used[k]
+                    d = used[k]
                     patterns, where = np.unique(bits[:, k, :d], axis=0, return_inverse=True)
-                    small = t.value[k] * values_of(patterns.astype(float), t.share[k, :d])
+                    small = value[k] * values_of(patterns.astype(float), share[k, :d])
                     phi[:, k, :d] = small[where.reshape(-1)]
             place = np.zeros((n_leaves * depth, n_features))
-            place[np.arange(n_leaves * depth), t.feature.reshape(-1)] = 1.0
+            place[np.arange(n_leaves * depth), feature.reshape(-1)] = 1.0
             out += phi.reshape(len(x), -1) @ place
         return out
 
@@ -192,7 +199,7 @@ def tree_contributions(
     spark = df.sparkSession
     features = feature_names(model)
     tables, base = tree_tables(nodes if nodes is not None else node_table(model, spark))
-    shared = spark.sparkContext.broadcast(tables)
+    shared = spark.sparkContext.broadcast([tuple(t) for t in tables])
     kept = df.columns
     inputs = df.select(*kept, *[F.col(f"`{f}`").cast("double").alias(f"_x{i}") for i, f in enumerate(features)])
     schema = T.StructType([*df.schema.fields, T.StructField("_phi", T.ArrayType(T.DoubleType()))])

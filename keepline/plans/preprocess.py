@@ -20,6 +20,7 @@ from keepline.operators.features import engineer
 from keepline.operators.scale import apply_scaler, fit_scaler
 from keepline.operators.split import stratified_split
 from keepline.roles import TELCO, Roles
+from keepline.session import as_table
 
 SCALED = "_scaled"
 
@@ -69,7 +70,8 @@ def preprocess(
     ``fit_on='train'`` learns medians, levels and scaling from the training side only;
     ``'all'`` fills with the median of the whole table, as it stood before duplicates went.
     """
-    cleaned = clean(df, roles)
+    # Written once: deduplication is the only wide shuffle, and every fit below reads its result.
+    cleaned = as_table(clean(df, roles), "cleaned")
     parted = stratified_split(cleaned, roles.key, roles.label, test_size, seed)
     train = F.col("split") == "train"
     numbers = list(roles.text_numeric)
