@@ -9,7 +9,6 @@ from keepline.functions.numbers import round_exact, safe_divide
 from keepline.operators.ranks import value_totals
 from keepline.roles import METRICS
 
-# F.bround on 4 digits would round the decimal text; metrics are rounded on the stored value.
 METRIC_DIGITS = 4
 
 

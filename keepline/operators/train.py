@@ -10,6 +10,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keepline.functions.numbers import round_scaled
 from keepline.operators.score import INTERCEPT
 from keepline.operators.split import classes_of, per_class
 
@@ -35,7 +36,7 @@ def pos_weight_ratio(df: DataFrame, label: str) -> DataFrame:
     counts = df.agg(
         F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos")
     )
-    ratio = F.when(F.col("pos") > 0, F.bround(F.col("neg") / F.col("pos"), 2))
+    ratio = F.when(F.col("pos") > 0, round_scaled(F.col("neg") / F.col("pos"), 2))
     return counts.withColumn("ratio", ratio)
 
 
