@@ -285,6 +285,26 @@ def _(spark, sf):
     return split_summary(p.features, LABEL, len(p.names)).withColumn("positive_rate", F.round("positive_rate", 9))
 
 
+_FIXED_NAMES = [*TELCO.numeric, *TELCO.binary, *TELCO.engineered]
+
+
+@query(
+    "c14_feature_names",
+    sql(
+        "SELECT CAST(row_number() OVER (ORDER BY part, feature) AS INTEGER) AS ordinal, feature FROM ("
+        + " UNION ALL ".join(f"SELECT {i} AS part, '{n}' AS feature" for i, n in enumerate(_FIXED_NAMES))
+        + "".join(
+            f" UNION ALL SELECT DISTINCT {100 + i}, '{c}_' || {c} FROM parted WHERE split = 'train'"
+            for i, c in enumerate(TELCO.categorical)
+        )
+        + ")"
+    ),
+)
+def _(spark, sf):
+    names = prepared(spark, sf).names
+    return spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "ordinal int, feature string")
+
+
 _C15 = ["tenure", "TotalCharges", "charge_per_service"]
 
 

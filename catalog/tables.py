@@ -16,7 +16,7 @@ from keepline.plans.marts import ordered, risk_table
 from keepline.plans.reports import METRIC_LABELS, model_report, run_report
 from keepline.session import new_path
 from keepline.sources.artefacts import load_params, save_params
-from keepline.sources.customers import export_csv, read_customers, read_features, write_features
+from keepline.sources.customers import export_csv, read_customers, read_features, verify_source, write_features
 from keepline.sources.log import append_log, read_log, replace_run
 
 _RAW = ", ".join(RAW)
@@ -63,6 +63,13 @@ def _(spark, sf):
     return sample_rows(snapshots(spark, sf).select(*RAW), KEY)
 
 
+@query("a05_verify_source", sql("SELECT count(*) AS n_rows, 21 AS n_cols FROM panel"))
+def _(spark, sf):
+    path = new_path(spark, "customers-csv")
+    export_csv(snapshots(spark, sf).select(*RAW), path)
+    return verify_source(spark, path)
+
+
 @query("a06_write_features", sql("SELECT customerID, Churn_Binary, split, tenure, MonthlyCharges FROM parted"))
 def _(spark, sf):
     path = new_path(spark, "feature-store")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +9,6 @@ from pyspark.sql import types as T
 from keepline.functions.numbers import parse_number
 from keepline.functions.text import strip
 from keepline.operators.ranks import exact_median
-from keepline.session import pin
 
 
 def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -21,10 +18,8 @@ def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def fit_medians(df: DataFrame, cols: list[str]) -> DataFrame:
     """One-row table with the exact median of each column."""
-    parts = [pin(exact_median(df, c)) for c in cols]
-    row = reduce(lambda a, b: {**a, **b}, (p.first().asDict() for p in parts))
     schema = T.StructType([T.StructField(c, T.DoubleType()) for c in cols])
-    return df.sparkSession.createDataFrame([tuple(row[c] for c in cols)], schema)
+    return df.sparkSession.createDataFrame([tuple(exact_median(df, c) for c in cols)], schema)
 
 
 def impute(df: DataFrame, fills: DataFrame) -> DataFrame:

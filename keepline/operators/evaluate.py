@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepline.functions.numbers import round_exact, safe_divide
-from keepline.operators.ranks import value_totals
+from keepline.operators.ranks import BUCKETS, value_totals
 from keepline.roles import METRICS
 
 METRIC_DIGITS = 4
@@ -58,7 +58,7 @@ def _ranked(df: DataFrame, prob: str, label: str, buckets: int) -> DataFrame:
     return value_totals(rows, "neg_score", sums, buckets)
 
 
-def roc_auc(df: DataFrame, prob: str, label: str, buckets: int = 256) -> DataFrame:
+def roc_auc(df: DataFrame, prob: str, label: str, buckets: int = BUCKETS) -> DataFrame:
     """One row: the exact area under the ROC curve, ties counted half; null for one class only."""
     ranked = _ranked(df, prob, label, buckets)
     above = F.col("cum_pos") - F.col("pos")
@@ -71,7 +71,7 @@ def roc_auc(df: DataFrame, prob: str, label: str, buckets: int = 256) -> DataFra
     )
 
 
-def roc_curve(df: DataFrame, prob: str, label: str, buckets: int = 256) -> DataFrame:
+def roc_curve(df: DataFrame, prob: str, label: str, buckets: int = BUCKETS) -> DataFrame:
     """Every point of the ROC curve: (threshold, fpr, tpr), the origin included."""
     ranked = _ranked(df, prob, label, buckets)
     totals = df.where(F.col(prob).isNotNull()).agg(
@@ -90,7 +90,7 @@ def roc_curve(df: DataFrame, prob: str, label: str, buckets: int = 256) -> DataF
 
 
 def roc_comparison(
-    df: DataFrame, probs: dict[str, str], label: str, points: int | None = None, buckets: int = 256
+    df: DataFrame, probs: dict[str, str], label: str, points: int | None = None, buckets: int = BUCKETS
 ) -> DataFrame:
     """ROC points of several models, plus the diagonal, as (model, threshold, fpr, tpr).
 

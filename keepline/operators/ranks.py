@@ -1,104 +1,88 @@
 """Exact running totals and order statistics without a single-task sort.
 
-The rows are cut into ordered buckets. Totals per bucket are a small table whose running sum
-gives each bucket's offset; inside a bucket a window adds the rest. The work per task is one
-bucket, however large the whole table or one label is.
+Values are cut into ordered buckets at approximate quantiles. Row counts per bucket are a small
+table whose running sum gives each bucket's offset, so buckets can be worked on independently.
+Any cut points give exact results; good ones only balance the work.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import accumulate
+
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepline.session import pin
-
-MAX_OFFSET_ROWS = 200_000
-
-
-def running_totals(
-    df: DataFrame,
-    bucket: str,
-    order_by: list[str],
-    sums: dict[str, str],
-    within: list[str] | None = None,
-) -> DataFrame:
-    """Adds ``out = sum(col)`` over all rows up to the current one, for each ``out: col``.
-
-    ``bucket`` must grow with ``order_by``. ``within`` restarts the totals per group.
-    """
-    within = within or []
-    totals = df.groupBy(*within, bucket).agg(*[F.sum(c).alias(out) for out, c in sums.items()])
-    before = (
-        Window.partitionBy(*within)
-        .orderBy(bucket)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = pin(
-        totals.select(
-            *[F.col(c).alias(f"_k_{c}") for c in [*within, bucket]],
-            *[F.coalesce(F.sum(out).over(before), F.lit(0)).alias(f"_base_{out}") for out in sums],
-        ),
-        MAX_OFFSET_ROWS,
-    )
-    match = F.lit(True)
-    for c in [*within, bucket]:
-        match = match & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    inside = (
-        Window.partitionBy(*within, bucket)
-        .orderBy(*order_by)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    summed = df.withColumns({f"_run_{out}": F.sum(c).over(inside) for out, c in sums.items()})
-    keep = df.columns
-    return summed.join(offsets, match).select(
-        *keep, *[(F.col(f"_run_{out}") + F.col(f"_base_{out}")).alias(out) for out in sums]
-    )
+_BUCKET = "_bucket"
+# One task sorts one bucket; raise this with the number of distinct values.
+BUCKETS = 512
 
 
-def value_buckets(df: DataFrame, col: str, out: str, source: DataFrame, buckets: int) -> DataFrame:
-    """Adds an ordered bucket number from approximate quantiles of ``source``.
+def in_buckets(df: DataFrame, col: str, buckets: int) -> DataFrame:
+    """Rows with a usable value and their ordered bucket number.
 
-    At most ``buckets`` numbers reach the driver. They become constants of the plan, so every
-    pass, and every retry, sees the same cut points; any cut points give exact totals.
+    At most ``buckets`` cut points reach the driver. They become constants of the plan, so
+    every pass, and every retry, sees the same ones.
     """
+    rows = df.where(F.col(col).isNotNull() & ~F.isnan(col))
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(source.approxQuantile(col, probs, 1.0 / (2 * buckets)))) if probs else []
+    cuts = sorted(set(rows.approxQuantile(col, probs, 1.0 / (2 * buckets)))) if probs else []
     if not cuts:
-        return df.withColumn(out, F.lit(0.0))
+        return rows.withColumn(_BUCKET, F.lit(0.0))
     splits = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol=col, outputCol=out).transform(df)
+    return Bucketizer(splits=splits, inputCol=col, outputCol=_BUCKET).transform(rows)
 
 
-def value_totals(
-    df: DataFrame, col: str, sums: dict[str, F.Column], buckets: int = 256
-) -> DataFrame:
-    """One row per distinct value with its sums and the running sums ``cum_*`` up to it.
+def value_totals(df: DataFrame, col: str, sums: dict[str, Column], buckets: int = BUCKETS) -> DataFrame:
+    """One row per distinct value with its sums, and the running sums ``cum_*`` up to it.
 
     Equal values collapse in the first aggregate, so a value held by most rows costs one row.
     """
-    rows = df.where(F.col(col).isNotNull() & ~F.isnan(col))
-    grouped = rows.groupBy(col).agg(*[F.sum(e).alias(name) for name, e in sums.items()])
-    bucketed = value_buckets(grouped, col, "_bucket", rows, buckets)
-    return running_totals(
-        bucketed, "_bucket", [col], {f"cum_{name}": name for name in sums}
-    ).drop("_bucket")
-
-
-def exact_median(df: DataFrame, col: str, buckets: int = 256) -> DataFrame:
-    """One row, one column: the exact median (mean of the two middle values)."""
-    values = df.select(F.col(col).cast("double").alias("v"))
-    ranked = value_totals(values, "v", {"n": F.lit(1).cast("long")}, buckets)
-    total = values.where(F.col("v").isNotNull() & ~F.isnan("v")).agg(
-        F.count(F.lit(1)).alias("n")
-    ).scalar()
-    placed = ranked.select(
-        "v", (F.col("cum_n") - F.col("n")).alias("lo"), F.col("cum_n").alias("hi"), total.alias("t")
+    rows = in_buckets(df, col, buckets)
+    added = [F.sum(e).alias(name) for name, e in sums.items()]
+    totals = rows.groupBy(_BUCKET).agg(*added).orderBy(_BUCKET)
+    per_bucket = totals.collect()
+    before = {name: [0, *accumulate(r[name] for r in per_bucket)] for name in sums}
+    offsets = df.sparkSession.createDataFrame(
+        [(r[_BUCKET], *[before[name][i] for name in sums]) for i, r in enumerate(per_bucket)],
+        totals.toDF("_b", *[f"_before_{n}" for n in sums]).schema,
+    )
+    inside = Window.partitionBy(_BUCKET).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        rows.groupBy(_BUCKET, col)
+        .agg(*added)
+        .withColumns({f"cum_{n}": F.sum(n).over(inside) for n in sums})
+        .join(offsets, F.col(_BUCKET) == F.col("_b"))
+        .select(col, *sums, *[(F.col(f"cum_{n}") + F.col(f"_before_{n}")).alias(f"cum_{n}") for n in sums])
+    )
+
+
+def exact_median(df: DataFrame, col: str, buckets: int = BUCKETS) -> float | None:
+    """The exact median: mean of the two middle values, None without values.
+
+    Counts per bucket tell where the middle ranks are; only that bucket's distinct values are
+    sorted.
+    """
+    rows = in_buckets(df.select(F.col(col).cast("double").alias("v")), "v", buckets)
+    sizes = rows.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("n")).orderBy(_BUCKET).collect()
+    ends = list(accumulate(r["n"] for r in sizes))
+    if not ends:
+        return None
+    places = []  # (bucket, rank within it) of the two middle rows
+    for rank in ((ends[-1] + 1) // 2, ends[-1] // 2 + 1):
+        i = bisect_left(ends, rank)
+        places.append((sizes[i][_BUCKET], rank - (ends[i - 1] if i else 0)))
+    up_to = Window.partitionBy(_BUCKET).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (
+        rows.where(F.col(_BUCKET).isin([b for b, _ in places]))
+        .groupBy(_BUCKET, "v")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("end", F.sum("n").over(up_to))
     )
 
-    def at(position):
-        return F.max(F.when((F.col("lo") < position) & (position <= F.col("hi")), F.col("v")))
+    def covers(bucket: float, rank: int) -> Column:
+        return (F.col(_BUCKET) == bucket) & (F.col("end") >= rank) & (F.col("end") - F.col("n") < rank)
 
-    low = F.floor((F.col("t") + 1) / 2)
-    high = F.floor((F.col("t") + 2) / 2)
-    return placed.agg(((at(low) + at(high)) / 2).alias(col))
+    found = ranked.agg(*[F.max(F.when(covers(b, r), F.col("v"))) for b, r in places]).first()
+    return (found[0] + found[1]) / 2

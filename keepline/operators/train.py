@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from keepline.functions.numbers import round_scaled
 from keepline.operators.score import INTERCEPT
 from keepline.operators.split import classes_of, per_class
+from keepline.session import shared_dir
 
 # The search grid.
 GRID = {
@@ -82,9 +83,17 @@ def boosted_trees(label: str, weight: str = "weight", seed: int = 42, **params)
     return GBTClassifier(labelCol=label, weightCol=weight, seed=seed, **params)
 
 
+def checkpoint_between_trees(df: DataFrame) -> None:
+    """Boosting checkpoints its running errors every few trees, given a shared folder."""
+    context, folder = df.sparkSession.sparkContext, shared_dir(df.sparkSession)
+    if folder and context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+
+
 def train_boosted(
     df: DataFrame, features: list[str], label: str, weight: str = "weight", seed: int = 42, **params
 ) -> PipelineModel:
+    checkpoint_between_trees(df)
     gbt = boosted_trees(label, weight, seed, **params)
     return Pipeline(stages=[assembler(features), gbt]).fit(df)
 
@@ -101,6 +110,7 @@ def tune_boosted(
     parallelism: int = 4,
 ) -> tuple[PipelineModel, CrossValidatorModel]:
     """Grid search over given stratified folds, best F1 of the positive class, then a refit."""
+    checkpoint_between_trees(df)
     gbt = boosted_trees(label, weight, seed)
     builder = ParamGridBuilder()
     for name, values in (grid or GRID).items():

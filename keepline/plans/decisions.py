@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +20,17 @@ def flagged_decisions(
     replies: DataFrame | None = None,
     prob: str = "churn_prob",
     cfg: DecisionConfig = CONFIG,
+    attribute: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Flagged customers with reasons, risk type and discount.
 
-    ``scored`` carries key, score, decision profile and ``contributions``. The threshold comes
-    first, so everything after it runs on flagged rows only.
+    ``scored`` carries key, score and decision profile, and ``contributions`` unless
+    ``attribute`` adds them. The threshold comes first, so everything after it, the costly
+    attribution above all, runs on flagged rows only.
     """
     flagged = scored.where(is_flagged(F.col(prob), cfg))
+    if attribute is not None:
+        flagged = attribute(flagged)
     return with_discount(detect_behavior(explain(flagged), key, replies), prob, cfg)
 
 
@@ -35,19 +41,29 @@ def decide(
     texts: DataFrame | None = None,
     prob: str = "churn_prob",
     cfg: DecisionConfig = CONFIG,
+    attribute: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per customer: the full outcome, or no action with its reason.
 
     ``replies`` (key, reply) settles unclear risk types; ``texts`` (key, text) holds the
     written messages.
     """
-    decided = flagged_decisions(scored, key, replies, prob, cfg)
+    decided = with_texts(flagged_decisions(scored, key, replies, prob, cfg, attribute), key, texts)
+    return sent_outcomes(decided, key, prob).unionByName(
+        idle_outcomes(scored, key, prob, cfg), allowMissingColumns=True
+    )
+
+
+def with_texts(decided: DataFrame, key: str, texts: DataFrame | None) -> DataFrame:
+    """Adds the written message of each decided customer; null where none is there yet."""
     if texts is None:
-        decided = decided.withColumn("text", F.lit(""))
-    else:
-        written = texts.groupBy(key).agg(F.max("text").alias("text"))
-        decided = decided.join(written, key, "left")
-    sent = decided.select(
+        return decided.withColumn("text", F.lit(None).cast("string"))
+    return decided.join(texts.groupBy(key).agg(F.max("text").alias("text")), key, "left")
+
+
+def sent_outcomes(decided: DataFrame, key: str, prob: str = "churn_prob") -> DataFrame:
+    """Outcome rows of flagged customers."""
+    return decided.select(
         F.col(key).alias("user_id"),
         round_exact(F.col(prob), 4).alias("churn_prob"),
         "risk_type",
@@ -60,7 +76,13 @@ def decide(
         F.lit("email_sent").alias("action"),
         F.lit(None).cast("string").alias("reason"),
     )
-    idle = scored.where(~is_flagged(F.col(prob), cfg)).select(
+
+
+def idle_outcomes(
+    scored: DataFrame, key: str, prob: str = "churn_prob", cfg: DecisionConfig = CONFIG
+) -> DataFrame:
+    """Outcome rows of customers below the threshold."""
+    return scored.where(~is_flagged(F.col(prob), cfg)).select(
         F.col(key).alias("user_id"),
         F.col(prob).alias("churn_prob"),
         F.lit("no_action").alias("action"),
@@ -69,4 +91,3 @@ def decide(
             F.lit(f" < threshold {cfg.flag_threshold}"),
         ).alias("reason"),
     )
-    return sent.unionByName(idle, allowMissingColumns=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The columns of a raw customer table, in file order.
@@ -40,6 +41,12 @@ def read_customers(
     return _open(reader.option("header", True) if format == "csv" else reader, path)
 
 
+def verify_source(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
+    """Shape of a customer file, or a clear error when it is not there."""
+    table = read_customers(spark, path, format)
+    return table.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(table.columns)))
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """Header CSV, blanks kept as they are, one file per partition."""
     (

@@ -71,7 +71,7 @@ def test_lookup_and_divide(spark):
 @settings(max_examples=12, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.integers(-20, 20).map(float), st.floats(-1e6, 1e6)), max_size=60))
 def test_median_is_exact(spark, xs):
-    got = exact_median(values(spark, xs), "x", buckets=8).first()[0]
+    got = exact_median(values(spark, xs), "x", buckets=8)
     known = [x for x in xs if x is not None]
     want = float(np.median(known)) if known else None
     assert got == want or math.isclose(got, want, rel_tol=1e-15)
