@@ -109,7 +109,7 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     s = snapshots(spark, sf).where(F.col("PaperlessBilling") == "Yes")
     text = F.concat(
         F.lit("Subject: We value you, customer number "), F.col("customer_no").cast("string"),
-        F.lit(", on your "), F.col("Contract"), F.lit(" plan\n\nHello,\nthank you for "),
+        F.lit(", on your "), F.coalesce("Contract", F.lit("current")), F.lit(" plan\n\nHello,\nthank you for "),
         F.col("tenure").cast("string"), F.lit(" months.\n"),
     )
     return s.select(KEY, text.alias("text"))

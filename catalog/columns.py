@@ -160,7 +160,7 @@ def _(spark, sf):
     return customer_detail(risk(spark, sf), KEY, "7|1998-04-01")
 
 
-@query("b16_contract_from_one_hot", sql("SELECT customerID, Contract AS contract_type FROM panel"))
+@query("b16_contract_from_one_hot", sql("SELECT customerID, coalesce(Contract, 'Month-to-month') AS contract_type FROM panel"))
 def _(spark, sf):
     rows = snapshots(spark, sf).select(KEY, "Contract")
     hot = one_hot(rows, fit_levels(rows, ["Contract"]))
@@ -294,7 +294,7 @@ _FIXED_NAMES = [*TELCO.numeric, *TELCO.binary, *TELCO.engineered]
         "SELECT CAST(row_number() OVER (ORDER BY part, feature) AS INTEGER) AS ordinal, feature FROM ("
         + " UNION ALL ".join(f"SELECT {i} AS part, '{n}' AS feature" for i, n in enumerate(_FIXED_NAMES))
         + "".join(
-            f" UNION ALL SELECT DISTINCT {100 + i}, '{c}_' || {c} FROM parted WHERE split = 'train'"
+            f" UNION ALL SELECT DISTINCT {100 + i}, '{c}_' || {c} FROM parted WHERE split = 'train' AND {c} IS NOT NULL"
             for i, c in enumerate(TELCO.categorical)
         )
         + ")"
@@ -333,7 +333,7 @@ def _(spark, sf):
 
 @query(
     "d01_customer_join",
-    sql("SELECT customerID, Churn_Binary, split, churn_prob, active_services, gender, Contract FROM parted JOIN scored s USING (customerID, Churn_Binary, active_services, gender, Contract)"),
+    sql("SELECT customerID, Churn_Binary, split, churn_prob, active_services, gender, Contract FROM parted JOIN (SELECT customerID, churn_prob FROM scored) USING (customerID)"),
 )
 def _(spark, sf):
     side = prepared(spark, sf).features.select(KEY, LABEL, "split")

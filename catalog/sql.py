@@ -318,7 +318,7 @@ context AS (
   FROM decided
 ),
 written AS (
-  SELECT customerID AS t_id, 'We value you, customer number ' || customer_no || ', on your ' || Contract || ' plan' AS subject,
+  SELECT customerID AS t_id, 'We value you, customer number ' || customer_no || ', on your ' || coalesce(Contract, 'current') || ' plan' AS subject,
          'Hello,' || chr(10) || 'thank you for ' || tenure || ' months.' AS body
   FROM panel WHERE PaperlessBilling = 'Yes'
 ),
@@ -376,7 +376,7 @@ def classify_prompt() -> str:
         {
             "tenure": "CAST(CAST(tenure AS INTEGER) AS VARCHAR)",
             "monthly_charges": "CAST(MonthlyCharges AS VARCHAR)",
-            "contract": "contract_type",
+            "contract": "coalesce(contract_type, 'unknown')",
             "active_services": "CAST(active_services AS VARCHAR)",
             "reasons": f"({lines})",
         },
@@ -387,7 +387,7 @@ def message_prompt() -> str:
     values = {
         "tenure": "CAST(tenure AS VARCHAR)",
         "monthly_charges": "CAST(MonthlyCharges AS VARCHAR)",
-        "contract_type": "contract_type",
+        "contract_type": "coalesce(contract_type, 'Month-to-month')",
         "active_services": "CAST(active_services AS VARCHAR)",
         "top_reasons": "reasons_text",
         "discount_section": "discount_section",

@@ -86,11 +86,11 @@ def snapshot_panel(
             F.coalesce("mask", F.lit(0))
             .bitwiseOR(F.when(priority == 1, F.lit(URGENT_BIT)).otherwise(F.lit(0)))
             .alias("mask"),
-            (F.col("o_orderstatus") == "F").cast("int").alias("f"),
-            (F.col("o_orderstatus") == "P").cast("int").alias("p"),
-            (F.col("o_orderstatus") == "O").cast("int").alias("o"),
+            F.col("o_orderstatus").eqNullSafe("F").cast("int").alias("f"),
+            F.col("o_orderstatus").eqNullSafe("P").cast("int").alias("p"),
+            F.col("o_orderstatus").eqNullSafe("O").cast("int").alias("o"),
             priority.alias("priority"),
-            recency.alias("recency"),
+            F.when(priority.isNotNull(), recency).alias("recency"),
             F.lit(0).alias("later"),
         )
     )
@@ -171,7 +171,7 @@ def _telco_columns() -> list[Column]:
         (F.col("c_custkey") * 100 + quarter).cast("long").alias("customer_no"),
         F.col("as_of"),
         F.when(F.col("c_custkey") % 2 == 0, F.lit("Female")).otherwise(F.lit("Male")).alias("gender"),
-        (F.col("c_acctbal") < 0).cast("int").alias("SeniorCitizen"),
+        F.when(F.col("c_acctbal") < 0, F.lit(1)).otherwise(F.lit(0)).alias("SeniorCitizen"),
         yes(F.col("c_nationkey") % 2 == 1).alias("Partner"),
         yes(F.col("c_nationkey") % 3 == 0).alias("Dependents"),
         F.floor(F.datediff("as_of", "first_order") / 30).cast("int").alias("tenure"),
