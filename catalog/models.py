@@ -19,7 +19,7 @@ from keepline.operators.explain import (
     contribution_grid, dependence, dependence_curve, explain, global_importance, linear_margins,
     risk_hint, total_contribution, waterfall,
 )
-from keepline.operators.score import linear_score, score
+from keepline.operators.score import linear_score, read_coefficients, score
 from keepline.operators.train import (
     balanced_weights, coefficient_table, feature_names, importance_table, pos_weight_ratio,
     top_coefficients, top_importances, tuning_table,
@@ -52,6 +52,22 @@ def _(spark, sf):
     return coefficient_table(logistic(spark, sf), training_side(spark, sf))
 
 
+@query(
+    "g03_logistic_optimum",
+    sql("SELECT count(*) AS n, CAST(true AS BOOLEAN) AS is_optimum FROM parted WHERE split = 'train'"),
+)
+def _(spark, sf):
+    """At the fitted coefficients the gradient of the penalised likelihood vanishes."""
+    names = prepared(spark, sf).scaled_names
+    table = coefficient_table(logistic(spark, sf), training_side(spark, sf))
+    weights, _ = read_coefficients(table)
+    rows = linear_score(balanced_weights(training_side(spark, sf), LABEL), table)
+    pull = F.col("weight") * (F.col("churn_prob") - F.col(LABEL))
+    slopes = [F.sum(pull * F.col(f"`{c}`")) + F.lit(weights[c]) for c in names] + [F.sum(pull)]
+    steepest = F.greatest(*[F.abs(s) for s in slopes]) / F.count(F.lit(1))
+    return rows.agg(F.count(F.lit(1)).alias("n"), (steepest < 1e-4).alias("is_optimum"))
+
+
 @query("g04_boosted_trees")
 def _(spark, sf):
     return node_table(boosted(spark, sf), spark)
@@ -170,6 +186,18 @@ def _(spark, sf):
     return top_importances(importance_table(boosted(spark, sf), training_side(spark, sf)))
 
 
+@query(
+    "g14_importance_total",
+    sql(
+        "SELECT 25 + (SELECT count(DISTINCT gender) + count(DISTINCT InternetService) + count(DISTINCT Contract) + count(DISTINCT PaymentMethod) "
+        "FROM parted WHERE split = 'train') AS n, 1.0::DOUBLE AS total"
+    ),
+)
+def _(spark, sf):
+    table = importance_table(boosted(spark, sf), training_side(spark, sf))
+    return table.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("importance"), 9).alias("total"))
+
+
 @query("g15_tuning_table")
 def _(spark, sf):
     _, found = tuned(spark, sf)

@@ -20,10 +20,12 @@ from pyspark.sql import types as T
 from keepline.operators.train import feature_names
 from keepline.session import new_path
 
-MAX_NODES = 5_000_000
-# Depth up to which all 2^depth patterns are tabulated; deeper paths are worked out for the
-# patterns that occur.
+# What is broadcast is checked: a model with more nodes is refused, and all 2^depth patterns are
+# tabulated only for shallow trees within the byte budget. Other trees work out the patterns
+# that occur, with the same result.
+MAX_NODES = 200_000
 TABLE_DEPTH = 8
+TABLE_BYTES = 256 * 2**20
 
 
 class TreeTable(NamedTuple):
@@ -105,7 +107,7 @@ def tree_tables(nodes: DataFrame) -> tuple[list[TreeTable], float]:
         if r["left"] >= 0 and r["n_categories"] != -1:
             raise ValueError("categorical splits are not supported; one-hot the column first")
         trees.setdefault(r["treeID"], {})[r["id"]] = r
-    tables, base = [], 0.0
+    tables, base, spent = [], 0.0, 0
     for _, tree in sorted(trees.items()):
         leaves = []
         stack = [(0, {})]
@@ -122,7 +124,10 @@ def tree_tables(nodes: DataFrame) -> tuple[list[TreeTable], float]:
                 stack.append((child, {**path, f: (*bounds, share * part)}))
         depth = max(max(len(p) for _, p in leaves), 1)
         n = len(leaves)
-        table = np.zeros((n, 2**depth, depth)) if depth <= TABLE_DEPTH else None
+        size = n * 2**depth * depth * 8
+        tabulated = depth <= TABLE_DEPTH and spent + size <= TABLE_BYTES
+        table = np.zeros((n, 2**depth, depth)) if tabulated else None
+        spent += size if tabulated else 0
         t = TreeTable(
             np.zeros((n, depth), dtype=np.int64), np.full((n, depth), -np.inf),
             np.full((n, depth), np.inf), np.ones((n, depth)), np.zeros(n, dtype=np.int64),
