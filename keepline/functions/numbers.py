@@ -26,8 +26,7 @@ def round_exact(col: Column, digits: int) -> Column:
     ``F.round`` works on the shortest decimal text (2.675 -> 2.68) where the stored value is
     below the tie. ``format_number`` rounds the stored value, so its text is parsed back.
     """
-    text = F.regexp_replace(F.format_number(col.cast("double"), digits), ",", "")
-    return text.cast("double")
+    return fixed_text(col, digits).cast("double")
 
 
 def round_scaled(col: Column, digits: int) -> Column:
@@ -38,7 +37,7 @@ def round_scaled(col: Column, digits: int) -> Column:
 
 def fixed_text(col: Column, digits: int) -> Column:
     """Text with a fixed number of decimals and no thousands separators."""
-    return F.regexp_replace(F.format_number(col.cast("double"), digits), ",", "")
+    return F.translate(F.format_number(col.cast("double"), digits), ",", "")
 
 
 def percent_text(col: Column, digits: int = 0) -> Column:

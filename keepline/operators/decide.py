@@ -123,11 +123,19 @@ def ltv(tenure: Column, monthly: Column) -> Column:
 
 
 def assess_discount(
-    tenure: Column, monthly: Column, contract: Column, prob: Column, cfg: DecisionConfig = CONFIG
+    tenure: Column,
+    monthly: Column,
+    contract: Column,
+    prob: Column,
+    cfg: DecisionConfig = CONFIG,
+    value: Column | None = None,
 ) -> Column:
-    """Discount decision as one struct; the first rule that applies wins."""
+    """Discount decision as one struct; the first rule that applies wins.
+
+    ``value`` is the lifetime value if a column already holds it.
+    """
     tenure, monthly = tenure.cast("double"), monthly.cast("double")
-    value = ltv(tenure, monthly)
+    value = ltv(tenure, monthly) if value is None else value
     risk, money = percent_text(prob), fixed_text(value, 0)
     rules = [
         (
@@ -193,11 +201,12 @@ def assess_discount(
 
 def with_discount(df: DataFrame, prob: str = "churn_prob", cfg: DecisionConfig = CONFIG) -> DataFrame:
     """Adds the discount columns to rows that carry the decision profile."""
-    decided = df.withColumn(
-        "_d",
-        assess_discount(F.col("tenure"), F.col("MonthlyCharges"), F.col("contract_type"), F.col(prob), cfg),
+    tenure, monthly = F.col("tenure"), F.col("MonthlyCharges")
+    valued = df.withColumn("_value", ltv(tenure, monthly))
+    decided = valued.withColumn(
+        "_d", assess_discount(tenure, monthly, F.col("contract_type"), F.col(prob), cfg, F.col("_value"))
     )
     names = ("eligible", "discount_pct", "strategy", "ltv", "monthly_savings", "annual_savings")
     return decided.withColumns(
         {**{n: F.col(f"_d.{n}") for n in names}, "discount_reason": F.col("_d.reason")}
-    ).drop("_d")
+    ).drop("_d", "_value")

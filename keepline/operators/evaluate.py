@@ -37,17 +37,21 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str = "prediction")
     return cells.select(F.inline(F.array(*rows)))
 
 
-def threshold_metrics(df: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
-    """One row: accuracy, precision, recall and F1 of the positive class; 0/0 counts as 0."""
-    n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
-    values = {
-        "accuracy": safe_divide(F.col("tp") + F.col("tn"), n),
-        "precision": safe_divide(F.col("tp"), F.col("tp") + F.col("fp")),
-        "recall": safe_divide(F.col("tp"), F.col("tp") + F.col("fn")),
-        "f1": safe_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")),
+def _rates(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
+    """Accuracy, precision, recall and F1 of the positive class; 0/0 counts as 0."""
+    return {
+        "accuracy": safe_divide(tp + tn, tp + tn + fp + fn),
+        "precision": safe_divide(tp, tp + fp),
+        "recall": safe_divide(tp, tp + fn),
+        "f1": safe_divide(2 * tp, 2 * tp + fp + fn),
     }
+
+
+def threshold_metrics(df: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
+    """One row of rates for given predictions."""
+    rates = _rates(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn"))
     return df.agg(*_cells(label, prediction)).select(
-        *[round_exact(v, METRIC_DIGITS).alias(k) for k, v in values.items()]
+        *[round_exact(v, METRIC_DIGITS).alias(k) for k, v in rates.items()]
     )
 
 
@@ -60,15 +64,20 @@ def _ranked(df: DataFrame, prob: str, label: str, buckets: int) -> DataFrame:
 
 def roc_auc(df: DataFrame, prob: str, label: str, buckets: int = BUCKETS) -> DataFrame:
     """One row: the exact area under the ROC curve, ties counted half; null for one class only."""
-    ranked = _ranked(df, prob, label, buckets)
+    return _ranked(df, prob, label, buckets).agg(*_area()).select(_auc().alias("roc_auc"))
+
+
+def _area() -> list[Column]:
     above = F.col("cum_pos") - F.col("pos")
-    return ranked.agg(
+    return [
         F.sum(F.col("neg") * (above + F.col("pos") / 2)).alias("area"),
         F.sum("pos").alias("p"),
         F.sum("neg").alias("n"),
-    ).select(
-        F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("area") / F.col("p") / F.col("n")).alias("roc_auc")
-    )
+    ]
+
+
+def _auc() -> Column:
+    return F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("area") / F.col("p") / F.col("n"))
 
 
 def roc_curve(df: DataFrame, prob: str, label: str, buckets: int = BUCKETS) -> DataFrame:
@@ -115,10 +124,19 @@ def roc_comparison(
 
 
 def evaluate(df: DataFrame, model: str, prob: str, label: str, threshold: float = 0.5) -> DataFrame:
-    """Long metric table (model, metric, value), values to four decimals."""
-    cut = threshold_metrics(with_prediction(df, prob, threshold), label)
-    auc = roc_auc(df, prob, label).select(round_exact(F.col("roc_auc"), METRIC_DIGITS).alias("v"))
-    wide = cut.withColumn("roc_auc", auc.scalar())
+    """Long metric table (model, metric, value), values to four decimals.
+
+    All five come from the same per-score totals, so the rows are grouped once.
+    """
+    above_cut = F.col("neg_score") <= -threshold
+    sums = _ranked(df, prob, label, BUCKETS).agg(
+        *_area(),
+        F.sum(F.when(above_cut, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(above_cut, F.col("neg")).otherwise(0)).alias("fp"),
+    )
+    tp, fp = F.col("tp"), F.col("fp")
+    values = {**_rates(tp, fp, F.col("p") - tp, F.col("n") - fp), "roc_auc": _auc()}
+    wide = sums.select(*[round_exact(v, METRIC_DIGITS).alias(k) for k, v in values.items()])
     rows = [
         F.struct(F.lit(i + 1).alias("ordinal"), F.lit(m).alias("metric"), F.col(m).alias("value"))
         for i, m in enumerate(METRICS)

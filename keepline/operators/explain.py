@@ -84,7 +84,7 @@ def total_contribution(contributions: Column) -> Column:
 
 def reason_label(feature: Column) -> Column:
     """Readable reason; features without one show their name with blanks."""
-    return lookup(feature, REASON_LABELS, F.regexp_replace(feature, "_", " "))
+    return lookup(feature, REASON_LABELS, F.translate(feature, "_", " "))
 
 
 def as_map(contributions: Column) -> Column:

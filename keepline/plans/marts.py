@@ -155,7 +155,7 @@ def log_view(log: DataFrame, cfg: DecisionConfig = CONFIG) -> DataFrame:
         cut(F.col("subject"), 50).alias("title_subject"),
         cut(F.col("subject"), 45).alias("preview_subject"),
         cut(F.col("subject"), 40).alias("report_subject"),
-        F.regexp_replace("body", "\n", "<br>").alias("body_html"),
+        F.replace(F.col("body"), F.lit("\n"), F.lit("<br>")).alias("body_html"),
         "status",
     )
 
