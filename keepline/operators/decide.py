@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepline.functions.numbers import fixed_text, percent_text, round_exact
-from keepline.functions.text import lookup, strip
+from keepline.functions.text import lookup, render, strip
 from keepline.roles import (
+    DISCOUNT_REASONS,
     DISENGAGE_SIGNALS,
     REPLY_METHOD,
     RISK_LEVELS,
@@ -136,59 +137,33 @@ def assess_discount(
     """
     tenure, monthly = tenure.cast("double"), monthly.cast("double")
     value = ltv(tenure, monthly) if value is None else value
-    risk, money = percent_text(prob), fixed_text(value, 0)
+    words = {
+        "tenure": fixed_text(tenure, 0),
+        "min_tenure": F.lit(str(cfg.min_tenure)),
+        "monthly": fixed_text(monthly, 0),
+        "min_monthly": F.lit(f"{cfg.min_monthly:.0f}"),
+        "risk": percent_text(prob),
+        "ltv": fixed_text(value, 0),
+    }
+    high, flagged = prob >= cfg.high_risk, prob >= cfg.flag_threshold
+    rich, fair = value >= cfg.high_ltv, value >= cfg.min_ltv
+    # condition, reason, strategy, percent
     rules = [
-        (
-            tenure < cfg.min_tenure,
-            "free_trial_extension",
-            0,
-            F.concat(
-                F.lit("tenure too short ("), fixed_text(tenure, 0),
-                F.lit(f" months < {cfg.min_tenure} minimum)"),
-            ),
-        ),
-        (
-            monthly < cfg.min_monthly,
-            "feature_upsell",
-            0,
-            F.concat(
-                F.lit("monthly charge too low ($"), fixed_text(monthly, 0),
-                F.lit(f" < ${cfg.min_monthly:.0f})"),
-            ),
-        ),
-        (contract == "Two year", "loyalty_reward", 0, F.lit("already on two-year contract")),
-        (
-            (prob >= cfg.high_risk) & (value >= cfg.high_ltv),
-            "discount_offer",
-            cfg.discount_max_pct,
-            F.concat(F.lit("high churn risk ("), risk, F.lit(") + high LTV ($"), money, F.lit(")")),
-        ),
-        (
-            (prob >= cfg.high_risk) & (value >= cfg.min_ltv),
-            "discount_offer",
-            cfg.discount_mid_pct,
-            F.concat(F.lit("high churn risk ("), risk, F.lit(") + moderate LTV ($"), money, F.lit(")")),
-        ),
-        (
-            (prob >= cfg.flag_threshold) & (value >= cfg.high_ltv),
-            "discount_offer",
-            cfg.discount_min_pct,
-            F.concat(F.lit("moderate churn risk ("), risk, F.lit(") + high LTV ($"), money, F.lit(")")),
-        ),
-        (
-            F.lit(True),
-            "engagement_campaign",
-            0,
-            F.concat(F.lit("churn risk ("), risk, F.lit(") + LTV ($"), money, F.lit(") below thresholds")),
-        ),
+        (tenure < cfg.min_tenure, "too_new", "free_trial_extension", 0),
+        (monthly < cfg.min_monthly, "low_charge", "feature_upsell", 0),
+        (contract == "Two year", "two_year", "loyalty_reward", 0),
+        (high & rich, "max", "discount_offer", cfg.discount_max_pct),
+        (high & fair, "mid", "discount_offer", cfg.discount_mid_pct),
+        (flagged & rich, "min", "discount_offer", cfg.discount_min_pct),
+        (F.lit(True), "none", "engagement_campaign", 0),
     ]
     chain = None
-    for condition, strategy, pct, reason in rules:
+    for condition, why, strategy, pct in rules:
         saving = monthly * pct / 100
         nothing = F.lit(None).cast("double")
         outcome = F.struct(
             F.lit(pct > 0).alias("eligible"),
-            reason.alias("reason"),
+            render(DISCOUNT_REASONS[why], words).alias("reason"),
             F.lit(pct).alias("discount_pct"),
             F.lit(strategy).alias("strategy"),
             value.alias("ltv"),

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepline.functions.numbers import percent_text, round_exact
+from keepline.functions.text import render
 from keepline.operators.decide import CONFIG, detect_behavior, is_flagged, with_discount
 from keepline.operators.explain import explain
 from keepline.operators.messages import parse_message
-from keepline.roles import DecisionConfig
+from keepline.roles import IDLE_REASON, DecisionConfig
 
 
 def flagged_decisions(
@@ -82,12 +83,10 @@ def idle_outcomes(
     scored: DataFrame, key: str, prob: str = "churn_prob", cfg: DecisionConfig = CONFIG
 ) -> DataFrame:
     """Outcome rows of customers below the threshold."""
+    words = {"prob": percent_text(F.col(prob), 1), "threshold": F.lit(str(cfg.flag_threshold))}
     return scored.where(~is_flagged(F.col(prob), cfg)).select(
         F.col(key).alias("user_id"),
         F.col(prob).alias("churn_prob"),
         F.lit("no_action").alias("action"),
-        F.concat(
-            F.lit("churn_prob "), percent_text(F.col(prob), 1),
-            F.lit(f" < threshold {cfg.flag_threshold}"),
-        ).alias("reason"),
+        render(IDLE_REASON, words).alias("reason"),
     )

@@ -120,6 +120,24 @@ STRATEGY_TEXT = {
 }
 DEFAULT_SUBJECT = "We'd love to keep you with us"
 NO_REASONS_TEXT = "general disengagement"
+DEFAULT_ALTERNATIVE = "personalized offer"
+DEFAULT_CTA = "Include a clear next step call-to-action"
+
+# text formats; names in braces are filled per customer
+DISCOUNT_REASONS = {
+    "too_new": "tenure too short ({tenure} months < {min_tenure} minimum)",
+    "low_charge": "monthly charge too low (${monthly} < ${min_monthly})",
+    "two_year": "already on two-year contract",
+    "max": "high churn risk ({risk}) + high LTV (${ltv})",
+    "mid": "high churn risk ({risk}) + moderate LTV (${ltv})",
+    "min": "moderate churn risk ({risk}) + high LTV (${ltv})",
+    "none": "churn risk ({risk}) + LTV (${ltv}) below thresholds",
+}
+OFFER_LINE = "- Special Offer: {pct}% discount approved (saves ${savings}/month)"
+OFFER_CTA = "Include the {pct}% discount offer with a clear call-to-action to claim it"
+NO_OFFER_LINE = "- No discount (alternative: {alternative})"
+REASON_LINE = "  - {reason} (SHAP: {value})"
+IDLE_REASON = "churn_prob {prob} < threshold {threshold}"
 
 RISK_LEVELS = ("High", "Medium", "Low")
 
