@@ -272,11 +272,14 @@ def _sql_names(column: str, n: int) -> str:
 )
 def _(spark, sf):
     arr = F.col("contributions")
-    return explained(spark, sf).select(
+    best = explained(spark, sf).select(
+        KEY, top_contributions(arr, 5).alias("top"), bottom_contributions(arr, 3).alias("bottom")
+    )
+    return best.select(
         KEY,
-        _names(top_contributions(arr, 5)).alias("top5"),
-        _names(top_contributions(arr, 3)).alias("top3"),
-        _names(bottom_contributions(arr, 3)).alias("bottom3"),
+        _names(F.col("top")).alias("top5"),
+        _names(F.slice("top", 1, 3)).alias("top3"),
+        _names(F.col("bottom")).alias("bottom3"),
     )
 
 

@@ -45,8 +45,8 @@ def linear_margins(df: DataFrame, coefficients: DataFrame, out: str = "margin")
     return df.withColumn(out, linear_margin(*read_coefficients(coefficients)))
 
 
-def _ranked(contributions: Column, value, descending: bool) -> Column:
-    """Sorted copies of the array; equal values keep feature order."""
+def _first(contributions: Column, n: int, value, descending: bool) -> Column:
+    """The first ``n`` entries by value; equal values keep feature order."""
     sign = -1 if descending else 1
     keyed = F.transform(
         contributions,
@@ -58,24 +58,24 @@ def _ranked(contributions: Column, value, descending: bool) -> Column:
         ),
     )
     return F.transform(
-        F.sort_array(keyed, asc=not descending),
+        F.slice(F.sort_array(keyed, asc=not descending), 1, n),
         lambda s: F.struct(s["feature"].alias("feature"), s["contribution"].alias("contribution")),
     )
 
 
 def top_contributions(contributions: Column, n: int = 5) -> Column:
     """The ``n`` largest, towards churn; they may be negative when few push that way."""
-    return F.slice(_ranked(contributions, lambda v: v, True), 1, n)
+    return _first(contributions, n, lambda v: v, True)
 
 
 def bottom_contributions(contributions: Column, n: int = 3) -> Column:
     """The ``n`` smallest, towards staying."""
-    return F.slice(_ranked(contributions, lambda v: v, False), 1, n)
+    return _first(contributions, n, lambda v: v, False)
 
 
 def largest_contributions(contributions: Column, n: int = 12) -> Column:
     """The ``n`` largest by size, either direction."""
-    return F.slice(_ranked(contributions, F.abs, True), 1, n)
+    return _first(contributions, n, F.abs, True)
 
 
 def total_contribution(contributions: Column) -> Column:
@@ -162,41 +162,48 @@ def contribution_grid(
     """Distribution per feature: counts on a grid of feature value by contribution.
 
     Stands for the point swarm: same information at chart resolution, small for any input size.
+    ``features`` lists the columns in the order of the contributions. The value ranges, one row
+    per feature, become constants; rows are exploded to three small integers and counted.
     """
-    values = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
-    rows = (
-        df.select(values.alias("x"), F.posexplode(contributions).alias("i", "c"))
-        .select(
-            F.col("c.feature").alias("feature"),
-            F.get("x", F.col("i")).alias("x"),
-            F.col("c.contribution").alias("y"),
+    points = [
+        F.struct(
+            F.lit(i).alias("i"),
+            F.col(f"`{f}`").cast("double").alias("x"),
+            F.get(contributions, F.lit(i))["contribution"].alias("y"),
         )
-    )
-    shown = (
-        rows.groupBy("feature")
+        for i, f in enumerate(features)
+    ]
+    ranges = (
+        df.select(F.inline(F.array(*points)))
+        .groupBy("i")
         .agg(
             F.min("x").alias("x0"), F.max("x").alias("x1"),
             F.min("y").alias("y0"), F.max("y").alias("y1"),
             F.avg(F.abs("y")).alias("mean_abs"),
         )
-        .orderBy(F.desc("mean_abs"), "feature")
+        .orderBy(F.desc("mean_abs"), "i")
         .limit(n)
-        .withColumnRenamed("feature", "_f")
+        .collect()
     )
-    ranges = pin(shown, n)
 
-    def cell(v: str, lo: str, hi: str, bins: int) -> Column:
-        width = F.col(hi) - F.col(lo)
-        place = F.floor((F.col(v) - F.col(lo)) / (width / bins))
-        return F.when(width == 0, F.lit(0)).otherwise(F.least(place, F.lit(bins - 1))).cast("int")
+    def cell(v: Column, lo: float | None, hi: float | None, bins: int) -> Column:
+        if lo is None or lo == hi:
+            return F.when(v.isNotNull(), F.lit(0))
+        return F.least(F.floor((v - F.lit(lo)) / F.lit((hi - lo) / bins)), F.lit(bins - 1)).cast("int")
 
-    return (
-        rows.join(ranges, F.col("feature") == F.col("_f"))
-        .select(
-            "feature",
-            cell("x", "x0", "x1", value_bins).alias("value_bin"),
-            cell("y", "y0", "y1", contribution_bins).alias("contribution_bin"),
+    cells = [
+        F.struct(
+            F.lit(features[r["i"]]).alias("feature"),
+            cell(points[r["i"]]["x"], r["x0"], r["x1"], value_bins).alias("value_bin"),
+            cell(points[r["i"]]["y"], r["y0"], r["y1"], contribution_bins).alias("contribution_bin"),
         )
+        for r in ranges
+    ]
+    if not cells:
+        empty = "feature string, value_bin int, contribution_bin int, n bigint"
+        return df.sparkSession.createDataFrame([], empty)
+    return (
+        df.select(F.inline(F.array(*cells)))
         .groupBy("feature", "value_bin", "contribution_bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )

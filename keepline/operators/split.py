@@ -17,13 +17,12 @@ from pyspark.sql import functions as F
 
 MAX_CLASSES = 1000
 MAX_RANGES = 200_000
-HASH_BITS = 32
+HASH_DIGITS = 8
 
 
 def key_hash(key: Column, seed: int) -> Column:
-    """32-bit number from the key; the same in any engine that has md5."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    """Eight hex digits from the key; the same in any engine that has md5."""
+    return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, HASH_DIGITS)
 
 
 def classes_of(df: DataFrame, label: str) -> list[tuple]:
@@ -43,18 +42,18 @@ def per_class(label: str, values: dict) -> Column:
 
 
 def rank_keys(
-    df: DataFrame, key: str, label: str, seed: int, ranks: dict, bits: int = 14
-) -> dict[tuple, tuple[int, object]]:
+    df: DataFrame, key: str, label: str, seed: int, ranks: dict, digits: int = 3
+) -> dict[tuple, tuple[str, object]]:
     """The (hash, key) found at each wanted 1-based rank of each class.
 
-    ``2**bits`` hash ranges per class; a range of the data is all one task ever sorts, so raise
-    ``bits`` with the data. Rows of equal key count together and stay together.
+    ``16**digits`` hash ranges per class; a range of the data is all one task ever sorts, so
+    raise ``digits`` with the data. Rows of equal key count together and stay together.
     """
-    bits = min(bits, int(math.log2(MAX_RANGES / max(len(ranks), 1))))
+    digits = max(1, min(digits, int(math.log(MAX_RANGES / max(len(ranks), 1), 16))))
     rows = df.select(F.col(label).alias("y"), F.col(key).alias("k")).withColumn(
         "h", key_hash(F.col("k"), seed)
     )
-    in_range = F.shiftright("h", HASH_BITS - bits)
+    in_range = F.substring("h", 1, digits)
     counts = rows.groupBy("y", in_range.alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()
     sizes: dict = {}
     for c in sorted(counts, key=lambda c: c["r"]):
@@ -92,10 +91,10 @@ def rank_keys(
     return out
 
 
-def _up_to(key: str, seed: int, point: tuple[int, object]) -> Column:
-    """Whether a row comes at or before the point in hash order."""
-    h, k = key_hash(F.col(key), seed), point
-    return (h < k[0]) | ((h == k[0]) & (F.col(key) <= F.lit(k[1])))
+def _up_to(key: str, point: tuple[str, object]) -> Column:
+    """Whether a row, its hash in ``_h``, comes at or before the point in hash order."""
+    h, k = point
+    return (F.col("_h") < h) | ((F.col("_h") == h) & (F.col(key) <= F.lit(k)))
 
 
 def test_quotas(classes: list[tuple], test_size: float) -> dict:
@@ -111,18 +110,19 @@ def test_quotas(classes: list[tuple], test_size: float) -> dict:
 
 
 def stratified_split(
-    df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42, bits: int = 14
+    df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42, digits: int = 3
 ) -> DataFrame:
     """Adds ``split`` = 'train' | 'test' with exact class quotas.
 
     Membership depends on seed and key only, not on partitioning or row order.
     """
     quotas = test_quotas(classes_of(df, label), test_size)
-    points = rank_keys(df, key, label, seed, {y: [q] for y, q in quotas.items() if q}, bits)
+    points = rank_keys(df, key, label, seed, {y: [q] for y, q in quotas.items() if q}, digits)
     is_test = F.lit(False)
     for (y, _), point in points.items():
-        is_test = is_test | (F.col(label).eqNullSafe(F.lit(y)) & _up_to(key, seed, point))
-    return df.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
+        is_test = is_test | (F.col(label).eqNullSafe(F.lit(y)) & _up_to(key, point))
+    side = F.when(is_test, F.lit("test")).otherwise(F.lit("train"))
+    return df.withColumn("_h", key_hash(F.col(key), seed)).withColumn("split", side).drop("_h")
 
 
 def fold_sizes(classes: list[tuple], k: int) -> dict[object, list[int]]:
@@ -135,20 +135,20 @@ def fold_sizes(classes: list[tuple], k: int) -> dict[object, list[int]]:
 
 
 def stratified_folds(
-    df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42, out: str = "fold", bits: int = 14
+    df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42, out: str = "fold", digits: int = 3
 ) -> DataFrame:
     """Adds fold numbers 0..k-1; sizes differ by at most one, per class and overall."""
     ends = {y: list(accumulate(sizes)) for y, sizes in fold_sizes(classes_of(df, label), k).items()}
     cuts = {y: sorted({e for e in es[:-1] if e}) for y, es in ends.items()}
-    points = rank_keys(df, key, label, seed, cuts, bits)
+    points = rank_keys(df, key, label, seed, cuts, digits)
     fold = F.lit(None).cast("int")
     for y, es in ends.items():
         mine = F.lit(k - 1)
         for f in reversed(range(k - 1)):
             if es[f]:
-                mine = F.when(_up_to(key, seed, points[(y, es[f])]), F.lit(f)).otherwise(mine)
+                mine = F.when(_up_to(key, points[(y, es[f])]), F.lit(f)).otherwise(mine)
         fold = F.when(F.col(label).eqNullSafe(F.lit(y)), mine).otherwise(fold)
-    return df.withColumn(out, fold)
+    return df.withColumn("_h", key_hash(F.col(key), seed)).withColumn(out, fold).drop("_h")
 
 
 def split_summary(df: DataFrame, label: str, n_features: int) -> DataFrame:

@@ -33,7 +33,7 @@ def test_quotas_are_exact(spark):
 def test_split_does_not_depend_on_layout(spark):
     first = sides(stratified_split(table(spark), "key", "y"))
     again = sides(stratified_split(table(spark, parts=1).orderBy(F.desc("key")), "key", "y"))
-    coarse = sides(stratified_split(table(spark).repartition(7), "key", "y", bits=3))
+    coarse = sides(stratified_split(table(spark).repartition(7), "key", "y", digits=1))
     assert first == again == coarse
     assert sides(stratified_split(table(spark), "key", "y", seed=43)) != first
 
