@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keepline.functions.numbers import round_scaled
 from keepline.operators.clean import binary_target, coerce_numeric, impute_constant
 from keepline.operators.decide import flag_at_risk
 from keepline.operators.explain import feature_means, linear_contributions
@@ -70,14 +71,14 @@ def coefficients(spark: SparkSession) -> DataFrame:
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Features with the fixed scorer's probability."""
     out = linear_score(features(spark, sf), coefficients(spark))
-    return out.withColumn("churn_prob", F.round("churn_prob", DIGITS))
+    return out.withColumn("churn_prob", round_scaled(F.col("churn_prob"), DIGITS))
 
 
 def scored_twice(spark: SparkSession, sf: str) -> DataFrame:
     """With a second model's probability beside the first."""
     other = coefficient_frame(spark, OTHER_WEIGHTS, OTHER_INTERCEPT)
     out = linear_score(scored(spark, sf), other, "other_prob")
-    return out.withColumn("other_prob", F.round("other_prob", DIGITS))
+    return out.withColumn("other_prob", round_scaled(F.col("other_prob"), DIGITS))
 
 
 def explained(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,7 +88,7 @@ def explained(spark: SparkSession, sf: str) -> DataFrame:
     out = linear_contributions(rows, coefficients(spark), means)
     rounded = F.transform(
         "contributions",
-        lambda c: F.struct(c["feature"].alias("feature"), F.round(c["contribution"], DIGITS).alias("contribution")),
+        lambda c: F.struct(c["feature"].alias("feature"), round_scaled(c["contribution"], DIGITS).alias("contribution")),
     )
     return out.withColumns({"contributions": rounded, "base_value": F.round("base_value", DIGITS)})
 

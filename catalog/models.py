@@ -12,6 +12,7 @@ from catalog.figures import rounded
 from catalog.registry import query
 from catalog.sql import scaled_round, sql
 from catalog.tables import metrics_sql
+from keepline.functions.numbers import round_scaled
 from keepline.operators.evaluate import (
     class_report, confusion_matrix, evaluate, roc_auc, roc_comparison, roc_curve, with_prediction,
 )
@@ -99,7 +100,7 @@ def _(spark, sf):
 @query("g07_linear_score", sql("SELECT customerID, churn_prob FROM scored"))
 def _(spark, sf):
     out = linear_score(features(spark, sf), coefficients(spark))
-    return out.select(KEY, F.round("churn_prob", DIGITS).alias("churn_prob"))
+    return out.select(KEY, round_scaled(F.col("churn_prob"), DIGITS).alias("churn_prob"))
 
 
 _PRED = "(SELECT Churn_Binary AS y, CASE WHEN churn_prob >= 0.5 THEN 1 ELSE 0 END AS p FROM scored)"

@@ -47,8 +47,14 @@ def margin(weights: dict[str, float], intercept: float) -> str:
     return out
 
 
+def scaled_round(expr: str, digits: int) -> str:
+    """Scale, round half to even, scale back."""
+    f = 10**digits
+    return f"CAST(round_even(({expr}) * {f}.0::DOUBLE, 0) AS DOUBLE) / {f}.0::DOUBLE"
+
+
 def prob(weights: dict[str, float], intercept: float) -> str:
-    return f"round(1.0::DOUBLE / (1.0::DOUBLE + exp(-{margin(weights, intercept)})), 6)"
+    return scaled_round(f"1.0::DOUBLE / (1.0::DOUBLE + exp(-{margin(weights, intercept)}))", 6)
 
 
 def fixed(expr: str, digits: int) -> str:
@@ -63,12 +69,6 @@ def signed(expr: str, digits: int) -> str:
     return f"(CASE WHEN {expr} < 0 THEN '' ELSE '+' END || {fixed(expr, digits)})"
 
 
-def scaled_round(expr: str, digits: int) -> str:
-    """Scale, round half to even, scale back."""
-    f = 10**digits
-    return f"CAST(round_even(({expr}) * {f}.0::DOUBLE, 0) AS DOUBLE) / {f}.0::DOUBLE"
-
-
 def strip(expr: str) -> str:
     chars = " || ".join(f"chr({ord(c)})" for c in WHITESPACE)
     return f"trim({expr}, {chars})"
@@ -101,7 +101,7 @@ def _online(cond: str) -> str:
 _SERVICES = " + ".join(f"CASE WHEN {c} = 'Yes' THEN 1 ELSE 0 END" for c in TELCO.services)
 
 _CONTRIB = ", ".join(
-    f"{{'f': '{f}', 'c': round(CAST({w} AS DOUBLE) * (CAST({f} AS DOUBLE) - m_{f}), 6), 'o': {i}}}"
+    f"{{'f': '{f}', 'c': " + scaled_round(f"CAST({w} AS DOUBLE) * (CAST({f} AS DOUBLE) - m_{f})", 6) + f", 'o': {i}}}"
     for i, (f, w) in enumerate(WEIGHTS.items())
 )
 _MEANS = ", ".join(f"avg(CAST({f} AS DOUBLE)) AS m_{f}" for f in WEIGHTS)
