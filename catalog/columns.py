@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import (
-    DIGITS, KEY, LABEL, WEIGHTS, explained, features, outcomes, prepared, scored, snapshots,
+    DIGITS, KEY, LABEL, WEIGHTS, decisions, explained, features, prepared, scored, snapshots,
 )
 from catalog.registry import query
-from catalog.sql import case, fixed, number, ranked, sql, strip
+from catalog.sql import case, fixed, number, sql, strip
 from catalog.tables import COMPARED, both_metrics, records
 from keepline.functions.text import lookup
 from keepline.operators.clean import (
@@ -20,7 +20,7 @@ from keepline.operators.encode import bools_to_int, fit_levels, map_binary, one_
 from keepline.operators.evaluate import metrics_side_by_side
 from keepline.operators.explain import customer_features
 from keepline.operators.features import (
-    active_services, charge_per_service, engineer, equals_flag, lifetime_value, recency_score, tenure_bucket,
+    active_services, charge_per_service, engineer, lifetime_value, recency_score, tenure_bucket,
 )
 from keepline.operators.profile import limit_users
 from keepline.operators.scale import apply_scaler, fit_scaler
@@ -355,8 +355,6 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    from catalog.base import decisions
-
     rows = decisions(spark, sf)
     first = F.get("top_reasons", F.lit(0))["feature"]
     return rows.select(

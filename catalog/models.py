@@ -17,7 +17,7 @@ from keepline.operators.evaluate import (
     class_report, confusion_matrix, evaluate, roc_auc, roc_comparison, roc_curve, with_prediction,
 )
 from keepline.operators.explain import (
-    contribution_grid, dependence, dependence_curve, explain, global_importance, linear_margins,
+    contribution_grid, dependence, dependence_curve, explain, global_importance,
     risk_hint, total_contribution, waterfall,
 )
 from keepline.operators.score import linear_score, read_coefficients, score

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import (
-    KEY, decisions, explained, outcomes, replies, snapshots, texts, with_profile,
+    KEY, decisions, outcomes, replies, snapshots, texts, with_profile,
 )
 from catalog.registry import query
 from catalog.sql import classify_prompt, exact, fixed, message_prompt, sql, strip
 from catalog.tables import records
 from keepline.operators.decide import (
-    assess_discount, classify_reply, classify_rule, is_flagged, ltv, one_reply_per_key,
+    assess_discount, classify_reply, classify_rule, is_flagged, ltv, one_reply_per_key, risk_level,
 )
 from keepline.operators.explain import explain
 from keepline.operators.messages import (
     classification_prompts, generate, message_context, message_prompts, parse_message,
 )
-from keepline.plans.decisions import decide
+from keepline.plans.decisions import flagged_decisions
 from keepline.plans.marts import log_view
 
 
@@ -176,9 +176,6 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Flagged customers with reason, risk type and offer, riskiest first."""
-    from keepline.operators.decide import risk_level
-    from keepline.plans.decisions import flagged_decisions
-
     rows = flagged_decisions(with_profile(spark, sf), KEY)
     first = F.get("top_reasons", F.lit(0))
     return rows.select(
