@@ -78,12 +78,13 @@ def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def features(counts: np.ndarray) -> np.ndarray:
-    """What the forest splits on: size, word length, and shares of symbols, repeats and short lines."""
-    words, chars, symbols, dup, repeat, lines = (counts[:, i].astype(float) for i in range(len(COUNTS)))
-    n, m = np.maximum(words, 1), np.maximum(lines, 1)
-    return np.column_stack(
-        [np.log1p(words), chars / n, symbols / n, dup / m, repeat / n, np.log1p(words / m)]
-    )
+    """What the forest splits on: mean word length, symbols a word, and the share of repeated words.
+
+    Sizes are left out: a document is not odd for being long or short.
+    """
+    words, chars, symbols, _, repeat, _ = (counts[:, i].astype(float) for i in range(len(COUNTS)))
+    n = np.maximum(words, 1)
+    return np.column_stack([chars / n, symbols / n, repeat / n])
 
 
 @dataclass

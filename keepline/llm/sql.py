@@ -51,3 +51,27 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(p.n, 0) AS n_hit, c
     sha256(coalesce(i.list, '')) AS items_sha256, coalesce(p.n, 0) > 0 AND 20 * coalesce(p.n, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN places p ON p.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id
 """
+
+SQL["op5_chat_format"] = r"""
+WITH turns AS (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+    FROM turns
+), m AS (
+    SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY i) IS NOT DISTINCT FROM role AS same,
+        length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '#', ''), '<', '')) AS chars,
+        length(role) + length(role)
+            - length(replace(replace(replace(replace(role, '\', ''), '#', ''), '<', ''), chr(10), '')) AS head
+    FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(chars + 7 + CASE WHEN same THEN 0 ELSE head + 6 END) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""
