@@ -22,11 +22,11 @@ def _lines(text: Column) -> Column:
 
 
 def _hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    text = F.col(text_col)
-    keys = F.transform(_lines(ascii_lower(text)), lambda x: F.btrim(x, F.lit(SPACE)))
-    rows = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("doc"), F.xxhash64(text).alias("version"), F.posexplode(keys).alias("pos", "key")
-    )
+    # the hash of a text is worked out once, below the explode, and not for every line
+    text = docs[text_col]
+    rows = docs.select(docs[id_col].alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
+    keys = F.transform(_lines(ascii_lower(F.col("text"))), lambda x: F.btrim(x, F.lit(SPACE)))
+    rows = rows.where("doc is not null").select("doc", "version", F.posexplode(keys).alias("pos", "key"))
     return rows.where(F.length("key") >= min_chars).select(
         "doc", "version", "pos", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2")
     )
@@ -94,19 +94,13 @@ def _dropped(bitmap: Column) -> Column:
 
 
 def _kept(lines: Column, dropped: Column) -> Column:
-    """The lines between the dropped ones; each stretch is one slice, so the work is linear."""
-
-    def stretches(both: Column) -> Column:
-        lines, dropped = both["lines"], both["dropped"]
-
-        def stretch(i: Column) -> Column:
-            start = F.when(i == 0, F.lit(0)).otherwise(F.get(dropped, i - 1) + 1)
-            end = F.when(i == F.size(dropped), F.size(lines)).otherwise(F.get(dropped, i))
-            return F.slice(lines, start + 1, end - start)
+    """The lines whose positions are not dropped, in time linear in the lines."""
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(dropped)), stretch))
+    def rest(both: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(both["lines"]) - 1), both["dropped"])
+        return F.transform(places, lambda i: F.get(both["lines"], i))
 
-    return bound(F.struct(lines.alias("lines"), dropped.alias("dropped")), stretches)
+    return bound(F.struct(lines.alias("lines"), dropped.alias("dropped")), rest)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
