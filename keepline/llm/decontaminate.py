@@ -25,20 +25,38 @@ def words_of(text: Column) -> Column:
 
 
 def _window_hashes(words: Column, widths: list[int]) -> Column:
-    """Hashes of all windows: first those of the first width, by start, then those of the next."""
+    """Hashes of all windows, by start and then in the order of the widths; null beyond the end.
+
+    get() takes one word in constant time; slice() would copy all words for every window.
+    """
 
     def every(hashes: Column) -> Column:
-        def of(width: int) -> Column:
-            starts = F.when(
-                F.size(hashes) >= width, F.sequence(F.lit(1), F.size(hashes) - (width - 1))
-            ).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, width)))
+        def of(i: Column, width: int) -> Column:
+            window = F.xxhash64(*[F.get(hashes, i + k) for k in range(width)])
+            return F.when(i + width <= F.size(hashes), window)
 
-        return F.concat(*[of(w) for w in widths]) if len(widths) > 1 else of(widths[0])
+        starts = F.transform(hashes, lambda _, i: i)
+        if len(widths) == 1:
+            return F.transform(starts, lambda i: of(i, widths[0]))
+        return F.flatten(F.transform(starts, lambda i: F.array(*[of(i, w) for w in widths])))
 
     return bound(F.transform(words, lambda w: F.xxhash64(w)), every)
 
 
+def _hash_of(window: str, width: int) -> Column:
+    """The hash that `_window_hashes` gives such a window, whatever its width up to `width`."""
+    out = F.lit(None).cast("long")
+    for n in range(1, width + 1):
+        words = [F.xxhash64(F.get(window, F.lit(k))) for k in range(n)]
+        out = F.when(F.size(window) == n, F.xxhash64(*words)).otherwise(out)
+    return out
+
+
+def _stretch(words: Column, start: Column, width: Column) -> Column:
+    """`width` words from place `start` (from 1), in time that does not depend on the other words."""
+    return F.transform(F.sequence(start - 1, start + width - 2), lambda j: F.get(words, j))
+
+
 def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(hash, width, window, items): each distinct window with the ids, as strings, of its items.
 
@@ -49,11 +67,13 @@ def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str
         benchmark[item_col].cast("string").alias("item"), words_of(benchmark[text_col]).alias("words")
     ).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (width - 1), F.lit(1)))
-    rows = rows.select("item", "words", F.explode(starts).alias("start"))
-    rows = rows.select("item", F.slice("words", F.col("start"), F.lit(width)).alias("window"))
+    windows = bound(
+        F.col("words"), lambda ws: F.transform(starts, lambda i: _stretch(ws, i, F.least(F.lit(width), F.size(ws))))
+    )
+    rows = rows.select("item", F.explode(windows).alias("window"))
     grouped = rows.groupBy("window").agg(F.collect_set("item").alias("items"))
     return grouped.select(
-        F.xxhash64(F.transform("window", lambda w: F.xxhash64(w))).alias("hash"),
+        _hash_of("window", width).alias("hash"),
         F.size("window").alias("width"),
         F.array_join("window", " ").alias("window"),
         "items",
@@ -102,7 +122,7 @@ def decontaminate(
         bound(
             words,
             lambda ws: F.filter(
-                "hits", lambda h: F.array_join(F.slice(ws, h["start"], h["width"]), " ") == h["window"]
+                "hits", lambda h: F.array_join(_stretch(ws, h["start"], h["width"]), " ") == h["window"]
             ),
         ),
     ).otherwise(F.expr("cast(array() as array<struct<start:int,width:int,window:string,items:array<string>>>)"))
@@ -127,18 +147,13 @@ def decontaminate(
 
 def _hits(docs: DataFrame, id_col: str, text_col: str, widths: list[int], windows: DataFrame) -> DataFrame:
     """(hit_doc, hit_version, hits) of the documents with windows whose hash is in the table."""
-    words = words_of(docs[text_col])
-    rows = docs.select(
-        docs[id_col].alias("hit_doc"),
-        F.xxhash64(docs[text_col]).alias("hit_version"),
-        F.posexplode(_window_hashes(words, widths)).alias("at", "hash"),
-        *([F.size(words).alias("n")] if len(widths) > 1 else []),
-    )
-    start, before = F.lit(None).cast("int"), F.lit(0)
-    for w in widths:  # where this width's hashes begin in the exploded array
-        start = F.when(F.col("width") == w, F.col("at") - before + 1).otherwise(start)
-        before = before + F.greatest(F.col("n") - (w - 1), F.lit(0)) if len(widths) > 1 else before
-    hit = rows.join(windows, "hash").withColumn("start", start)
+    text = docs[text_col]
+    # the hash of a text is worked out here, once, and not after the explode, for every window
+    rows = docs.select(docs[id_col].alias("hit_doc"), F.xxhash64(text).alias("hit_version"), text.alias("text"))
+    rows = rows.select(
+        "hit_doc", "hit_version", F.posexplode(_window_hashes(words_of(F.col("text")), widths)).alias("at", "hash")
+    ).where(F.col("hash").isNotNull())
+    hit = rows.join(windows, "hash").withColumn("start", F.expr(f"at div {len(widths)} + 1").cast("int"))
     return (
         hit.select("hit_doc", "hit_version", F.struct("start", "width", "window", "items").alias("hit"))
         .groupBy("hit_doc", "hit_version")
