@@ -126,11 +126,12 @@ def pack(
     twice that many. A null source conflicts with nothing. Repeated rows are packed each, as copies.
     """
     kind = type_of(docs, id_col)
+    # inline, not the fields of a struct: each text is then cut into words only once
     rows = docs.select(
         docs[id_col].alias("doc"),
         docs[source_col].cast("string").alias("source"),
-        word_count_and_group(docs[text_col]).alias("words"),
-    ).select("doc", "source", F.col("words.n").alias("n"), F.col("words.group").alias("group"))
+        F.inline(F.array(word_count_and_group(docs[text_col]))),
+    )
     pieces = stored(
         rows.select(
             "doc",
