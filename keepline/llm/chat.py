@@ -56,7 +56,7 @@ def _formatted(turns: Column) -> Column:
             start = F.get(starts, k)
             end = F.coalesce(F.get(starts, k + 1), F.size(turns))
             texts = F.transform(
-                F.slice(turns, start + 1, end - start), lambda t: F.concat(escape(t["text"]), F.lit(END))
+                F.sequence(start, end - 1), lambda j: F.concat(escape(F.get(turns, j)["text"]), F.lit(END))
             )
             role = _escape_role(F.get(turns, start)["role"])
             return F.concat(F.lit(HEAD), role, F.lit("\n"), F.array_join(texts, ""), F.lit("\n"))
