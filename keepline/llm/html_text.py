@@ -146,8 +146,7 @@ class _Page:
             around = _marked(rest, main)
         self.in_link += name == "a"
         self.heading += name in HEADINGS
-        if not rest.endswith("/"):
-            self.stack.append(_Open(name, around, main))
+        self.stack.append(_Open(name, around, main))
 
     def end(self, name: str) -> None:
         if name in BLOCKS:
@@ -209,7 +208,7 @@ def judge(block: Block) -> str:
     if block.heading:
         return "short"
     if n < SHORT:
-        return "bad" if block.links else "short"
+        return "bad" if block.links and not block.main else "short"
     words = block.text.lower().split()
     stops = sum(map(STOP_WORDS.__contains__, words)) / max(len(words), 1)
     if stops >= MANY_STOPS:

@@ -70,7 +70,7 @@ def test_pieces_of_long_texts(spark, rows, docs, monkeypatch):
 
     class Column(list):
         def to_pylist(self):
-            return list(self)
+            return self[:]
 
         def __iter__(self):
             return iter([type("V", (), {"as_py": lambda self, v=v: v})() for v in list.__iter__(self)])
