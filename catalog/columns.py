@@ -13,7 +13,7 @@ from catalog.tables import COMPARED, both_metrics, records
 from keepline.functions.text import lookup
 from keepline.operators.clean import (
     binary_target, coerce_numeric, drop_columns, drop_exact_duplicates, duplicate_counts,
-    fit_medians, impute, impute_constant, trim_strings,
+    fit_medians, impute, impute_constant, latest_per_key, trim_strings,
 )
 from keepline.operators.decide import contract_from_one_hot, flag_at_risk, profile_for_decision, risk_level
 from keepline.operators.encode import bools_to_int, fit_levels, map_binary, one_hot
@@ -86,6 +86,19 @@ def _(spark, sf):
     return drop_exact_duplicates(snapshots(spark, sf).select(*_ATTRIBUTES))
 
 
+@query(
+    "b06_latest_per_key",
+    "SELECT l_orderkey, l_linenumber, l_extendedprice, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER ("
+    "PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice DESC, l_partkey DESC, l_suppkey DESC) AS place FROM lineitem) WHERE place = 1",
+)
+def _(spark, sf):
+    """Order lines, whose key repeats, with one row per key: the dearest."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey"
+    )
+    return latest_per_key(lines, ["l_orderkey", "l_linenumber"], ["l_extendedprice"])
+
+
 @query(
     "b06_duplicate_counts",
     sql(

@@ -157,18 +157,19 @@ def _(spark, sf):
 @query(
     "e10_run_summary",
     sql(
-        "SELECT count(*) AS processed, count(*) FILTER (action = 'email_sent') AS flagged, count(*) FILTER (action = 'no_action') AS skipped, "
-        "count(*) FILTER (action = 'email_sent') AS messages, count(*) FILTER (eligible) AS eligible, round(avg(churn_prob), 9) AS mean_prob FROM outcomes"
+        "SELECT count(*) AS processed, count(*) FILTER (action <> 'no_action') AS flagged, count(*) FILTER (action = 'no_action') AS skipped, "
+        "count(*) FILTER (action = 'email_sent') AS messages, count(*) FILTER (action = 'pending') AS pending, "
+        "count(*) FILTER (eligible) AS eligible, (SELECT round(avg(churn_prob), 9) FROM scored) AS mean_prob FROM outcomes"
     ),
 )
 def _(spark, sf):
-    return rounded(run_summary(outcomes(spark, sf)), "mean_prob", digits=9)
+    return rounded(run_summary(outcomes(spark, sf), scored(spark, sf)), "mean_prob", digits=9)
 
 
 @query(
     "e11_risk_type_breakdown",
     sql(
-        "SELECT k.risk_type, count(o.user_id) AS n, round(CAST(count(o.user_id) AS DOUBLE) / greatest((SELECT count(*) FROM outcomes WHERE action = 'email_sent'), 1) * 100, 9) AS pct_of_flagged "
+        "SELECT k.risk_type, count(o.user_id) AS n, round(CAST(count(o.user_id) AS DOUBLE) / greatest((SELECT count(*) FROM outcomes WHERE action <> 'no_action'), 1) * 100, 9) AS pct_of_flagged "
         "FROM (SELECT unnest(['disengagement', 'support_issue']) AS risk_type) k LEFT JOIN outcomes o ON o.risk_type = k.risk_type GROUP BY k.risk_type"
     ),
 )
@@ -180,7 +181,8 @@ def _(spark, sf):
     "e12_kpis",
     sql(
         "SELECT count(*) AS users, count(*) FILTER (flagged = 1) AS flagged, count(*) FILTER (churn_prob >= 0.8) AS high_risk, "
-        "round(avg(true_label), 9) AS churn_rate, (SELECT count(*) FROM decided) AS messages, (SELECT count(*) FROM decided WHERE eligible) AS discounts FROM risk"
+        "round(avg(true_label), 9) AS churn_rate, (SELECT count(*) FROM outcomes WHERE action = 'email_sent') AS messages, "
+        "(SELECT count(*) FROM outcomes WHERE action = 'email_sent' AND eligible) AS discounts FROM risk"
     ),
 )
 def _(spark, sf):
@@ -216,16 +218,16 @@ _STD = ", ".join(f"stddev_pop(CAST({f} AS DOUBLE)) AS s_{f}" for f in WEIGHTS)
     sql(
         f", s AS (SELECT {_STD} FROM feat) SELECT feature, ordinal, round(weight, {DIGITS}) AS weight FROM (SELECT u.f AS feature, u.o AS ordinal, u.w AS weight FROM (SELECT unnest(["
         + ", ".join(f"{{'f': '{f}', 'o': {i + 1}, 'w': CAST({w} AS DOUBLE) * s_{f}}}" for i, (f, w) in enumerate(WEIGHTS.items()))
-        + "]) AS u FROM s)) ORDER BY abs(weight) DESC LIMIT 5"
+        + "]) AS u FROM s)) ORDER BY abs(weight) DESC LIMIT 15"
     ),
 )
 def _(spark, sf):
-    """Coefficients on the scale of standardised features, the five largest."""
+    """Coefficients on the scale of standardised features, the fifteen largest."""
     spread = fit_scaler(features(spark, sf), list(WEIGHTS)).select("feature", "scale")
     table = coefficients(spark).join(spread, "feature").select(
         "feature", "ordinal", (F.col("weight") * F.col("scale")).alias("weight")
     )
-    return rounded(top_coefficients(table, 5), "weight")
+    return rounded(top_coefficients(table, 15), "weight")
 
 
 @query(
@@ -240,7 +242,7 @@ def _(spark, sf):
     "f04_first_flagged",
     sql(
         "SELECT user_id, format('{:.1f}', churn_prob * 100.0::DOUBLE) || '%' AS churn_prob_text, risk_type, discount_pct || '%' AS discount, "
-        "substring(email_subject, 1, 40) AS subject FROM outcomes WHERE action = 'email_sent' ORDER BY user_id LIMIT 20"
+        "substring(email_subject, 1, 40) AS subject FROM outcomes WHERE action <> 'no_action' ORDER BY user_id LIMIT 20"
     ),
 )
 def _(spark, sf):
@@ -250,7 +252,7 @@ def _(spark, sf):
 @query(
     "f04_latest_messages",
     sql(
-        "SELECT customerID AS user_id, strftime(as_of, '%Y-%m-%dT00:00:00') AS timestamp, risk_type FROM decided ORDER BY as_of DESC, customerID DESC LIMIT 5"
+        "SELECT customerID AS user_id, strftime(as_of, '%Y-%m-%dT00:00:00') AS timestamp, risk_type FROM decided WHERE PaperlessBilling = 'Yes' ORDER BY as_of DESC, customerID DESC LIMIT 5"
     ),
 )
 def _(spark, sf):

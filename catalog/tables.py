@@ -103,7 +103,7 @@ def _(spark, sf):
 
 
 def records(spark, sf):
-    """Log records of all flagged customers, stamped with their snapshot date."""
+    """Log records of the customers with a written message, stamped with their snapshot date."""
     ready = decisions(spark, sf).join(texts(spark, sf), KEY, "left")
     return message_records(ready, KEY, stamp=F.date_format("as_of", "yyyy-MM-dd'T'HH:mm:ss"))
 
@@ -157,21 +157,22 @@ def _(spark, sf):
 @query(
     "a12_run_report_summary",
     sql(
-        """, t AS (SELECT count(*) AS n, count(*) FILTER (action = 'email_sent') AS f, count(*) FILTER (eligible) AS e,
-             avg(churn_prob) AS m FROM outcomes)
+        """, t AS (SELECT count(*) AS n, count(*) FILTER (action <> 'no_action') AS f, count(*) FILTER (eligible) AS e,
+             count(*) FILTER (action = 'email_sent') AS w, (SELECT avg(churn_prob) FROM scored) AS m FROM outcomes)
         SELECT 1 AS ordinal, 'Total users processed' AS metric, format('{:,}', n) AS value FROM t
         UNION ALL SELECT 2, 'Flagged (above threshold)', format('{:,}', f) FROM t
         UNION ALL SELECT 3, 'Below threshold (no action)', format('{:,}', n - f) FROM t
-        UNION ALL SELECT 4, 'Emails generated', format('{:,}', f) FROM t
-        UNION ALL SELECT 5, 'Discount eligible', format('{:,}', e) FROM t
-        UNION ALL SELECT 6, 'Avg churn probability', """ + fixed("m * 100.0::DOUBLE", 1) + " || '%' FROM t"
+        UNION ALL SELECT 4, 'Emails generated', format('{:,}', w) FROM t
+        UNION ALL SELECT 5, 'Emails not yet written', format('{:,}', f - w) FROM t
+        UNION ALL SELECT 6, 'Discount eligible', format('{:,}', e) FROM t
+        UNION ALL SELECT 7, 'Avg churn probability', """ + fixed("m * 100.0::DOUBLE", 1) + " || '%' FROM t"
     ),
 )
 def _(spark, sf):
-    return run_report(outcomes(spark, sf)).summary
+    return run_report(outcomes(spark, sf), scored(spark, sf)).summary
 
 
-_BREAKDOWN = """, t AS (SELECT count(*) AS f FROM outcomes WHERE action = 'email_sent'),
+_BREAKDOWN = """, t AS (SELECT count(*) AS f FROM outcomes WHERE action <> 'no_action'),
   k AS (SELECT unnest(['disengagement', 'support_issue']) AS risk_type),
   c AS (SELECT k.risk_type, count(o.risk_type) AS n FROM k LEFT JOIN outcomes o ON o.risk_type = k.risk_type GROUP BY 1)
 """
@@ -182,7 +183,7 @@ _BREAKDOWN = """, t AS (SELECT count(*) AS f FROM outcomes WHERE action = 'email
     sql(_BREAKDOWN + "SELECT risk_type, n, " + fixed("CAST(n AS DOUBLE) / greatest(f, 1) * 100", 1) + " || '%' AS pct_text FROM c, t"),
 )
 def _(spark, sf):
-    return run_report(outcomes(spark, sf)).breakdown.select("risk_type", "n", "pct_text")
+    return run_report(outcomes(spark, sf), scored(spark, sf)).breakdown.select("risk_type", "n", "pct_text")
 
 
 @query(
@@ -190,11 +191,11 @@ def _(spark, sf):
     sql(
         "SELECT user_id, " + fixed("churn_prob * 100.0::DOUBLE", 1) + " || '%' AS churn_prob_text, risk_type, "
         "discount_pct || '%' AS discount, substring(email_subject, 1, 40) AS subject FROM outcomes "
-        "WHERE action = 'email_sent' ORDER BY user_id LIMIT 20"
+        "WHERE action <> 'no_action' ORDER BY user_id LIMIT 20"
     ),
 )
 def _(spark, sf):
-    return run_report(outcomes(spark, sf)).flagged
+    return run_report(outcomes(spark, sf), scored(spark, sf)).flagged
 
 
 def metrics_sql(prob: str, name: str) -> str:

@@ -50,6 +50,18 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key: the one that is largest by ``order``, then by the other columns.
+
+    Nulls are smallest, and rows without a key are one key. The largest row is kept in the
+    map-side aggregate, so a key held by most rows costs a row per task.
+    """
+    rest = [c for c in df.columns if c not in [*keys, *order]]
+    row = F.struct(*[df[c] for c in [*order, *rest]])
+    kept = df.groupBy(*[df[k] for k in keys]).agg(F.max(row).alias("_row"))
+    return kept.select(*keys, "_row.*").select(*df.columns)
+
+
 def duplicate_counts(df: DataFrame) -> DataFrame:
     """Rows before and after removing exact duplicates, in one pass.
 

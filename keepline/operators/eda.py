@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepline.session import pin
 
 
 def rate_by(df: DataFrame, cats: list[str], label: str) -> DataFrame:
@@ -52,14 +51,12 @@ def histogram(
 ) -> DataFrame:
     """Equal-width histogram from minimum to maximum (per class of ``by``), last bin closed.
 
-    Empty bins are absent. The class ranges are a checked, small parameter table.
+    Empty bins are absent. The class ranges are a table of one row per class.
     """
     keys = [by] if by else []
     values = df.select(*keys, F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
-    ranges = pin(
-        values.groupBy(*keys).agg(
-            F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("total")
-        )
+    ranges = values.groupBy(*keys).agg(
+        F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("total")
     )
     if by:
         spread = values.join(ranges.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepline.functions.numbers import round_exact, safe_divide
-from keepline.operators.ranks import BUCKETS, value_totals
+from keepline.operators.ranks import value_totals
 from keepline.roles import METRICS
 
 METRIC_DIGITS = 4
@@ -55,14 +55,17 @@ def threshold_metrics(df: DataFrame, label: str, prediction: str = "prediction")
     )
 
 
-def _ranked(df: DataFrame, prob: str, label: str, buckets: int) -> DataFrame:
-    """One row per distinct score with running positives and negatives from the top."""
+def _ranked(df: DataFrame, prob: str, label: str, buckets: int | None) -> DataFrame:
+    """One row per distinct score with running positives and negatives from the top.
+
+    A row without a usable score is an error: nothing is left out of an evaluation silently.
+    """
     rows = df.select((-F.col(prob)).alias("neg_score"), F.col(label).cast("long").alias("y"))
     sums = {"pos": F.col("y"), "neg": F.lit(1).cast("long") - F.col("y")}
     return value_totals(rows, "neg_score", sums, buckets)
 
 
-def roc_auc(df: DataFrame, prob: str, label: str, buckets: int = BUCKETS) -> DataFrame:
+def roc_auc(df: DataFrame, prob: str, label: str, buckets: int | None = None) -> DataFrame:
     """One row: the exact area under the ROC curve, ties counted half; null for one class only."""
     return _ranked(df, prob, label, buckets).agg(*_area()).select(_auc().alias("roc_auc"))
 
@@ -80,12 +83,10 @@ def _auc() -> Column:
     return F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("area") / F.col("p") / F.col("n"))
 
 
-def roc_curve(df: DataFrame, prob: str, label: str, buckets: int = BUCKETS) -> DataFrame:
+def roc_curve(df: DataFrame, prob: str, label: str, buckets: int | None = None) -> DataFrame:
     """Every point of the ROC curve: (threshold, fpr, tpr), the origin included."""
     ranked = _ranked(df, prob, label, buckets)
-    totals = df.where(F.col(prob).isNotNull()).agg(
-        F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")
-    )
+    totals = ranked.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     pos, neg = totals.select("p").scalar(), totals.select("n").scalar()
     points = ranked.select(
         (-F.col("neg_score")).alias("threshold"),
@@ -99,7 +100,7 @@ def roc_curve(df: DataFrame, prob: str, label: str, buckets: int = BUCKETS) -> D
 
 
 def roc_comparison(
-    df: DataFrame, probs: dict[str, str], label: str, points: int | None = None, buckets: int = BUCKETS
+    df: DataFrame, probs: dict[str, str], label: str, points: int | None = None, buckets: int | None = None
 ) -> DataFrame:
     """ROC points of several models, plus the diagonal, as (model, threshold, fpr, tpr).
 
@@ -123,13 +124,15 @@ def roc_comparison(
     return out
 
 
-def evaluate(df: DataFrame, model: str, prob: str, label: str, threshold: float = 0.5) -> DataFrame:
+def evaluate(
+    df: DataFrame, model: str, prob: str, label: str, threshold: float = 0.5, buckets: int | None = None
+) -> DataFrame:
     """Long metric table (model, metric, value), values to four decimals.
 
     All five come from the same per-score totals, so the rows are grouped once.
     """
     above_cut = F.col("neg_score") <= -threshold
-    sums = _ranked(df, prob, label, BUCKETS).agg(
+    sums = _ranked(df, prob, label, buckets).agg(
         *_area(),
         F.sum(F.when(above_cut, F.col("pos")).otherwise(0)).alias("tp"),
         F.sum(F.when(above_cut, F.col("neg")).otherwise(0)).alias("fp"),

@@ -1,8 +1,9 @@
 """Exact running totals and order statistics without a single-task sort.
 
-Values are cut into ordered buckets at approximate quantiles. Row counts per bucket are a small
-table whose running sum gives each bucket's offset, so buckets can be worked on independently.
-Any cut points give exact results; good ones only balance the work.
+The rows are grouped by value once and the totals stored; everything else reads that table. Its
+values are cut into ordered buckets at approximate quantiles. Totals per bucket are a small table
+whose running sum gives each bucket's offset, so buckets can be worked on independently. Any cut
+points give exact results; good ones only balance the work.
 """
 
 from __future__ import annotations
@@ -14,34 +15,47 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepline.session import as_table
+
 _BUCKET = "_bucket"
-# One task sorts one bucket; raise this with the number of distinct values.
-BUCKETS = 512
+_ROWS = "_rows"
+PER_BUCKET = 100_000  # distinct values that one task sorts
+
+
+def _grouped(df: DataFrame, col: str, sums: dict[str, Column], skip_unusable: bool) -> DataFrame:
+    """One stored row per distinct value. Rows without a usable value are skipped or an error."""
+    added = [F.sum(e).alias(name) for name, e in sums.items()]
+    table = as_table(df.groupBy(col).agg(*added, F.count(F.lit(1)).alias(_ROWS)), "totals")
+    unusable = F.col(col).isNull() | F.isnan(col)
+    if not skip_unusable:
+        lost = table.where(unusable).agg(F.sum(_ROWS)).first()[0]
+        if lost:
+            raise ValueError(f"{lost} rows have no usable {col}")
+    return table.where(~unusable)
 
 
-def in_buckets(df: DataFrame, col: str, buckets: int) -> DataFrame:
-    """Rows with a usable value and their ordered bucket number.
+def _in_buckets(grouped: DataFrame, col: str, buckets: int | None) -> DataFrame:
+    """The grouped rows with their ordered bucket number.
 
-    At most ``buckets`` cut points reach the driver. They become constants of the plan, so
-    every pass, and every retry, sees the same ones.
+    The number of buckets follows the number of distinct values. The cut points become constants of
+    the plan, so every pass, and every retry, sees the same ones.
     """
-    rows = df.where(F.col(col).isNotNull() & ~F.isnan(col))
+    buckets = buckets or max(1, -(-grouped.count() // PER_BUCKET))
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(rows.approxQuantile(col, probs, 1.0 / (2 * buckets)))) if probs else []
+    cuts = sorted(set(grouped.approxQuantile(col, probs, 1.0 / (2 * buckets)))) if probs else []
     if not cuts:
-        return rows.withColumn(_BUCKET, F.lit(0.0))
+        return grouped.withColumn(_BUCKET, F.lit(0.0))
     splits = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol=col, outputCol=_BUCKET).transform(rows)
+    return Bucketizer(splits=splits, inputCol=col, outputCol=_BUCKET).transform(grouped)
 
 
-def value_totals(df: DataFrame, col: str, sums: dict[str, Column], buckets: int = BUCKETS) -> DataFrame:
+def value_totals(df: DataFrame, col: str, sums: dict[str, Column], buckets: int | None = None) -> DataFrame:
     """One row per distinct value with its sums, and the running sums ``cum_*`` up to it.
 
-    Equal values collapse in the first aggregate, so a value held by most rows costs one row.
+    The rows are read once. A value held by most rows costs one row. Null or NaN is an error.
     """
-    rows = in_buckets(df, col, buckets)
-    added = [F.sum(e).alias(name) for name, e in sums.items()]
-    totals = rows.groupBy(_BUCKET).agg(*added).orderBy(_BUCKET)
+    rows = _in_buckets(_grouped(df, col, sums, skip_unusable=False), col, buckets)
+    totals = rows.groupBy(_BUCKET).agg(*[F.sum(name).alias(name) for name in sums]).orderBy(_BUCKET)
     per_bucket = totals.collect()
     before = {name: [0, *accumulate(r[name] for r in per_bucket)] for name in sums}
     offsets = df.sparkSession.createDataFrame(
@@ -50,22 +64,21 @@ def value_totals(df: DataFrame, col: str, sums: dict[str, Column], buckets: int
     )
     inside = Window.partitionBy(_BUCKET).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.groupBy(_BUCKET, col)
-        .agg(*added)
-        .withColumns({f"cum_{n}": F.sum(n).over(inside) for n in sums})
+        rows.withColumns({f"cum_{n}": F.sum(n).over(inside) for n in sums})
         .join(offsets, F.col(_BUCKET) == F.col("_b"))
         .select(col, *sums, *[(F.col(f"cum_{n}") + F.col(f"_before_{n}")).alias(f"cum_{n}") for n in sums])
     )
 
 
-def exact_median(df: DataFrame, col: str, buckets: int = BUCKETS) -> float | None:
-    """The exact median: mean of the two middle values, None without values.
+def exact_median(df: DataFrame, col: str, buckets: int | None = None) -> float | None:
+    """The exact median: mean of the two middle values; nulls and NaN don't count, None without values.
 
     Counts per bucket tell where the middle ranks are; only that bucket's distinct values are
     sorted.
     """
-    rows = in_buckets(df.select(F.col(col).cast("double").alias("v")), "v", buckets)
-    sizes = rows.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("n")).orderBy(_BUCKET).collect()
+    values = df.select(F.col(col).cast("double").alias("v"))
+    rows = _in_buckets(_grouped(values, "v", {}, skip_unusable=True), "v", buckets)
+    sizes = rows.groupBy(_BUCKET).agg(F.sum(_ROWS).alias("n")).orderBy(_BUCKET).collect()
     ends = list(accumulate(r["n"] for r in sizes))
     if not ends:
         return None
@@ -74,15 +87,10 @@ def exact_median(df: DataFrame, col: str, buckets: int = BUCKETS) -> float | Non
         i = bisect_left(ends, rank)
         places.append((sizes[i][_BUCKET], rank - (ends[i - 1] if i else 0)))
     up_to = Window.partitionBy(_BUCKET).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        rows.where(F.col(_BUCKET).isin([b for b, _ in places]))
-        .groupBy(_BUCKET, "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("end", F.sum("n").over(up_to))
-    )
+    ranked = rows.where(F.col(_BUCKET).isin([b for b, _ in places])).withColumn("end", F.sum(_ROWS).over(up_to))
 
     def covers(bucket: float, rank: int) -> Column:
-        return (F.col(_BUCKET) == bucket) & (F.col("end") >= rank) & (F.col("end") - F.col("n") < rank)
+        return (F.col(_BUCKET) == bucket) & (F.col("end") >= rank) & (F.col("end") - F.col(_ROWS) < rank)
 
     found = ranked.agg(*[F.max(F.when(covers(b, r), F.col("v"))) for b, r in places]).first()
     return (found[0] + found[1]) / 2

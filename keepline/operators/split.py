@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_CLASSES = 1000
-MAX_RANGES = 200_000
+MAX_RANGES = 4_000_000
+PER_RANGE = 500_000  # rows of a class that one task looks at closely
 HASH_DIGITS = 8
 
 
@@ -42,19 +43,26 @@ def per_class(label: str, values: dict) -> Column:
 
 
 def rank_keys(
-    df: DataFrame, key: str, label: str, seed: int, ranks: dict, digits: int = 3
+    df: DataFrame, key: str, label: str, seed: int, ranks: dict, digits: int | None = None
 ) -> dict[tuple, tuple[str, object]]:
     """The (hash, key) found at each wanted 1-based rank of each class.
 
-    ``16**digits`` hash ranges per class; a range of the data is all one task ever sorts, so
-    raise ``digits`` with the data. Rows of equal key count together and stay together.
+    ``16**digits`` hash ranges per class; a range is all one task ever sorts, and unless told
+    otherwise their number follows the highest rank. Rows of equal key count together and stay
+    together, so quotas are exact for unique keys (see ``latest_per_key``). A null key is an error.
     """
-    digits = max(1, min(digits, int(math.log(MAX_RANGES / max(len(ranks), 1), 16))))
+    if digits is None:
+        highest = max((r for places in ranks.values() for r in places), default=1)
+        digits = min(max(1, math.ceil(math.log(max(highest / PER_RANGE, 1), 16))) + 1, HASH_DIGITS)
+    if 16**digits * max(len(ranks), 1) > MAX_RANGES:
+        raise ValueError(f"{digits} digits for {len(ranks)} classes make more than {MAX_RANGES} ranges")
     rows = df.select(F.col(label).alias("y"), F.col(key).alias("k")).withColumn(
         "h", key_hash(F.col("k"), seed)
     )
     in_range = F.substring("h", 1, digits)
     counts = rows.groupBy("y", in_range.alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()
+    if any(c["r"] is None for c in counts):
+        raise ValueError(f"{key} has null values; every row needs a key")
     sizes: dict = {}
     for c in sorted(counts, key=lambda c: c["r"]):
         sizes.setdefault(c["y"], []).append((c["r"], c["n"]))
@@ -110,7 +118,7 @@ def test_quotas(classes: list[tuple], test_size: float) -> dict:
 
 
 def stratified_split(
-    df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42, digits: int = 3
+    df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42, digits: int | None = None
 ) -> DataFrame:
     """Adds ``split`` = 'train' | 'test' with exact class quotas.
 
@@ -135,7 +143,7 @@ def fold_sizes(classes: list[tuple], k: int) -> dict[object, list[int]]:
 
 
 def stratified_folds(
-    df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42, out: str = "fold", digits: int = 3
+    df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42, out: str = "fold", digits: int | None = None
 ) -> DataFrame:
     """Adds fold numbers 0..k-1; sizes differ by at most one, per class and overall."""
     ends = {y: list(accumulate(sizes)) for y, sizes in fold_sizes(classes_of(df, label), k).items()}

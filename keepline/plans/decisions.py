@@ -11,7 +11,7 @@ from keepline.functions.numbers import percent_text, round_exact
 from keepline.functions.text import render
 from keepline.operators.decide import CONFIG, detect_behavior, is_flagged, with_discount
 from keepline.operators.explain import explain
-from keepline.operators.messages import parse_message
+from keepline.operators.messages import is_written, parse_message
 from keepline.roles import IDLE_REASON, DecisionConfig
 
 
@@ -63,7 +63,8 @@ def with_texts(decided: DataFrame, key: str, texts: DataFrame | None) -> DataFra
 
 
 def sent_outcomes(decided: DataFrame, key: str, prob: str = "churn_prob") -> DataFrame:
-    """Outcome rows of flagged customers."""
+    """Outcome rows of flagged customers: 'email_sent' with a written message, 'pending' until then."""
+    written = is_written(F.col("text"))
     return decided.select(
         F.col(key).alias("user_id"),
         round_exact(F.col(prob), 4).alias("churn_prob"),
@@ -71,10 +72,10 @@ def sent_outcomes(decided: DataFrame, key: str, prob: str = "churn_prob") -> Dat
         "confidence",
         "discount_pct",
         "eligible",
-        parse_message(F.coalesce("text", F.lit("")))["subject"].alias("email_subject"),
+        F.when(written, parse_message(F.col("text"))["subject"]).alias("email_subject"),
         "strategy",
         F.col("reasons").alias("top_reasons"),
-        F.lit("email_sent").alias("action"),
+        F.when(written, F.lit("email_sent")).otherwise(F.lit("pending")).alias("action"),
         F.lit(None).cast("string").alias("reason"),
     )
 

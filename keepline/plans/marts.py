@@ -81,25 +81,30 @@ def score_summary(scored: DataFrame, prob: str = "churn_prob", cfg: DecisionConf
     )
 
 
-def run_summary(outcomes: DataFrame) -> DataFrame:
-    """Counters of one decision run (its duration is the caller's to add)."""
+def run_summary(outcomes: DataFrame, scored: DataFrame, prob: str = "churn_prob") -> DataFrame:
+    """Counters of one decision run (its duration is the caller's to add).
+
+    A flagged customer without a written message is pending. The mean is that of the scores
+    themselves: outcomes hold them rounded.
+    """
     sent, idle = F.col("action") == "email_sent", F.col("action") == "no_action"
+    mean = scored.agg(F.avg(prob).alias("mean_prob"))
     return outcomes.agg(
         F.count(F.lit(1)).alias("processed"),
-        F.count_if(sent).alias("flagged"),
+        F.count_if(~idle).alias("flagged"),
         F.count_if(idle).alias("skipped"),
         F.count_if(sent).alias("messages"),
-        F.count_if(sent & F.col("eligible")).alias("eligible"),
-        F.avg("churn_prob").alias("mean_prob"),
-    )
+        F.count_if(F.col("action") == "pending").alias("pending"),
+        F.count_if(~idle & F.col("eligible")).alias("eligible"),
+    ).withColumn("mean_prob", mean.scalar())
 
 
 def risk_type_breakdown(outcomes: DataFrame) -> DataFrame:
-    """Messages per risk type and their share of all flagged; both types always appear."""
-    sent = F.col("action") == "email_sent"
+    """Flagged customers per risk type and their share of all flagged; both types always appear."""
+    flagged = F.col("action") != "no_action"
     counts = outcomes.agg(
-        F.count_if(sent).alias("flagged"),
-        *[F.count_if(sent & (F.col("risk_type") == t)).alias(t) for t in RISK_TYPES],
+        F.count_if(flagged).alias("flagged"),
+        *[F.count_if(flagged & (F.col("risk_type") == t)).alias(t) for t in RISK_TYPES],
     )
     rows = [
         F.struct(
@@ -166,9 +171,9 @@ def latest_messages(log: DataFrame, n: int = 5) -> DataFrame:
 
 
 def first_flagged(outcomes: DataFrame, n: int = 20) -> DataFrame:
-    """Report lines of the first ``n`` flagged customers by id (a top-k)."""
+    """Report lines of the first ``n`` flagged customers by id (a top-k); no subject while pending."""
     return (
-        outcomes.where(F.col("action") == "email_sent")
+        outcomes.where(F.col("action") != "no_action")
         .orderBy("user_id")
         .limit(n)
         .select(

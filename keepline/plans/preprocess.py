@@ -64,6 +64,7 @@ def preprocess(
     test_size: float = 0.2,
     seed: int = 42,
     keep: tuple[str, ...] = (),
+    digits: int | None = None,
 ) -> Prepared:
     """Clean, split, fill, engineer, encode and scale; raw and scaled columns side by side.
 
@@ -72,7 +73,7 @@ def preprocess(
     """
     # Written once: deduplication is the only wide shuffle, and every fit below reads its result.
     cleaned = as_table(clean(df, roles), "cleaned")
-    parted = stratified_split(cleaned, roles.key, roles.label, test_size, seed)
+    parted = stratified_split(cleaned, roles.key, roles.label, test_size, seed, digits)
     train = F.col("split") == "train"
     numbers = list(roles.text_numeric)
     seen = coerce_numeric(df, numbers) if fit_on == "all" else parted.where(train)

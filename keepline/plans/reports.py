@@ -17,6 +17,7 @@ SUMMARY_LABELS = {
     "flagged": "Flagged (above threshold)",
     "skipped": "Below threshold (no action)",
     "messages": "Emails generated",
+    "pending": "Emails not yet written",
     "eligible": "Discount eligible",
     "mean_prob": "Avg churn probability",
 }
@@ -34,9 +35,9 @@ class RunReport:
     flagged: DataFrame
 
 
-def summary_lines(outcomes: DataFrame) -> DataFrame:
+def summary_lines(outcomes: DataFrame, scored: DataFrame) -> DataFrame:
     """(ordinal, metric, value) as the run report prints them."""
-    wide = run_summary(outcomes)
+    wide = run_summary(outcomes, scored)
     rows = []
     for i, (c, label) in enumerate(SUMMARY_LABELS.items()):
         value = percent_text(F.col(c), 1) if c == "mean_prob" else F.format_number(F.col(c), 0)
@@ -44,11 +45,11 @@ def summary_lines(outcomes: DataFrame) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
-def run_report(outcomes: DataFrame, n: int = 20) -> RunReport:
+def run_report(outcomes: DataFrame, scored: DataFrame, n: int = 20) -> RunReport:
     """Summary, risk types and first flagged customers of one run."""
     types = risk_type_breakdown(outcomes)
     shown = types.withColumn("pct_text", F.concat(fixed_text(F.col("pct_of_flagged"), 1), F.lit("%")))
-    return RunReport(summary_lines(outcomes), shown, first_flagged(outcomes, n))
+    return RunReport(summary_lines(outcomes, scored), shown, first_flagged(outcomes, n))
 
 
 def model_report(metrics: DataFrame, base: str, new: str) -> DataFrame:

@@ -129,7 +129,8 @@ def fit_boosted(
     )
     save_model(model, f"{workspace}/models/boosted")
     _store(tuning_table(search, train), f"{workspace}/metrics/tuning")
-    _store(top_importances(importance_table(model, train)), f"{workspace}/metrics/importances")
+    importances = _store(importance_table(model, train), f"{workspace}/metrics/importances")
+    _store(top_importances(importances), f"{workspace}/metrics/top_importances")
     metrics = _assess(spark, workspace, model, BOOSTED, roles)
     base = f"{workspace}/metrics/logistic_regression"
     both = metrics.unionByName(spark.read.parquet(f"{base}/metrics"))
@@ -137,7 +138,7 @@ def fit_boosted(
     scores = spark.read.parquet(f"{workspace}/metrics/boosted_trees/scores").withColumnRenamed("churn_prob", "boosted")
     other = spark.read.parquet(f"{base}/scores").select(roles.key, F.col("churn_prob").alias("baseline"))
     curves = roc_comparison(
-        scores.join(other, roles.key), {BOOSTED: "boosted", BASELINE: "baseline"}, roles.label, points=500
+        scores.join(other, roles.key), {BOOSTED: "boosted", BASELINE: "baseline"}, roles.label
     )
     _store(curves, f"{workspace}/metrics/roc_comparison")
     return metrics
@@ -203,8 +204,8 @@ def run_decisions(
         f"{workspace}/outcomes/{run_id}",
     )
     export_csv(risk_table(scored, roles.key, roles.label, cfg=cfg), f"{workspace}/risk/{run_id}")
-    _store(score_summary(scored, cfg=cfg), f"{workspace}/metrics/score_summary")
-    report = run_report(outcomes)
+    _store(score_summary(scored, cfg=cfg), f"{workspace}/summaries/{run_id}")
+    report = run_report(outcomes, scored)
     page = "\n".join(
         [
             f"# Run {run_id}",

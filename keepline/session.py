@@ -38,12 +38,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 def as_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Cuts lineage so that lost executors do not force a recompute from the sources. On a
-    cluster without a shared folder the plan stays lazy.
+    Cuts lineage so that lost executors do not force a recompute from the sources. A cluster
+    needs the shared folder; without one this is an error.
     """
     spark = df.sparkSession
-    if shared_dir(spark) is None:
-        return df
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -52,11 +50,10 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
 def pin(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Evaluate a parameter table once and keep it as a literal relation.
 
-    The row limit is a check, not a cut: a table with more rows comes back as the unchanged
-    lazy plan, which Spark then joins by shuffling. A pinned table has an exactly known
-    size, so Catalyst broadcasts it without a hint.
+    For tables whose size the caller knows; more than ``max_rows`` rows is an error. A pinned
+    table has an exactly known size, so Catalyst broadcasts it without a hint.
     """
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
-        return df
+        raise ValueError(f"a parameter table has more than {max_rows} rows")
     return df.sparkSession.createDataFrame(rows, df.schema)

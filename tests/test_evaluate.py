@@ -99,3 +99,10 @@ def test_comparison_and_report(spark, tmp_path):
     assert path.read_text().count("| Accuracy | 76.00% |") == 2
     with pytest.raises(ValueError):
         markdown("big", spark.range(1000))
+
+
+def test_rows_without_a_score_are_an_error(spark):
+    rows = spark.createDataFrame([(0.9, 1), (0.2, 0), (float("nan"), 1), (None, 0)], "p double, y int")
+    for use in (lambda: evaluate(rows, "m", "p", "y"), lambda: roc_curve(rows, "p", "y"), lambda: roc_auc(rows, "p", "y")):
+        with pytest.raises(ValueError, match="2 rows"):
+            use()

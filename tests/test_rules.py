@@ -107,7 +107,7 @@ def test_only_unclear_customers_are_asked(behaviour):
     prompts = {r["id"]: r["prompt"] for r in classification_prompts(rows, "id").collect()}
     assert sorted(prompts) == [3, 5, 6, 8]
     assert "  - no security (SHAP: +0.400)" in prompts[3]
-    assert "Months as a customer: 8" in prompts[3] and "$70.0" in prompts[3]
+    assert "tenure_months=8 |" in prompts[3] and "monthly_charge=70.0 |" in prompts[3]
 
 
 MESSAGES = [
@@ -144,9 +144,9 @@ def test_message_context(decided):
 
 def test_message_prompts(spark, decided):
     prompts = {r["id"]: r["prompt"] for r in message_prompts(decided, "id").collect()}
-    assert "service problems" in prompts[2] and "drifting away" in prompts[1]
+    assert "service has gaps" in prompts[2] and "interest has faded" in prompts[1]
     assert MESSAGES[0][10] in prompts[1]
-    assert "With us for a few months" in prompts[3] and "$N/A" in prompts[3]
+    assert "tenure_months=a few |" in prompts[3] and "monthly_charge=N/A |" in prompts[3]
     done = spark.createDataFrame([(1,)], "id int")
     assert sorted(r["id"] for r in message_prompts(decided, "id", done).collect()) == [2, 3]
 
@@ -175,7 +175,7 @@ def test_generate_opens_one_writer_per_partition(spark, decided):
     prompts = message_prompts(decided, "id").repartition(2)
     texts = generate(prompts, "id", make_writer)
     assert texts.schema.simpleString() == "struct<id:int,text:string>"
-    assert sorted(r["text"] for r in texts.collect()) == ["Subject: hi\n\n0Write"] * 3
+    assert sorted(r["text"] for r in texts.collect()) == ["Subject: hi\n\n0Lette"] * 3
     replies = spark.createDataFrame([(1, "x"), (9, "y")], "id int, text string")
     assert [tuple(r) for r in texts_from_table(prompts, replies, "id").collect()] == [(1, "x")]
 
@@ -188,6 +188,8 @@ def test_records(decided):
         "top_reasons", "strategy", "status",
     ]
     assert got.where("user_id = 1").first()["subject"] == "Hi"
+    some = decided.withColumn("text", F.when(F.col("id") == 1, "Dear").when(F.col("id") == 2, " \n"))
+    assert [r["user_id"] for r in message_records(some, "id").collect()] == [1]
 
 
 def test_flags_levels_contract(spark):

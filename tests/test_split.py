@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from keepline.operators.clean import latest_per_key
 from keepline.operators.split import (
     classes_of, fold_sizes, key_hash, split_summary, stratified_folds, stratified_split, test_quotas as quotas_of,
 )
@@ -100,3 +101,22 @@ def test_summary(spark):
     got = {r["split"]: r for r in split_summary(stratified_split(table(spark), "key", "y"), "y", 9).collect()}
     assert got["test"]["n_rows"] == 1000 and got["train"]["n_features"] == 9
     assert abs(got["test"]["positive_rate"] - 0.3) < 1e-9
+
+
+def test_null_keys_and_too_many_ranges_are_errors(spark):
+    rows = spark.createDataFrame([("a", 1), (None, 1), ("b", 0)], "key string, y int")
+    with pytest.raises(ValueError, match="null"):
+        stratified_split(rows, "key", "y")
+    with pytest.raises(ValueError, match="ranges"):
+        stratified_split(rows.where("key is not null"), "key", "y", digits=6)
+
+
+def test_repeated_keys_stay_together_and_can_be_reduced_first(spark):
+    rows = spark.createDataFrame([("hot", 1, i) for i in range(12)] + [(f"k{i}", 1, 0) for i in range(8)], "key string, y int, at int")
+    split = stratified_split(rows, "key", "y")
+    assert split.where("key = 'hot'").select("split").distinct().count() == 1
+    single = latest_per_key(rows, ["key"], ["at"])
+    assert single.columns == rows.columns
+    assert single.where("key = 'hot'").first()["at"] == 11
+    sides = {r["split"]: r["count"] for r in stratified_split(single, "key", "y").groupBy("split").count().collect()}
+    assert sides == {"train": 7, "test": 2}

@@ -187,10 +187,10 @@ def test_run_report_of_a_quiet_run(spark):
     outcomes = base.outcomes(spark, SMALL).where("action = 'no_action'")
     shares = {r["risk_type"]: (r["n"], r["pct_of_flagged"]) for r in risk_type_breakdown(outcomes).collect()}
     assert shares == {"disengagement": (0, 0.0), "support_issue": (0, 0.0)}
-    report = run_report(outcomes)
+    report = run_report(outcomes, base.scored(spark, SMALL))
     assert report.flagged.count() == 0
     assert "| 2 | Flagged (above threshold) | 0 |" in markdown("Summary", report.summary, "ordinal")
-    assert run_summary(outcomes).first()["eligible"] == 0
+    assert run_summary(outcomes, base.scored(spark, SMALL)).first()["eligible"] == 0
 
 
 def test_pin_checks_its_size(spark):
