@@ -38,7 +38,7 @@ OTHER_WEIGHTS = {"is_monthly": 1.0, "tenure": -0.02}
 OTHER_INTERCEPT = -0.2
 DIGITS = 6  # scores and contributions are rounded once, so that engines agree on every order
 
-TREES = {"maxIter": 10, "maxDepth": 3, "stepSize": 0.1}
+TREES = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}
 SMALL_GRID = {"maxIter": (3, 5), "maxDepth": (2, 3)}
 
 _memo: dict[tuple, object] = {}

@@ -13,6 +13,7 @@ from catalog.registry import query
 from catalog.sql import scaled_round, sql
 from catalog.tables import metrics_sql
 from keepline.functions.numbers import round_scaled
+from keepline.operators.decide import contract_from_one_hot
 from keepline.operators.evaluate import (
     class_report, confusion_matrix, evaluate, roc_auc, roc_comparison, roc_curve, with_prediction,
 )
@@ -26,6 +27,7 @@ from keepline.operators.train import (
     top_coefficients, top_importances, tuning_table,
 )
 from keepline.operators.tree_shap import node_table, sample_contributions, tree_contributions
+from keepline.plans.decisions import flagged_decisions
 from keepline.session import as_table
 
 
@@ -347,3 +349,77 @@ def _(spark, sf):
 @query("h09_sample_importance")
 def _(spark, sf):
     return global_importance(sample_contributions(test_side(spark, sf), boosted(spark, sf), KEY))
+
+
+# ---- values that SQL can check where the model itself is beyond it ---------------------------
+
+_TEST_ROWS = "FROM parted WHERE split = 'test'"
+
+
+@query("g13_coefficients_score", sql(f"SELECT count(*) AS n, count(*) AS n_equal {_TEST_ROWS}"))
+def _(spark, sf):
+    """The coefficient table gives every customer the score that the fitted model gives."""
+    table = coefficient_table(logistic(spark, sf), training_side(spark, sf))
+    rows = score(logistic(spark, sf), test_side(spark, sf)).withColumnRenamed("churn_prob", "by_model")
+    gap = F.abs(F.col("by_model") - F.col("churn_prob"))
+    return linear_score(rows, table).agg(F.count(F.lit(1)).alias("n"), F.count_if(gap < 1e-9).alias("n_equal"))
+
+
+@query(
+    "h01_contribution_counts",
+    sql(
+        "SELECT customerID, 25 + (SELECT count(DISTINCT gender) + count(DISTINCT InternetService) + count(DISTINCT Contract) "
+        f"+ count(DISTINCT PaymentMethod) FROM parted WHERE split = 'train') AS n {_TEST_ROWS}"
+    ),
+)
+def _(spark, sf):
+    """Every test customer has a contribution for every feature."""
+    return attributed(spark, sf).select(KEY, F.size("contributions").cast("long").alias("n"))
+
+
+@query("h09_sample_keys", sql(f"SELECT customerID {_TEST_ROWS} ORDER BY customerID LIMIT 200"))
+def _(spark, sf):
+    return sample_contributions(test_side(spark, sf), boosted(spark, sf), KEY).select(KEY)
+
+
+def trained_decisions(spark, sf):
+    """Test customers scored by the boosted trees, those at risk explained by them and decided."""
+    contract = contract_from_one_hot(F.col("`Contract_Two year`"), F.col("`Contract_One year`"))
+    names = feature_names(boosted(spark, sf))
+    rows = test_side(spark, sf).select(KEY, *[F.col(f"`{n}`") for n in names])
+    scored = score(boosted(spark, sf), rows).withColumn("contract_type", contract)
+    return scored, flagged_decisions(
+        scored, KEY, attribute=lambda flagged: tree_contributions(flagged, boosted(spark, sf))
+    )
+
+
+@query("i14_trained_decisions")
+def _(spark, sf):
+    return trained_decisions(spark, sf)[1].select(
+        KEY, "churn_prob", "risk_type", "eligible", "discount_pct", "strategy", "ltv", F.col("reasons")[0].alias("reason")
+    )
+
+
+@query("i14_trained_rules", sql(f"SELECT count(*) AS n, true AS all_flagged_decided, true AS offers_follow_rules {_TEST_ROWS}"))
+def _(spark, sf):
+    """Decisions on the trained model: every flagged customer has one, and offers keep the rules."""
+    scored, decided = trained_decisions(spark, sf)
+    p, value = F.col("churn_prob"), F.col("tenure") * F.col("MonthlyCharges")
+    barred = (F.col("tenure") < 3) | (F.col("MonthlyCharges") < 30) | (F.col("contract_type") == "Two year")
+    pct = (
+        F.when(barred, 0)
+        .when((p >= 0.80) & (value >= 500), 10)
+        .when((p >= 0.80) & (value >= 100), 8)
+        .when((p >= 0.65) & (value >= 500), 5)
+        .otherwise(0)
+    )
+    kept = decided.agg(
+        F.count(F.lit(1)).alias("n_decided"),
+        F.count_if((F.col("discount_pct") == pct) & (F.col("eligible") == (pct > 0))).alias("n_right"),
+    )
+    whole = scored.agg(F.count(F.lit(1)).alias("n"), F.count_if(p >= 0.65).alias("n_flagged"))
+    return whole.select(
+        "n",
+        (F.col("n_flagged") == kept.select("n_decided").scalar()).alias("all_flagged_decided"),
+        (kept.select("n_decided").scalar() == kept.select("n_right").scalar()).alias("offers_follow_rules"),
+    )

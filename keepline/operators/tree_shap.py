@@ -150,12 +150,22 @@ def tree_tables(nodes: DataFrame) -> tuple[list[TreeTable], float]:
     return tables, base
 
 
-def _attributor(shared, n_features: int, n_keep: int, values_of):
-    """Arrow-batch function: feature columns in, the kept columns and one list column out."""
+def _attributor(shared, where_features: list[int], values_of):
+    """Arrow-batch function: the given columns and one list column out. Features are columns too."""
+    n_features = len(where_features)
+    places: list[np.ndarray] = []  # of each tree: its leaves' places to their features
+
+    def scatters() -> list[np.ndarray]:
+        if not places:
+            for t in shared.value:
+                place = np.zeros((t[0].size, n_features))
+                place[np.arange(t[0].size), t[0].reshape(-1)] = 1.0
+                places.append(place)
+        return places
 
     def attribute(x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), n_features))
-        for t in shared.value:
+        for t, place in zip(shared.value, scatters()):
             feature, lo, hi, share, used, value, table = t
             n_leaves, depth = feature.shape
             seen = x[:, feature]
@@ -170,8 +180,6 @@ def _attributor(shared, n_features: int, n_keep: int, values_of):
                     patterns, where = np.unique(bits[:, k, :d], axis=0, return_inverse=True)
                     small = value[k] * values_of(patterns.astype(float), share[k, :d])
                     phi[:, k, :d] = small[where.reshape(-1)]
-            place = np.zeros((n_leaves * depth, n_features))
-            place[np.arange(n_leaves * depth), feature.reshape(-1)] = 1.0
             out += phi.reshape(len(x), -1) @ place
         return out
 
@@ -180,15 +188,13 @@ def _attributor(shared, n_features: int, n_keep: int, values_of):
 
         for batch in batches:
             x = np.column_stack(
-                [batch.column(n_keep + i).to_numpy(zero_copy_only=False) for i in range(n_features)]
+                [batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in where_features]
             ) if batch.num_rows else np.zeros((0, n_features))
             parts = [attribute(x[i : i + 2048]) for i in range(0, len(x), 2048)]
             phi = np.concatenate(parts) if parts else np.zeros((0, n_features))
             offsets = np.arange(len(x) + 1, dtype=np.int32) * n_features
             values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(phi.reshape(-1)))
-            kept = [batch.column(i) for i in range(n_keep)]
-            names = [batch.schema.field(i).name for i in range(n_keep)] + ["_phi"]
-            yield pa.RecordBatch.from_arrays([*kept, values], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, "_phi"])
 
     return run
 
@@ -198,17 +204,17 @@ def tree_contributions(
 ) -> DataFrame:
     """Adds per-feature Shapley values in log-odds and the base value.
 
-    Give it flagged rows only: the filter cannot move past the Arrow stage by itself. Base
+    Give it flagged rows and needed columns only: neither a filter nor the choice of columns can move
+    past the Arrow stage by itself. Each column crosses it once, features included. Base
     value plus the sum of contributions is the model's margin.
     """
     spark = df.sparkSession
     features = feature_names(model)
     tables, base = tree_tables(nodes if nodes is not None else node_table(model, spark))
     shared = spark.sparkContext.broadcast([tuple(t) for t in tables])
-    kept = df.columns
-    inputs = df.select(*kept, *[F.col(f"`{f}`").cast("double").alias(f"_x{i}") for i, f in enumerate(features)])
+    where_features = [df.columns.index(f) for f in features]
     schema = T.StructType([*df.schema.fields, T.StructField("_phi", T.ArrayType(T.DoubleType()))])
-    made = inputs.mapInArrow(_attributor(shared, len(features), len(kept), pattern_values), schema)
+    made = df.mapInArrow(_attributor(shared, where_features, pattern_values), schema)
     names = F.array(*[F.lit(f) for f in features])
     pairs = F.transform(
         F.arrays_zip(names.alias("feature"), F.col("_phi").alias("contribution")),

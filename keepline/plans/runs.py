@@ -186,6 +186,8 @@ def run_decisions(
     if limit is not None:
         test = limit_users(test, roles.key, limit)
     contract = contract_from_one_hot(F.col("`Contract_Two year`"), F.col("`Contract_One year`"))
+    needed = [c for c in test.columns if not c.endswith(SCALED)]
+    test = test.select(*[F.col(f"`{c}`") for c in needed])
     scored = as_table(score(model, test).withColumn("contract_type", contract), "scored")
     explained = as_table(
         flagged_decisions(

@@ -36,8 +36,8 @@ def _next_quarter(day: Column) -> Column:
     return F.add_months(F.trunc(day, "quarter"), 3)
 
 
-def _order_masks(lineitem: DataFrame, part: DataFrame) -> DataFrame:
-    """What kinds of parts an order holds, as one integer per order."""
+def _order_masks(lineitem: DataFrame, part: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What kinds of parts a wanted order holds, as one integer per order; other lines go first."""
     word = F.split_part(F.col("p_type"), F.lit(" "), F.lit(1))
     bits = F.lit(0)
     for name, bit in PART_BITS.items():
@@ -45,6 +45,7 @@ def _order_masks(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     kinds = part.select("p_partkey", bits.alias("kind"))
     returned = F.when(F.col("l_returnflag") == "R", F.lit(RETURNED_BIT)).otherwise(F.lit(0))
     lines = lineitem.select("l_orderkey", "l_partkey", returned.alias("returned"))
+    lines = lines.join(wanted, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     return (
         lines.join(kinds, F.col("l_partkey") == F.col("p_partkey"), "left")
         .groupBy("l_orderkey")
@@ -77,7 +78,7 @@ def snapshot_panel(
     ).cast("decimal(20,0)")
     activity = (
         in_window.join(
-            _order_masks(lineitem, part), F.col("o_orderkey") == F.col("l_orderkey"), "left"
+            _order_masks(lineitem, part, in_window.select("o_orderkey")), F.col("o_orderkey") == F.col("l_orderkey"), "left"
         )
         .select(
             "o_custkey",
