@@ -227,8 +227,8 @@ def _suffixes(numbered: DataFrame, splitters: np.ndarray, length: int) -> DataFr
 
 
 def _neighbours(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """(doc, lo, hi, at) of the repeats in one bucket: at is -1 where all strings of the anchor repeat,
-    and the place of the anchor where only a comparison of the bytes can tell."""
+    """(doc, mark) of the repeats in one bucket: the mark's anchor is -1 where all strings of the anchor
+    repeat, and its place where only a comparison of the bytes can tell."""
     order, (_, grams, alls, _) = multikey_sort([rows[c] for c in ("lead", "next", "all", "doc")])
     doc = rows["doc"][order].view(np.int64)
     index = np.arange(len(order))
@@ -243,11 +243,19 @@ def _neighbours(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     several = np.bincount(gram[heads], minlength=len(low)) > 1
     open_ = ~repeated & (several & (low < high))[gram]
     keep = np.flatnonzero(repeated | open_)
-    lo, hi, at = (rows[c][order[keep]].astype(np.int64) for c in ("lo", "hi", "at"))
-    return {"doc": doc[keep], "lo": lo, "hi": lo + hi, "at": np.where(repeated[keep], -1, lo + at)}
+    lo, more, at = (rows[c][order[keep]].astype(np.int64) for c in ("lo", "hi", "at"))
+    return {"doc": doc[keep], "mark": _as_marks(lo, more, np.where(repeated[keep], -1, at))}
 
 
-MARKS = "doc long, lo int, hi int, at int"
+def _as_marks(lo: np.ndarray, more: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A mark in one number: the first start, how many more, and the anchor's place (-1: all repeat)."""
+    return (lo.astype(np.int64) << 20) | (more.astype(np.int64) << 10) | (at.astype(np.int64) + 1)
+
+
+def _from_marks(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, last start, place of the anchor after the first start or -1)."""
+    lo = mark >> 20
+    return lo, lo + ((mark >> 10) & 1023), (mark & 1023) - 1
 
 
 def _sorted_buckets(sent: DataFrame, known: int) -> DataFrame:
@@ -260,9 +268,7 @@ def _sorted_buckets(sent: DataFrame, known: int) -> DataFrame:
             return marks(_neighbours(rows))
 
         def marks(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-            columns = [pa.array(rows["doc"].astype(np.int64))]
-            columns += [pa.array(rows[c].astype(np.int32)) for c in ("lo", "hi", "at")]
-            return pa.RecordBatch.from_arrays(columns, ["doc", "lo", "hi", "at"])
+            return pa.RecordBatch.from_arrays([pa.array(rows["doc"].astype(np.int64)), pa.array(rows["mark"])], ["doc", "mark"])
 
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -274,12 +280,11 @@ def _sorted_buckets(sent: DataFrame, known: int) -> DataFrame:
                     held.append(_unpacked(blob.as_py(), SENT))
                     continue
                 rows = _unpacked(blob.as_py(), REPEATED)
-                rows["hi"] = rows["hi"] + rows["lo"]
-                yield marks(rows | {"at": np.full(len(rows["lo"]), -1)})
+                yield marks({"doc": rows["doc"], "mark": _as_marks(rows["lo"], rows["hi"], np.full(len(rows["lo"]), -1))})
         if held:
             yield found()
 
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, MARKS)
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, mark long")
 
 
 # ---- bytes to remove
@@ -304,19 +309,17 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-EDGE = pa.list_(pa.struct([("gram", pa.binary()), ("bytes", pa.binary()), ("lo", pa.int32())]))
-DONE = "spans array<struct<start:int,end:int>>, n_bytes long, kept_sha256 string"
+NO_MARKS = np.zeros(0, dtype=np.int64)
 
 
-def _done(data: bytes, spans: list[tuple[int, int]]) -> tuple[list[dict], int, str]:
-    digest = hashlib.sha256(without(data, spans)).hexdigest()
-    return [{"start": s, "end": e} for s, e in spans], len(data), digest
+def _numbers(column: pa.Array, row: int) -> np.ndarray:
+    """One row's list of numbers."""
+    values = column[row].values
+    return NO_MARKS if values is None else values.to_numpy()
 
 
-def _marked(numbered: DataFrame, marks: DataFrame, length: int) -> DataFrame:
-    """Each document with its spans so far; where edges are open also its text and the bytes around them."""
-    lists = marks.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("marks"))
-    joined = numbered.join(lists, numbered["number"] == lists["doc"], "left").select("number", "text", "marks")
+def _edges(joined: DataFrame, length: int) -> DataFrame:
+    """(gram, number, lo, bytes) around each anchor whose strings are still open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,77 +327,68 @@ def _marked(numbered: DataFrame, marks: DataFrame, length: int) -> DataFrame:
                 yield part(batch.slice(i, 1024))
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans, sizes, digests, texts, edges = [], [], [], [], []
-        for text, found in zip(batch.column(1), batch.column(2)):
-            data = text.as_py() or b""
-            mark = found.values
-            none = np.zeros(0, dtype=np.int32)
-            lo, hi, at = (mark.field(i).to_numpy() for i in range(3)) if mark is not None else (none, none, none)
-            sure = at < 0
-            for out, x in zip((spans, sizes, digests), _done(data, removed_spans(len(data), lo[sure], hi[sure], length))):
-                out.append(x)
-            texts.append(None if sure.all() else data)
-            edges.append(
-                [
-                    {"gram": data[a : a + GRAM], "bytes": data[x : y + length], "lo": x}
-                    for x, y, a in zip(lo[~sure].tolist(), hi[~sure].tolist(), at[~sure].tolist())
-                ]
-            )
-        columns = [batch.column(0), pa.array(spans, SPAN), pa.array(sizes, pa.int64()), pa.array(digests)]
-        columns += [pa.array(texts, pa.binary()), pa.array(edges, EDGE)]
-        return pa.RecordBatch.from_arrays(columns, ["number", "spans", "n_bytes", "kept_sha256", "text", "edges"])
-
-    schema = f"number long, {DONE}, text binary, edges array<struct<gram:binary,bytes:binary,lo:int>>"
-    return joined.mapInArrow(run, schema)
+        out: list[tuple[bytes, int, int, bytes]] = []
+        for row, number in enumerate(batch.column(0).to_pylist()):
+            lo, hi, at = _from_marks(_numbers(batch.column(2), row))
+            wanted = np.flatnonzero(at >= 0)
+            if len(wanted):
+                data = batch.column(1)[row].as_py()
+                for x, y, a in zip(lo[wanted].tolist(), hi[wanted].tolist(), at[wanted].tolist()):
+                    out.append((data[x + a : x + a + GRAM], number, x, data[x : y + length]))
+        cols = list(zip(*out)) if out else [(), (), (), ()]
+        types = (pa.binary(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["gram", "number", "lo", "bytes"])
+
+    return joined.select("number", "text", "marks").mapInArrow(run, "gram binary, number long, lo int, bytes binary")
 
 
 def _compared(edges: DataFrame, length: int) -> DataFrame:
-    """(number, lo, hi): starts of strings, among those around open anchors, that a smaller document has."""
+    """(number, mark): starts of strings, among those around open anchors, that a smaller document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = None, {}
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
+            numbers, starts, ends = [], [], []
             for gram, number, lo, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if gram != last:
                     last, seen = gram, {}
+                at = -2
                 for i in range(len(data) - length + 1):
                     if seen.setdefault(data[i : i + length], number) < number:
-                        if out and out[-1][0] == number and out[-1][2] == lo + i - 1:
-                            out[-1] = (number, out[-1][1], lo + i)
+                        if at == i - 1:
+                            ends[-1] = lo + i
                         else:
-                            out.append((number, lo + i, lo + i))
-            cols = list(zip(*out)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())],
-                ["number", "lo", "hi"],
-            )
+                            numbers.append(number)
+                            starts.append(lo + i)
+                            ends.append(lo + i)
+                        at = i
+            lo, hi = np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64)
+            mark = _as_marks(lo, hi - lo, np.full(len(lo), -1))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(mark)], ["number", "mark"])
 
-    rows = edges.select("gram", "number", "lo", "bytes")
-    return rows.repartitionByRange("gram").sortWithinPartitions("gram", "number", "lo").mapInArrow(run, "number long, lo int, hi int")
+    dealt = edges.repartition("gram").sortWithinPartitions("gram", "number", "lo")
+    return dealt.mapInArrow(run, "number long, mark long")
 
 
-def _finished(opened: DataFrame, compared: DataFrame, length: int) -> DataFrame:
-    lists = compared.groupBy("number").agg(F.collect_list(F.struct("lo", "hi")).alias("more"))
-    joined = opened.join(lists, "number", "left").select("number", "text", "spans", "more")
+def _finished(joined: DataFrame, compared: DataFrame, length: int) -> DataFrame:
+    """(number, spans, n_bytes, kept_sha256) of each document from all its marks."""
+    lists = compared.groupBy("number").agg(F.collect_list("mark").alias("more"))
+    rows = joined.join(lists, "number", "left").select("number", "text", "marks", "more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, sizes, digests = [], [], []
-            for text, so_far, more in zip(*(batch.column(i) for i in (1, 2, 3))):
-                data = text.as_py()
-                runs = [(s["start"], s["end"] - length) for s in so_far.as_py()] + [
-                    (m["lo"], m["hi"]) for m in more.as_py() or []
-                ]
-                pairs = np.array(runs, dtype=np.int64).reshape(-1, 2)
-                for out, x in zip(
-                    (spans, sizes, digests), _done(data, removed_spans(len(data), pairs[:, 0], pairs[:, 1], length))
-                ):
-                    out.append(x)
-            columns = [batch.column(0), pa.array(spans, SPAN), pa.array(sizes, pa.int64()), pa.array(digests)]
+            for row, text in enumerate(batch.column(1)):
+                data = text.as_py() or b""
+                lo, hi, at = _from_marks(np.concatenate([_numbers(batch.column(c), row) for c in (2, 3)]))
+                got = removed_spans(len(data), lo[at < 0], hi[at < 0], length)
+                spans.append([{"start": s, "end": e} for s, e in got])
+                sizes.append(len(data))
+                digests.append(hashlib.sha256(without(data, got)).hexdigest())
+            columns = [batch.column(0), pa.array(spans, SPAN), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["number", "spans", "n_bytes", "kept_sha256"])
 
-    return joined.mapInArrow(run, f"number long, {DONE}")
+    return rows.mapInArrow(run, "number long, spans array<struct<start:int,end:int>>, n_bytes long, kept_sha256 string")
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
@@ -438,11 +432,10 @@ def repeated_spans(
     size = numbered.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     splitters = _splitters(numbered, max(1, -(-size // bucket_bytes)), length)
     marks = _sorted_buckets(_suffixes(numbered, splitters, length), len(splitters) + 1)
-    marked = stored(_marked(numbered, marks, length))
-    opened = marked.where(F.col("text").isNotNull())
-    edges = opened.select("number", F.explode("edges").alias("e")).select("number", "e.*")
-    sure = marked.where(F.col("text").isNull()).select("number", "spans", "n_bytes", "kept_sha256")
-    done = sure.unionAll(_finished(opened, _compared(edges.distinct(), length), length))
+    lists = marks.groupBy("doc").agg(F.collect_list("mark").alias("marks"))
+    # Both uses of `joined` are in one plan, so its texts are shuffled once and read twice.
+    joined = numbered.join(lists, numbered["number"] == lists["doc"], "left").select("number", "text", "marks")
+    done = _finished(joined, _compared(_edges(joined, length), length), length)
     if names is None:
         kind = type_of(docs, id_col)
         return done.select(F.col("number").cast(kind).alias(id_col), "n_bytes", "spans", "kept_sha256")
