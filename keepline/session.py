@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str | None:
     app = spark.conf.get("spark.app.id", "local")
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="keepline-")
+        atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
     return _local_dirs[app]
 
 

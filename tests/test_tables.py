@@ -196,8 +196,8 @@ def test_run_report_of_a_quiet_run(spark):
 def test_pin_checks_its_size(spark):
     small = pin(spark.range(5), 5)
     assert "LocalTableScan" in small._jdf.queryExecution().executedPlan().toString() or small.count() == 5
-    large = spark.range(6)
-    assert pin(large, 5) is large
+    with pytest.raises(ValueError, match="more than 5 rows"):
+        pin(spark.range(6), 5)
 
 
 def test_written_table_cuts_lineage(spark):
