@@ -1,6 +1,8 @@
 """From raw documents to packed training sequences, stage by stage.
 
-Each stage works on what the one before has kept; all but the last return the columns of documents.
+Each stage works on what the one before has kept; all but the last return the columns of documents,
+and any others that the rows have. Stages that judge whole documents do so by id: rows that share an
+id, or have none, stay if any of them stays. Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines stay in one document; n_chars follows the text."""
     done = line_dedup.dedup_lines(docs)
-    own = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)}
+    own = {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
     return done.select(*[own.get(c, F.col("original").getField(c)).alias(c) for c in docs.columns])
 
 

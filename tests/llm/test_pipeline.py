@@ -81,3 +81,17 @@ def test_empty_documents(spark, stages):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_odd_rows(spark, odd_docs):
+    """Null ids and texts, repeated rows and clashing names go through every stage."""
+    docs = odd_docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = corpus_pipeline.stored(stage(spark, docs, SF))
+        assert after.dtypes == odd_docs.dtypes
+        docs = after
+    left = {(r.doc_id, r.text) for r in docs.collect()}
+    assert {i for i, _ in left} <= {None, 1, 2, 5}
+    assert {i for i, t in left if not t} == {2}  # its only line stays in document 1
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.count() == docs.count()
