@@ -75,3 +75,27 @@ SELECT conv_id, count(*) AS n_turns,
     CAST(sum(chars + 7 + CASE WHEN same THEN 0 ELSE head + 6 END) AS BIGINT) AS formatted_chars
 FROM m GROUP BY conv_id
 """
+
+SQL["op9_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (
+    SELECT doc_id, j, substr(h, 512 * j + 1, 610) AS b
+    FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 - 50) // 256 + 1)) AS j FROM d WHERE length(h) >= 100)
+), s AS (
+    SELECT doc_id, 256 * j + i AS p, substr(b, 2 * i + 1, 100) AS bytes
+    FROM (SELECT doc_id, j, b, unnest(range(0, least(256, length(b) // 2 - 49))) AS i FROM blocks)
+), firsts AS (SELECT bytes, min(doc_id) AS first_doc FROM s GROUP BY bytes HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT s.doc_id, s.p FROM s JOIN firsts USING (bytes) WHERE s.doc_id > first_doc),
+marked AS (
+    SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM hits
+), numbered AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, run, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS after FROM spans),
+kept AS (
+    SELECT doc_id, string_agg(substr(h, 2 * after + 1, 2 * (a - after)), '' ORDER BY run) AS head
+    FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+), totals AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+    coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN totals USING (doc_id)
+"""
