@@ -162,15 +162,16 @@ def fit_forest(counts: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed
 
 def scored(counts: DataFrame, forest: Forest) -> DataFrame:
     """counts with the column `anomaly`."""
-    shared = counts.sparkSession.sparkContext.broadcast(forest)
+    shared = counts.sparkSession.sparkContext.broadcast(vars(forest))  # plain arrays
     schema = T.StructType([*counts.schema.fields, field("anomaly", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grown = Forest(**shared.value)
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 some = batch.slice(i, 4096)
                 got = np.column_stack([some.column(c).to_numpy(zero_copy_only=False) for c in COUNTS])
-                score = shared.value.score(features(got))
+                score = grown.score(features(got))
                 yield pa.RecordBatch.from_arrays(
                     [*some.columns, pa.array(np.round(score, 9))], [*some.schema.names, "anomaly"]
                 )

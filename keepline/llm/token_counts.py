@@ -76,6 +76,13 @@ class Automaton:
                     fail[v], pops[v] = step[z << 8 | label[v]], pops[u] + popped
         self.step, self.fail, self.pops = step, fail, pops
 
+    @classmethod
+    def of(cls, state: dict) -> Automaton:
+        """An automaton from what vars() gave of another."""
+        made = cls.__new__(cls)
+        vars(made).update(state)
+        return made
+
     def count(self, word: bytes) -> int:
         """Pieces of one word."""
         step, fail, pops = self.step, self.fail, self.pops
@@ -133,13 +140,13 @@ def token_counts(
     against the pieces. Null and empty texts have neither words nor tokens; repeated rows and null
     ids are counted like others. The vocabulary, of bounded size, is read on the driver and broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton(pieces, inner))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(Automaton(pieces, inner)))
     schema = T.StructType(
         [field(id_col, type_of(docs, id_col)), field("n_words", T.LongType()), field("n_tokens", T.LongType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Remembered(shared.value, before, after)
+        known = Remembered(Automaton.of(shared.value), before, after)
         for batch in batches:
             n_words, n_tokens = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
             for i, text in enumerate(batch.column(1)):
