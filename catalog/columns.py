@@ -26,7 +26,7 @@ from keepline.operators.profile import limit_users
 from keepline.operators.scale import apply_scaler, fit_scaler
 from keepline.operators.split import split_summary, stratified_folds, stratified_split
 from keepline.plans.marts import (
-    customer_detail, display_id, filter_log, filter_risk, ordered, risk_table,
+    customer_detail, customer_join, display_id, filter_log, filter_risk, ordered, risk_table,
 )
 from keepline.roles import REASON_LABELS, ROUTING, STRATEGY_TEXT, TELCO
 
@@ -352,7 +352,7 @@ def _(spark, sf):
     side = prepared(spark, sf).features.select(KEY, LABEL, "split")
     score = scored(spark, sf).select(KEY, "churn_prob", "active_services")
     raw = snapshots(spark, sf).select(KEY, "gender", "Contract")
-    return side.join(score, KEY).join(raw, KEY)
+    return customer_join(side, score, raw, KEY)
 
 
 @query("d02_metrics_side_by_side", sql(f"SELECT ordinal, metric, base, new FROM {COMPARED}"))

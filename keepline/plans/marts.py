@@ -58,6 +58,14 @@ def filter_risk(
     return ordered(kept.where(F.col("churn_prob") >= min_prob), key, sort_by)
 
 
+def customer_join(sides: DataFrame, scored: DataFrame, raw: DataFrame, key: str) -> DataFrame:
+    """Label and side, score and raw attributes of each customer, matched by key.
+
+    Every table is joined on its key, never on row position; customers missing from one are left out.
+    """
+    return sides.join(scored, key).join(raw, key)
+
+
 def customer_detail(risk: DataFrame, key: str, value) -> DataFrame:
     """One customer's header line; the key test reaches the Parquet scan."""
     return risk.where(F.col(key) == F.lit(value)).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepline.functions.numbers import fixed_text, percent_text, signed_text
@@ -81,6 +81,11 @@ def markdown(title: str, table: DataFrame, order: str | None = None) -> str:
     return "\n".join([f"## {title}", "", head, rule, *lines, ""])
 
 
+def write_page(spark: SparkSession, text: str, path: str) -> None:
+    """A report page as one text file in a folder that Spark writes, wherever that is."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def append_section(path: str, text: str) -> None:
     """Add a section to a Markdown report file."""
     with open(path, "a", encoding="utf-8") as f:

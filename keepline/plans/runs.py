@@ -1,7 +1,7 @@
 """Whole jobs: files in, files out. Each step reads what an earlier step has stored.
 
 A workspace folder holds ``features`` (by split), ``params``, ``models``, ``metrics``, ``eda``,
-``attributions``, ``prompts``, ``outcomes``, ``log`` and ``risk``.
+``attributions``, ``prompts``, ``outcomes``, ``log``, ``risk``, ``summaries`` and ``reports``.
 """
 
 from __future__ import annotations
@@ -27,11 +27,11 @@ from keepline.operators.train import (
     GRID, balanced_weights, coefficient_table, feature_names, importance_table, pos_weight,
     top_coefficients, top_importances, train_logistic, tune_boosted, tuning_table,
 )
-from keepline.operators.tree_shap import tree_contributions
+from keepline.operators.tree_shap import node_table, tree_contributions
 from keepline.plans.decisions import flagged_decisions, idle_outcomes, sent_outcomes, with_texts
 from keepline.plans.marts import risk_table, score_summary
 from keepline.plans.preprocess import SCALED, Prepared, preprocess
-from keepline.plans.reports import RunReport, markdown, model_report, run_report
+from keepline.plans.reports import RunReport, markdown, model_report, run_report, write_page
 from keepline.roles import TELCO, DecisionConfig, Roles
 from keepline.session import as_table
 from keepline.sources.artefacts import load_model, load_params, save_model, save_params
@@ -110,7 +110,10 @@ def fit_baseline(spark: SparkSession, workspace: str, roles: Roles = TELCO) -> D
     table = coefficient_table(model, train)
     save_params(table, f"{workspace}/params/coefficients")
     _store(top_coefficients(table), f"{workspace}/metrics/top_coefficients")
-    return _assess(spark, workspace, model, BASELINE, roles)
+    metrics = _assess(spark, workspace, model, BASELINE, roles)
+    shown = metrics.orderBy("ordinal").select("metric", "value")
+    write_page(spark, markdown(BASELINE, shown), f"{workspace}/reports/baseline")
+    return metrics
 
 
 def fit_boosted(
@@ -128,13 +131,17 @@ def fit_boosted(
         folded, _names(spark, workspace), roles.label, "fold", folds, grid or GRID, parallelism=parallelism
     )
     save_model(model, f"{workspace}/models/boosted")
+    # What attribution reads of the model: saved once with it, not again in every run.
+    save_params(node_table(model, spark), f"{workspace}/models/boosted_nodes")
     _store(tuning_table(search, train), f"{workspace}/metrics/tuning")
     importances = _store(importance_table(model, train), f"{workspace}/metrics/importances")
     _store(top_importances(importances), f"{workspace}/metrics/top_importances")
     metrics = _assess(spark, workspace, model, BOOSTED, roles)
     base = f"{workspace}/metrics/logistic_regression"
     both = metrics.unionByName(spark.read.parquet(f"{base}/metrics"))
-    _store(model_report(both, BASELINE, BOOSTED), f"{workspace}/metrics/comparison")
+    comparison = _store(model_report(both, BASELINE, BOOSTED), f"{workspace}/metrics/comparison")
+    shown = comparison.orderBy("ordinal").drop("ordinal")
+    write_page(spark, markdown(f"{BOOSTED} against {BASELINE}", shown), f"{workspace}/reports/boosted")
     scores = spark.read.parquet(f"{workspace}/metrics/boosted_trees/scores").withColumnRenamed("churn_prob", "boosted")
     other = spark.read.parquet(f"{base}/scores").select(roles.key, F.col("churn_prob").alias("baseline"))
     curves = roc_comparison(
@@ -151,7 +158,8 @@ def attribute(spark: SparkSession, workspace: str, roles: Roles = TELCO) -> dict
     test = score(model, read_features(spark, f"{workspace}/features", "test"))
     rows = test.select(roles.key, roles.label, "churn_prob", *[F.col(f"`{n}`") for n in names])
     folder = f"{workspace}/attributions"
-    done = _store(tree_contributions(rows, model), f"{folder}/rows")
+    nodes = load_params(spark, f"{workspace}/models/boosted_nodes")
+    done = _store(tree_contributions(rows, model, nodes), f"{folder}/rows")
     made = {
         "importance": global_importance(done),
         "grid": contribution_grid(done, names),
@@ -189,9 +197,10 @@ def run_decisions(
     needed = [c for c in test.columns if not c.endswith(SCALED)]
     test = test.select(*[F.col(f"`{c}`") for c in needed])
     scored = as_table(score(model, test).withColumn("contract_type", contract), "scored")
+    nodes = load_params(spark, f"{workspace}/models/boosted_nodes")
     explained = as_table(
         flagged_decisions(
-            scored, roles.key, replies, cfg=cfg, attribute=lambda rows: tree_contributions(rows, model)
+            scored, roles.key, replies, cfg=cfg, attribute=lambda rows: tree_contributions(rows, model, nodes)
         ),
         "decided",
     )
@@ -208,14 +217,19 @@ def run_decisions(
     export_csv(risk_table(scored, roles.key, roles.label, cfg=cfg), f"{workspace}/risk/{run_id}")
     _store(score_summary(scored, cfg=cfg), f"{workspace}/summaries/{run_id}")
     report = run_report(outcomes, scored)
+    places = {"Outcomes": f"outcomes/{run_id}", "Risk table": f"risk/{run_id}", "Message log": f"log/run_id={run_id}"}
     page = "\n".join(
         [
             f"# Run {run_id}",
+            f"Finished: {time.strftime('%Y-%m-%d %H:%M:%S')}",
+            f"Mode: {'whole test side' if limit is None else f'trial, {limit} customers'}",
             f"Duration: {time.time() - started:.1f}s",
+            *[f"{name}: {workspace}/{folder}" for name, folder in places.items()],
             "",
             markdown("Summary", report.summary.drop("ordinal")),
             markdown("Risk types", report.breakdown.select("risk_type", "n", "pct_text"), "risk_type"),
             markdown("Flagged customers", report.flagged, "user_id"),
         ]
     )
+    write_page(spark, page, f"{workspace}/reports/{run_id}")
     return report, page

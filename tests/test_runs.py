@@ -52,6 +52,10 @@ def test_steps(spark, workspace):
     assert lines["Emails generated"] == "0" and lines["Emails not yet written"] == str(n_flagged)
     assert report.flagged.count() == min(20, flagged.count()) and "# Run r1" in page
 
+    written = "\n".join(r["value"] for r in spark.read.text(f"{workspace}/reports/r1").collect())
+    assert "# Run r1" in written and "Mode: whole test side" in written
+    assert spark.read.text(f"{workspace}/reports/boosted").count() > 5
+
     unclear = spark.read.parquet(f"{workspace}/prompts/r1/classify")
     n_unclear = unclear.count()
     replies = unclear.select("customerID", F.lit("support_issue").alias("reply"))
