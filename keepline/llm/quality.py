@@ -68,7 +68,7 @@ def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([counts_of(t) for t in batch.column(1).to_pylist()], dtype=np.int64)
+            got = np.array([counts_of(t.as_py()) for t in batch.column(1)], dtype=np.int64)
             got = got.reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(got[:, i]) for i in range(len(COUNTS))]], ["doc", *COUNTS]
