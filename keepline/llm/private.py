@@ -139,39 +139,59 @@ def found(docs: DataFrame, id_col: str, text_col: str, near: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def disclosing(docs: DataFrame, rows: DataFrame, text_col: str, support: int, least: float, most_bytes: int) -> DataFrame:
+def protected(rows: DataFrame) -> DataFrame:
+    """(version, entity, with_entity): the protected values of each different text, and in how many they are.
+
+    All values that stand in one text only stand in the same texts as each other: they are one entity,
+    text:version, so that a text of many values costs no more rows than its words.
+    """
+    each = rows.select("version", F.explode("entities").alias("entity")).distinct()
+    counted = each.groupBy("entity").agg(F.count("*").alias("with_entity"))
+    own = F.concat(F.lit("text:"), F.col("version"))
+    key = F.when(F.col("with_entity") == 1, own).otherwise(F.col("entity"))
+    return each.join(counted, "entity").select("version", key.alias("entity"), "with_entity").distinct()
+
+
+def disclosing(docs: DataFrame, rows: DataFrame, text_col: str, support: float, least: float, most_bytes: int) -> DataFrame:
     """(entity, term, share): how much of an entity's information a word near it gives away.
 
-    share = PMI(term; entity) / -log2 p(entity), from the number of documents with the term, with the
-    entity, and with the term near the entity, over all documents. Pairs need `support` different texts.
+    share = PMI(term; entity) / -log2 p(entity), from the number of different texts with the term, with
+    the entity, and with the term near the entity, over all texts. A pair comes back if its share is
+    still `least` after smoothing: as if the term stood in `support` more texts, with the entity in as
+    many of them as anywhere. Entities are those of `protected`.
     """
-    total = docs.count()
-    pairs = rows.select("version", F.explode("terms").alias("t")).select("version", "t.entity", "t.term", F.lit(1).alias("one"))
-    per_text = pairs.groupBy("entity", "term", "version").agg(F.first("one").alias("one"))
-    copies = rows.where(F.size("entities") > 0).groupBy("version").agg(F.count("*").alias("copies"))
-    joint = (
-        per_text.join(copies, "version")
-        .groupBy("entity", "term")
-        .agg(F.sum("copies").alias("both"), F.count("*").alias("texts"))
-        .where(F.col("texts") >= support)
+    copies = rows.groupBy("version").agg(F.count("*").alias("copies"))
+    total = copies.count()
+    per_text = rows.where(F.size("entities") > 0).select("version", F.explode("terms").alias("t"))
+    per_text = per_text.select("version", "t.term").distinct()
+    joint = stored(
+        protected(rows).join(per_text, "version").groupBy("entity", "term", "with_entity").agg(F.count("*").alias("both"))
     )
-    joint = stored(joint)
-    size = joint.agg(F.sum(F.length("term") + 32).alias("n")).first()["n"] or 0
     wanted = joint.select("term").distinct()
-    words = F.array_distinct(F.split(ascii_lower(docs[text_col]), r"[^\p{L}]+", -1))
-    each = docs.select(F.explode(words).alias("term"))
-    counted = each.join(F.broadcast(wanted) if size <= most_bytes else wanted, "term").groupBy("term").agg(
-        F.count("*").alias("with_term")
-    )
-    entities = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
+    size = wanted.agg(F.sum(F.length("term") + 32).alias("n")).first()["n"] or 0
+    repeated = copies.where("copies > 1")
+    weights = F.broadcast(repeated) if 16 * repeated.count() <= most_bytes else repeated
+    words = F.array_distinct(F.split(ascii_lower(F.col("text")), r"[^\p{L}]+", -1))
+    each = docs.select(docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("version")).join(weights, "version", "left")
+    each = each.select(F.explode(words).alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("part"))
+    if size <= most_bytes:
+        each = each.join(F.broadcast(wanted), "term")
+    counted = each.groupBy("term").agg(F.round(F.sum("part")).alias("with_term"))  # a text once, not its copies
     n = F.lit(float(max(total, 1)))
-    shared = F.log2(F.col("both") * n / (F.greatest("with_term", "both") * F.col("with_entity")))
-    whole = F.log2(n / F.col("with_entity"))
+    held = F.greatest("with_term", "both")
+    base = F.col("with_entity") / n
+    whole = -F.log2(base)
+    smooth = (F.col("both") + support * base) / (held + support)
     return (
-        joint.join(counted, "term")
-        .join(entities, "entity")
-        .select("entity", "term", F.when(whole > 0, shared / whole).otherwise(0.0).alias("share"))
-        .where(F.col("share") >= least)
+        joint.join(counted, "term", "left")
+        .select(
+            "entity",
+            "term",
+            F.when(whole > 0, F.log2(F.col("both") / held / base) / whole).otherwise(0.0).alias("share"),
+            F.when(whole > 0, F.log2(smooth / base) / whole).otherwise(0.0).alias("sure"),
+        )
+        .where(F.col("sure") >= least)
+        .drop("sure")
     )
 
 
@@ -180,7 +200,7 @@ def find_private(
     id_col: str = "doc_id",
     text_col: str = "text",
     near: int = NEAR,
-    support: int = SUPPORT,
+    support: float = SUPPORT,
     least: float = DISCLOSES,
     most_bytes: int = MOST_BYTES,
 ) -> DataFrame:
@@ -188,14 +208,15 @@ def find_private(
 
     `base` has the spans of the patterns (kind, start, end), `terms` those of the disclosing words near
     them (start, end, share), each once and sorted; offsets count code points. `version` is the hash of
-    the text. A null text is empty. Repeated rows and null ids are treated like others; a word counts
-    as evidence once per different text, so copies alone disclose nothing.
+    the text. A null text is empty. Repeated rows and null ids are treated like others; copies of a text
+    count as one text. A value needs no number of texts; `support` is the weight of the smoothing.
     """
     rows = stored(found(docs, id_col, text_col, near))
     shares = disclosing(docs, rows, text_col, support, least, most_bytes)
+    in_texts = protected(rows).join(shares, "entity").groupBy("version", "term").agg(F.max("share").alias("share"))
     places = rows.select("version", F.explode("terms").alias("t")).select("version", "t.*").distinct()
     marked = (
-        places.join(shares, ["entity", "term"])
+        places.join(in_texts, ["version", "term"])
         .groupBy("version", "start", "end")
         .agg(F.max("share").alias("share"))
         .groupBy("version")

@@ -111,3 +111,25 @@ def test_odd_rows_and_empty_table(spark, odd_docs, no_docs):
     text = P.span_list(F.col("base"), F.col("terms"))
     got = P.find_private(docs(spark)).select("doc_id", text.alias("s")).where("doc_id = 154").first()
     assert got.s.startswith("phone:")
+
+
+def single(spark, far: int = 0):
+    """600 texts; a hidden name beside one address that stands in one text only, and a copy of that text."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(2))
+    rows = [" ".join(word() for _ in range(30)) for _ in range(600)]
+    common = " ".join(" ".join(rows[:40]).split()[:far])
+    rows += [f"Quentinius {common} writes to q@x.org now {common} and Quentinius again"] * 2
+    rows += [f"{word()} writes to {word()} now and again" for _ in range(60)]
+    return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+
+
+def marked_words(df, **options):
+    texts = dict(df.collect())
+    return {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.terms] for r in P.find_private(df, **options).collect()}
+
+
+def test_value_of_a_single_text_has_disclosing_words(spark):
+    got = marked_words(single(spark))
+    assert got[600] == got[601] == ["Quentinius", "Quentinius"]
+    assert not any(words for i, words in got.items() if i not in (600, 601))
