@@ -1,6 +1,6 @@
 """Personal data, and the words that give it away.
 
-Patterns find the protected values themselves. Then the corpus tells which words near a value reveal
+Patterns find the protected values themselves. Then the corpus tells which words of its texts reveal
 it: where a word's pointwise mutual information with the value comes close to all the information the
 value carries, whoever reads the word learns the value, and the word is generalised or removed too.
 """
@@ -19,7 +19,6 @@ from pyspark.sql import types as T
 from keepline.llm.common import ascii_lower, field, stored, type_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR = 8
 SUPPORT = 2
 DISCLOSES = 0.8
 REMOVES = 0.95
@@ -72,8 +71,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]], near: int = NEAR) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the `near` words on either side of each span, spans left out."""
+def words_of(text: str, spans: list[tuple[int, int, int]], near: int | None = None) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the words of a text with values, the values left out; `near`: only so many
+    words on either side of a value."""
     if not spans:
         return []
     taken = sorted((s, e) for _, s, e in spans)
@@ -85,22 +85,20 @@ def near_terms(text: str, spans: list[tuple[int, int, int]], near: int = NEAR) -
 
     words = [m.span() for m in TERM.finditer(text)]
     words = [w for w in words if free(*w)]
-    at, out = [w[0] for w in words], []
-    for kind, s, e in spans:
-        entity = f"{KINDS[kind]}:{text[s:e]}"
-        i, j = bisect_left(at, s), bisect_left(at, e)
-        for a, b in [*words[max(0, i - near) : i], *words[j : j + near]]:
-            out.append((entity, text[a:b].encode().lower().decode(), a, b))
-    return out
+    if near is not None:
+        at, chosen = [w[0] for w in words], set()
+        for s, e in taken:
+            i, j = bisect_left(at, s), bisect_left(at, e)
+            chosen.update(range(max(0, i - near), i), range(j, min(j + near, len(words))))
+        words = [words[i] for i in sorted(chosen)]
+    return [(text[a:b].encode().lower().decode(), a, b) for a, b in words]
 
 
 SPANS = T.ArrayType(T.StructType([field("kind", T.IntegerType()), field("start", T.IntegerType()), field("end", T.IntegerType())]))
-TERMS = T.ArrayType(
-    T.StructType([field("entity", T.StringType()), field("term", T.StringType())] + SPANS.elementType.fields[1:])
-)
+TERMS = T.ArrayType(T.StructType([field("term", T.StringType())] + SPANS.elementType.fields[1:]))
 
 
-def found(docs: DataFrame, id_col: str, text_col: str, near: int) -> DataFrame:
+def found(docs: DataFrame, id_col: str, text_col: str, near: int | None = None) -> DataFrame:
     """(doc, version, spans, entities, terms) of every row; version is the hash of the text."""
     schema = T.StructType(
         [field("doc", type_of(docs, id_col)), field("version", T.LongType()), field("spans", SPANS)]
@@ -110,7 +108,7 @@ def found(docs: DataFrame, id_col: str, text_col: str, near: int) -> DataFrame:
         pa.list_(pa.struct([(n, t) for n, t in names]))
         for names in (
             [("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())],
-            [("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())],
+            [("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())],
         )
     )
 
@@ -122,7 +120,7 @@ def found(docs: DataFrame, id_col: str, text_col: str, near: int) -> DataFrame:
                 got = base_spans(text)
                 spans.append([dict(zip(("kind", "start", "end"), x)) for x in got])
                 entities.append(sorted({f"{KINDS[k]}:{text[s:e]}" for k, s, e in got}))
-                terms.append([dict(zip(("entity", "term", "start", "end"), x)) for x in near_terms(text, got, near)])
+                terms.append([dict(zip(("term", "start", "end"), x)) for x in words_of(text, got, near)])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -153,10 +151,10 @@ def protected(rows: DataFrame) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, rows: DataFrame, text_col: str, support: float, least: float, most_bytes: int) -> DataFrame:
-    """(entity, term, share): how much of an entity's information a word near it gives away.
+    """(entity, term, share): how much of an entity's information a word of its texts gives away.
 
     share = PMI(term; entity) / -log2 p(entity), from the number of different texts with the term, with
-    the entity, and with the term near the entity, over all texts. A pair comes back if its share is
+    the entity, and with both, over all texts. A pair comes back if its share is
     still `least` after smoothing: as if the term stood in `support` more texts, with the entity in as
     many of them as anywhere. Entities are those of `protected`.
     """
@@ -199,15 +197,15 @@ def find_private(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    near: int = NEAR,
+    near: int | None = None,
     support: float = SUPPORT,
     least: float = DISCLOSES,
     most_bytes: int = MOST_BYTES,
 ) -> DataFrame:
     """(id, version, base, terms), one row per row of docs.
 
-    `base` has the spans of the patterns (kind, start, end), `terms` those of the disclosing words near
-    them (start, end, share), each once and sorted; offsets count code points. `version` is the hash of
+    `base` has the spans of the patterns (kind, start, end), `terms` those of the disclosing words
+    anywhere in the same text (start, end, share), each once and sorted; offsets count code points. `version` is the hash of
     the text. A null text is empty. Repeated rows and null ids are treated like others; copies of a text
     count as one text. A value needs no number of texts; `support` is the weight of the smoothing.
     """

@@ -133,3 +133,10 @@ def test_value_of_a_single_text_has_disclosing_words(spark):
     got = marked_words(single(spark))
     assert got[600] == got[601] == ["Quentinius", "Quentinius"]
     assert not any(words for i, words in got.items() if i not in (600, 601))
+
+
+def test_words_far_from_the_value_count_and_go(spark):
+    df = single(spark, far=60)
+    got = marked_words(df)
+    assert got[600] == got[601] == ["Quentinius", "Quentinius"]
+    assert not any(words for i, words in got.items() if i not in (600, 601))
