@@ -201,10 +201,13 @@ def blocks_of(html: str) -> list[Block]:
 
 
 def judge(block: Block) -> str:
-    """good, bad, near (good if any neighbour is) or short (as its nearest neighbour)."""
+    """good, bad, near (good if any neighbour is), short (as its nearest neighbour) or unlike (running text
+    by length, but without the stop words of a known language)."""
     n = len(block.text)
-    if block.around or block.links > MOST_LINKS * n or "©" in block.text:
+    if block.around or ("©" in block.text and n < SHORT and not block.main):
         return "bad"
+    if block.links > MOST_LINKS * n:
+        return "short" if block.main and (block.heading or block.links < n) else "bad"
     if block.heading:
         return "short"
     if n < SHORT:
@@ -215,7 +218,7 @@ def judge(block: Block) -> str:
         return "good" if n > LONG else "near"
     if stops >= FEW_STOPS or block.main:
         return "near"
-    return "bad"
+    return "unlike"
 
 
 def label(blocks: list[Block]) -> None:
@@ -224,6 +227,10 @@ def label(blocks: list[Block]) -> None:
     marked = any(b.main and not b.around for b in blocks)
     for b in blocks:
         b.label = "bad" if marked and not b.main else judge(b)
+    known = any(b.label in ("good", "near") for b in blocks)
+    for b in blocks:
+        if b.label == "unlike":  # no block in a known language: length and links decide
+            b.label = "bad" if known else "good" if len(b.text) > LONG else "near"
     if not any(b.label == "good" for b in blocks):  # nothing certain: trust what is like running text
         for b in blocks:
             b.label = "good" if b.label == "near" else b.label

@@ -73,3 +73,19 @@ def test_odd_rows_and_empty_table(spark):
     got = extract(pages).collect()
     assert sorted(r.n_chars for r in got) == [0, 0, 0, 0, len(re.sub("</?p>", "", ARTICLE))]
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_sign_and_links_inside_the_article():
+    body = re.sub("</?p>", "", ARTICLE)
+    signed = body + " The sign © is on it."
+    page = f"<article><h2><a href=1>A linked title</a></h2><p>{signed}</p><p>See <a href=2>this and that</a> too</p>{ARTICLE}</article>"
+    assert main_text(page) == f"A linked title\n{signed}\nSee this and that too\n{body}"
+    assert main_text(f"<div>{ARTICLE}<p>{signed}</p><p>© 2020 by us</p></div>") == f"{body}\n{signed}"
+
+
+def test_page_in_another_language():
+    long = "Kissa istui matolla koko päivän koiran kanssa ja lintu josta olimme kuulleet niin paljon oli siellä myös. " * 3
+    other = "Yöllä kaikki olivat talossa ennen kuin aamu koitti meille kaikille jälleen kerran."
+    menu = "<p>" + " ".join(f"<a href={i}>Valikon kohta numero {i}</a>" for i in range(9)) + "</p>"
+    assert main_text(f"{menu}<p>{long}</p><p>{other}</p>{menu}") == f"{long.strip()}\n{other}"
+    assert main_text(f"<p>{other}</p>{menu}") == other
