@@ -146,7 +146,7 @@ def _(spark, sf):
     return filter_risk(risk(spark, sf), KEY, True, 0.7, "MonthlyCharges")
 
 
-@query("b12_filter_log", sql("SELECT user_id, churn_prob, email_subject AS subject FROM outcomes WHERE risk_type = 'support_issue'"))
+@query("b12_filter_log", sql("SELECT user_id, churn_prob, email_subject AS subject FROM outcomes WHERE risk_type = 'support_issue' AND action = 'email_sent'"))
 def _(spark, sf):
     return filter_log(records(spark, sf), "support_issue").select("user_id", "churn_prob", "subject")
 
