@@ -16,6 +16,7 @@ from keepline.llm import (
     private,
     quality,
     simhash,
+    spelling,
     suffixes,
     token_counts,
 )
@@ -134,4 +135,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), pieces)
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 __all__ = ["QUERIES", "SQL"]
