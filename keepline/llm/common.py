@@ -59,3 +59,18 @@ def field(name: str, kind: T.DataType) -> T.StructField:
 def same_partitions(df: DataFrame, *columns: str) -> DataFrame:
     """Rows of equal columns in one partition and next to each other."""
     return df.repartition(*[F.col(c) for c in columns]).sortWithinPartitions(*columns)
+
+
+def head_of(counts: DataFrame, n: str, most: int) -> tuple[DataFrame, int]:
+    """The rows with the largest `n` (1 or more), and how many: whole classes of close n, `most` rows at most.
+
+    The classes are eighths of a power of two, so the driver gets some hundred numbers whatever the rows.
+    """
+    close = F.floor(F.log2(n) * 8)
+    tally = sorted(counts.groupBy(close.alias("close")).count().collect(), reverse=True)
+    rows, cut = 0, None
+    for r in tally:
+        if rows + r["count"] > most:
+            break
+        rows, cut = rows + r["count"], r["close"]
+    return counts.where(close >= cut if cut is not None else F.lit(False)), rows

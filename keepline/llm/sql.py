@@ -99,3 +99,30 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
     coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN totals USING (doc_id)
 """
+
+SQL["op12_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+f AS (
+    SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f FROM (
+        SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS size) WHERE len(w) >= size)
+    GROUP BY ALL
+), c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
+longer AS (
+    SELECT lang, phrase, max(a) AS longest FROM (
+        SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM c WHERE size = 3) GROUP BY ALL
+), cuts AS (
+    SELECT lang, phrase, a, w, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+    FROM (SELECT c.*, unnest(range(1, size)) AS k FROM c LEFT JOIN longer USING (lang, phrase)
+        WHERE size = 3 OR longest IS NULL OR 100 * longest < 50 * a)
+), scored AS (
+    SELECT cuts.lang, cuts.phrase, a, k, h.f AS l, t.f AS r,
+        CAST((a::HUGEINT * a::HUGEINT * 1000000) // (h.f::HUGEINT * t.f::HUGEINT) AS BIGINT) AS score
+    FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = tail
+), lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS i FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest WHERE i = 1)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM ranked JOIN (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1) USING (lang) WHERE rank <= 2000
+"""
