@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from keepline.llm import (
     chat,
+    class_model,
+    collocations,
     decontaminate,
     html_text,
     line_dedup,
@@ -140,4 +142,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(read(spark, sf_dir, "documents"))
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_model.score_texts(read(spark, sf_dir, "documents"))
+
+
 __all__ = ["QUERIES", "SQL"]
