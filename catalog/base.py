@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepline.functions.numbers import round_scaled
+from keepline.operators.boost import fit_trees, tune_trees
 from keepline.operators.clean import binary_target, coerce_numeric, impute_constant
 from keepline.operators.decide import flag_at_risk
 from keepline.operators.explain import feature_means, linear_contributions
@@ -15,9 +16,7 @@ from keepline.operators.split import stratified_folds
 from keepline.operators.train import (
     balanced_weights,
     pos_weight,
-    train_boosted,
     train_logistic,
-    tune_boosted,
 )
 from keepline.plans.decisions import decide, flagged_decisions
 from keepline.plans.preprocess import Prepared, preprocess
@@ -38,8 +37,7 @@ OTHER_WEIGHTS = {"is_monthly": 1.0, "tenure": -0.02}
 OTHER_INTERCEPT = -0.2
 DIGITS = 6  # scores and contributions are rounded once, so that engines agree on every order
 
-TREES = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}
-SMALL_GRID = {"maxIter": (3, 5), "maxDepth": (2, 3)}
+TREES = {"trees": 100, "depth": 3, "rate": 0.1}
 
 _memo: dict[tuple, object] = {}
 
@@ -154,7 +152,7 @@ def logistic(spark: SparkSession, sf: str):
 def boosted(spark: SparkSession, sf: str):
     def make():
         rows = pos_weight(training_side(spark, sf), LABEL)
-        return train_boosted(rows, prepared(spark, sf).names, LABEL, **TREES)
+        return fit_trees(rows, prepared(spark, sf).names, LABEL, **TREES)
 
     return once(spark, sf, "boosted", make)
 
@@ -163,6 +161,6 @@ def tuned(spark: SparkSession, sf: str):
     def make():
         rows = pos_weight(training_side(spark, sf), LABEL)
         folded = stratified_folds(rows, KEY, LABEL, 5)
-        return tune_boosted(folded, prepared(spark, sf).names, LABEL, "fold", 5, SMALL_GRID)
+        return tune_trees(folded, prepared(spark, sf).names, LABEL, "fold")
 
     return once(spark, sf, "tuned", make)

@@ -24,7 +24,7 @@ from keepline.operators.explain import (
 from keepline.operators.score import linear_score, read_coefficients, score
 from keepline.operators.train import (
     balanced_weights, coefficient_table, feature_names, importance_table, pos_weight_ratio,
-    top_coefficients, top_importances, tuning_table,
+    top_coefficients, top_importances,
 )
 from keepline.operators.tree_shap import node_table, sample_contributions, tree_contributions
 from keepline.plans.decisions import flagged_decisions
@@ -76,6 +76,36 @@ def _(spark, sf):
     return node_table(boosted(spark, sf), spark)
 
 
+_ROOTS = "(SELECT count(*) AS n, sum(CASE WHEN Churn_Binary = 1 THEN w ELSE 1.0 END) AS weight, sum(CASE WHEN Churn_Binary = 1 THEN -w ELSE 1.0 END) / 2 AS gradient FROM parted, (SELECT " + scaled_round("CAST(count(*) FILTER (Churn_Binary = 0) AS DOUBLE) / count(*) FILTER (Churn_Binary = 1)", 2) + " AS w FROM parted WHERE split = 'train') WHERE split = 'train')"
+
+
+@query(
+    "g04_root_sums",
+    sql(f"SELECT n, round(weight / 4, 4) AS cover, round(gradient, 4) AS gradient FROM {_ROOTS}"),
+)
+def _(spark, sf):
+    """The first root has the rows, Hessians and gradients of the training side, where every margin is 0."""
+    root = node_table(boosted(spark, sf), spark).where("treeID = 0 AND id = 0")
+    return root.select("n", F.round("cover", 4).alias("cover"), F.round("gradient", 4).alias("gradient"))
+
+
+@query("g04_node_sums", sql("SELECT t AS \"treeID\", true AS is_sound FROM (SELECT unnest(range(0, 100))::INTEGER AS t)"))
+def _(spark, sf):
+    """In every tree parents have the sums of their children, gains follow from them, and so do leaf values."""
+    nodes = as_table(node_table(boosted(spark, sf), spark), "nodes")
+    sides = [
+        nodes.select("treeID", F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("gradient", "cover", "n")])
+        for side in ("left", "right")
+    ]
+    rows = nodes.join(sides[0], ["treeID", "left"], "left").join(sides[1], ["treeID", "right"], "left")
+    part = lambda p: F.col(f"{p}gradient") ** 2 / (F.col(f"{p}cover") + 1.0)
+    gap = F.abs(part("left_") + part("right_") - part("") - F.col("gain"))
+    sums = [F.abs(F.col(f"left_{c}") + F.col(f"right_{c}") - F.col(c)) < 1e-6 for c in ("gradient", "cover", "n")]
+    inner = sums[0] & sums[1] & sums[2] & (gap < 1e-6 * (1 + F.col("gain"))) & (F.col("gain") > 0)
+    leaf = F.abs(F.col("prediction") + 0.1 * F.col("gradient") / (F.col("cover") + 1.0)) < 1e-9
+    return rows.groupBy("treeID").agg(F.every(F.when(F.col("left") >= 0, inner).otherwise(leaf)).alias("is_sound"))
+
+
 @query("g05_grid_search")
 def _(spark, sf):
     best, _ = tuned(spark, sf)
@@ -189,6 +219,19 @@ def _(spark, sf):
     return top_importances(importance_table(boosted(spark, sf), training_side(spark, sf)))
 
 
+@query("g14_importance_gains", "SELECT count(*) AS n, count(*) AS n_equal FROM (SELECT unnest(range(0, 15)))")
+def _(spark, sf):
+    """The importances shown are the mean gains in the node table, as shares of all."""
+    names = F.array(*[F.lit(n) for n in feature_names(boosted(spark, sf))])
+    splits = node_table(boosted(spark, sf), spark).where("feature >= 0")
+    gains = splits.groupBy(F.get(names, F.col("feature")).alias("feature")).agg(F.avg("gain").alias("gain"))
+    whole = gains.agg(F.sum("gain").alias("whole"))
+    shown = top_importances(importance_table(boosted(spark, sf), training_side(spark, sf)))
+    rows = shown.join(gains, "feature", "left").withColumn("whole", whole.scalar())
+    gap = F.abs(F.col("importance") - F.coalesce(F.col("gain"), F.lit(0.0)) / F.col("whole"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(gap < 1e-9).alias("n_equal"))
+
+
 @query(
     "g14_importance_total",
     sql(
@@ -203,8 +246,19 @@ def _(spark, sf):
 
 @query("g15_tuning_table")
 def _(spark, sf):
-    _, found = tuned(spark, sf)
-    return tuning_table(found, training_side(spark, sf))
+    return tuned(spark, sf)[1]
+
+
+_GRID = "(SELECT unnest([100, 200]) AS t), (SELECT unnest([3, 5]) AS d), (SELECT unnest(['0.05', '0.1']) AS r), (SELECT unnest(['0.8', '1.0']) AS s), (SELECT unnest(['0.8', '1.0']) AS c)"
+
+
+@query("g15_tuning_grid", f"SELECT 'columns=' || c || ', depth=' || d || ', rate=' || r || ', rows=' || s || ', trees=' || t AS params, true AS is_score FROM {_GRID}")
+def _(spark, sf):
+    """Every combination of the grid has a mean F1, and the first is the best."""
+    found = tuned(spark, sf)[1]
+    best = found.agg(F.max("f1").alias("best")).scalar()
+    right = F.col("f1").between(0, 1) & (F.col("is_best") <= (F.col("f1") == best))
+    return found.select("params", right.alias("is_score"))
 
 
 # ---- attribution ----------------------------------------------------------------------------

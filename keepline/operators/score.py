@@ -9,6 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keepline.operators.boost import BoostedTrees
+
 INTERCEPT = "(intercept)"
 MAX_COEFFICIENTS = 100_000
 
@@ -47,6 +49,8 @@ def linear_score(df: DataFrame, coefficients: DataFrame, out: str = "churn_prob"
 
 
 def score(model, df: DataFrame, out: str = "churn_prob") -> DataFrame:
-    """P(positive) from a fitted Spark ML classifier or pipeline, computed once per row."""
+    """P(positive) from boosted trees or a fitted Spark ML classifier or pipeline, computed once per row."""
+    if isinstance(model, BoostedTrees):
+        return model.score(df, out)
     scored = model.transform(df).withColumn(out, vector_to_array("probability")[1])
     return scored.select(*[F.col(f"`{c}`") for c in df.columns if c != out], out)

@@ -1,29 +1,20 @@
-"""Class weights, the two model families, tuning, and what a fitted model says about itself."""
+"""Class weights, the models of Spark ML, and what a fitted model says about itself."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepline.functions.numbers import round_scaled
+from keepline.operators import boost
+from keepline.operators.boost import BoostedTrees
 from keepline.operators.score import INTERCEPT
 from keepline.operators.split import classes_of, per_class
 from keepline.session import shared_dir
 
-# The search grid.
-GRID = {
-    "maxIter": (100, 200),
-    "maxDepth": (3, 5),
-    "stepSize": (0.05, 0.1),
-    "subsamplingRate": (0.8, 1.0),
-    "featureSubsetStrategy": ("0.8", "all"),
-}
-
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """n / (classes * rows of the class), so every class weighs the same in total."""
@@ -54,9 +45,9 @@ def assembler(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
 
 
-def feature_names(model: PipelineModel) -> list[str]:
+def feature_names(model: PipelineModel | BoostedTrees) -> list[str]:
     """The feature list a fitted model was trained on."""
-    return list(model.stages[0].getInputCols())
+    return list(model.features if isinstance(model, BoostedTrees) else model.stages[0].getInputCols())
 
 
 def train_logistic(
@@ -93,57 +84,12 @@ def checkpoint_between_trees(df: DataFrame) -> None:
 def train_boosted(
     df: DataFrame, features: list[str], label: str, weight: str = "weight", seed: int = 42, **params
 ) -> PipelineModel:
+    """First-order boosted trees of Spark ML; `boost.fit_trees` are the second-order ones."""
     checkpoint_between_trees(df)
     gbt = boosted_trees(label, weight, seed, **params)
     return Pipeline(stages=[assembler(features), gbt]).fit(df)
 
 
-def tune_boosted(
-    df: DataFrame,
-    features: list[str],
-    label: str,
-    fold: str,
-    k: int = 5,
-    grid: dict[str, tuple] | None = None,
-    weight: str = "weight",
-    seed: int = 42,
-    parallelism: int = 4,
-) -> tuple[PipelineModel, CrossValidatorModel]:
-    """Grid search over given stratified folds, best F1 of the positive class, then a refit."""
-    checkpoint_between_trees(df)
-    gbt = boosted_trees(label, weight, seed)
-    builder = ParamGridBuilder()
-    for name, values in (grid or GRID).items():
-        builder = builder.addGrid(gbt.getParam(name), list(values))
-    f1 = MulticlassClassificationEvaluator(
-        labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0
-    )
-    search = CrossValidator(
-        estimator=gbt,
-        estimatorParamMaps=builder.build(),
-        evaluator=f1,
-        numFolds=k,
-        foldCol=fold,
-        parallelism=parallelism,
-        seed=seed,
-    )
-    to_vector = assembler(features)
-    rows = to_vector.transform(df).select("features", label, weight, fold)
-    found = search.fit(rows)
-    return PipelineModel([to_vector, found.bestModel]), found
-
-
-def tuning_table(found: CrossValidatorModel, df: DataFrame) -> DataFrame:
-    """Mean F1 per parameter combination, best first."""
-    rows = []
-    for params, score in zip(found.getEstimatorParamMaps(), found.avgMetrics):
-        text = ", ".join(sorted(f"{p.name}={v}" for p, v in params.items()))
-        rows.append((text, float(score)))
-    best = max(score for _, score in rows)
-    table = df.sparkSession.createDataFrame(rows, "params string, f1 double")
-    return table.withColumn("is_best", F.col("f1") == F.lit(best)).orderBy(F.desc("f1"), "params")
-
-
 def coefficient_table(model: PipelineModel, df: DataFrame) -> DataFrame:
     """(feature, ordinal, weight) of a fitted linear model, intercept included."""
     linear = model.stages[-1]
@@ -163,8 +109,10 @@ def top_coefficients(table: DataFrame, n: int = 15) -> DataFrame:
     )
 
 
-def importance_table(model: PipelineModel, df: DataFrame) -> DataFrame:
+def importance_table(model: PipelineModel | BoostedTrees, df: DataFrame) -> DataFrame:
     """Gain importance per feature, summing to one."""
+    if isinstance(model, BoostedTrees):
+        return boost.importance_table(model, df.sparkSession)
     scores = model.stages[-1].featureImportances.toArray()
     rows = [(n, i + 1, float(s)) for i, (n, s) in enumerate(zip(feature_names(model), scores))]
     return df.sparkSession.createDataFrame(rows, "feature string, ordinal int, importance double")

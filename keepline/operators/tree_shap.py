@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keepline.operators.boost import BoostedTrees
 from keepline.operators.train import feature_names
 from keepline.session import new_path
 
@@ -59,8 +60,10 @@ def read_nodes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def node_table(model: PipelineModel, spark: SparkSession) -> DataFrame:
-    """Node table of a fitted pipeline, through the model's own saved form."""
+def node_table(model: PipelineModel | BoostedTrees, spark: SparkSession) -> DataFrame:
+    """Node table of a fitted model; of a pipeline, through its own saved form."""
+    if isinstance(model, BoostedTrees):
+        return model.nodes(spark)
     path = new_path(spark, "trees")
     model.stages[-1].write().save(path)
     return read_nodes(spark, path)
@@ -200,7 +203,7 @@ def _attributor(shared, where_features: list[int], values_of):
 
 
 def tree_contributions(
-    df: DataFrame, model: PipelineModel, nodes: DataFrame | None = None, out: str = "contributions"
+    df: DataFrame, model: PipelineModel | BoostedTrees, nodes: DataFrame | None = None, out: str = "contributions"
 ) -> DataFrame:
     """Adds per-feature Shapley values in log-odds and the base value.
 
@@ -223,6 +226,6 @@ def tree_contributions(
     return made.withColumns({out: pairs, "base_value": F.lit(base)}).drop("_phi")
 
 
-def sample_contributions(df: DataFrame, model: PipelineModel, key: str, n: int = 200) -> DataFrame:
+def sample_contributions(df: DataFrame, model: PipelineModel | BoostedTrees, key: str, n: int = 200) -> DataFrame:
     """Attribution of the first ``n`` rows by key, for a quick global chart."""
     return tree_contributions(df.orderBy(key).limit(n), model)

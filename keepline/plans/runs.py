@@ -12,6 +12,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keepline.operators.boost import GRID, SAMPLE, BoostedTrees, load_trees, save_trees, tune_trees
 from keepline.operators.clean import binary_target, coerce_numeric, fit_medians, impute
 from keepline.operators.decide import CONFIG, contract_from_one_hot
 from keepline.operators.eda import correlation, histogram, mean_by_class, overview, point_density, rate_by, top_level
@@ -24,17 +25,17 @@ from keepline.operators.profile import class_balance, class_counts, limit_users,
 from keepline.operators.score import score
 from keepline.operators.split import stratified_folds
 from keepline.operators.train import (
-    GRID, balanced_weights, coefficient_table, feature_names, importance_table, pos_weight,
-    top_coefficients, top_importances, train_logistic, tune_boosted, tuning_table,
+    balanced_weights, coefficient_table, feature_names, importance_table, pos_weight, top_coefficients,
+    top_importances, train_logistic,
 )
-from keepline.operators.tree_shap import node_table, tree_contributions
+from keepline.operators.tree_shap import tree_contributions
 from keepline.plans.decisions import flagged_decisions, idle_outcomes, sent_outcomes, with_texts
 from keepline.plans.marts import risk_table, score_summary
 from keepline.plans.preprocess import SCALED, Prepared, preprocess
 from keepline.plans.reports import RunReport, markdown, model_report, run_report, write_page
 from keepline.roles import TELCO, DecisionConfig, Roles
 from keepline.session import as_table
-from keepline.sources.artefacts import load_model, load_params, save_model, save_params
+from keepline.sources.artefacts import load_params, save_model, save_params
 from keepline.sources.customers import export_csv, read_customers, read_features, write_features
 from keepline.sources.log import replace_run
 
@@ -90,7 +91,7 @@ def _store(table: DataFrame, path: str) -> DataFrame:
     return table.sparkSession.read.parquet(path)
 
 
-def _assess(spark: SparkSession, workspace: str, model: PipelineModel, name: str, roles: Roles) -> DataFrame:
+def _assess(spark: SparkSession, workspace: str, model: PipelineModel | BoostedTrees, name: str, roles: Roles) -> DataFrame:
     """Scores of the test side, scored once, and every evaluation table from them."""
     test = read_features(spark, f"{workspace}/features", "test")
     folder = f"{workspace}/metrics/{name.replace(' ', '_').lower()}"
@@ -122,18 +123,14 @@ def fit_boosted(
     roles: Roles = TELCO,
     grid: dict[str, tuple] | None = None,
     folds: int = 5,
-    parallelism: int = 4,
+    sample: int = SAMPLE,
 ) -> DataFrame:
     """Tuned boosted trees; stores model, tuning table, importances, evaluation and comparison."""
     train = pos_weight(read_features(spark, f"{workspace}/features", "train"), roles.label)
     folded = stratified_folds(train, roles.key, roles.label, folds)
-    model, search = tune_boosted(
-        folded, _names(spark, workspace), roles.label, "fold", folds, grid or GRID, parallelism=parallelism
-    )
-    save_model(model, f"{workspace}/models/boosted")
-    # What attribution reads of the model: saved once with it, not again in every run.
-    save_params(node_table(model, spark), f"{workspace}/models/boosted_nodes")
-    _store(tuning_table(search, train), f"{workspace}/metrics/tuning")
+    model, search = tune_trees(folded, _names(spark, workspace), roles.label, "fold", grid or GRID, sample=sample)
+    save_trees(model, spark, f"{workspace}/models/boosted")
+    _store(search, f"{workspace}/metrics/tuning")
     importances = _store(importance_table(model, train), f"{workspace}/metrics/importances")
     _store(top_importances(importances), f"{workspace}/metrics/top_importances")
     metrics = _assess(spark, workspace, model, BOOSTED, roles)
@@ -153,13 +150,12 @@ def fit_boosted(
 
 def attribute(spark: SparkSession, workspace: str, roles: Roles = TELCO) -> dict[str, DataFrame]:
     """Attributions of the whole test side, and the tables behind the attribution charts."""
-    model = load_model(f"{workspace}/models/boosted")
+    model = load_trees(spark, f"{workspace}/models/boosted")
     names = feature_names(model)
     test = score(model, read_features(spark, f"{workspace}/features", "test"))
     rows = test.select(roles.key, roles.label, "churn_prob", *[F.col(f"`{n}`") for n in names])
     folder = f"{workspace}/attributions"
-    nodes = load_params(spark, f"{workspace}/models/boosted_nodes")
-    done = _store(tree_contributions(rows, model, nodes), f"{folder}/rows")
+    done = _store(tree_contributions(rows, model), f"{folder}/rows")
     made = {
         "importance": global_importance(done),
         "grid": contribution_grid(done, names),
@@ -189,7 +185,7 @@ def run_decisions(
     # The answers may be lazy plans over the prompts this run is about to replace.
     replies = None if replies is None else as_table(replies, "replies")
     texts = None if texts is None else as_table(texts, "texts")
-    model = load_model(f"{workspace}/models/boosted")
+    model = load_trees(spark, f"{workspace}/models/boosted")
     test = read_features(spark, f"{workspace}/features", "test")
     if limit is not None:
         test = limit_users(test, roles.key, limit)
@@ -197,10 +193,9 @@ def run_decisions(
     needed = [c for c in test.columns if not c.endswith(SCALED)]
     test = test.select(*[F.col(f"`{c}`") for c in needed])
     scored = as_table(score(model, test).withColumn("contract_type", contract), "scored")
-    nodes = load_params(spark, f"{workspace}/models/boosted_nodes")
     explained = as_table(
         flagged_decisions(
-            scored, roles.key, replies, cfg=cfg, attribute=lambda rows: tree_contributions(rows, model, nodes)
+            scored, roles.key, replies, cfg=cfg, attribute=lambda rows: tree_contributions(rows, model)
         ),
         "decided",
     )

@@ -32,7 +32,7 @@ def test_steps(spark, workspace):
 
     base = {r["metric"]: r["value"] for r in runs.fit_baseline(spark, workspace).collect()}
     assert base["roc_auc"] > 0.7
-    grid = {"maxIter": (10,), "maxDepth": (2, 3)}
+    grid = {"trees": (10,), "depth": (2, 3)}
     tuned = {r["metric"]: r["value"] for r in runs.fit_boosted(spark, workspace, grid=grid, folds=2).collect()}
     assert tuned["roc_auc"] > 0.7
     comparison = spark.read.parquet(f"{workspace}/metrics/comparison").collect()

@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from keepline.operators.clean import coerce_numeric
 from keepline.operators.evaluate import evaluate
 from keepline.operators.score import linear_score, score
-from keepline.operators.split import stratified_folds
 from keepline.operators.train import (
-    GRID, balanced_weights, coefficient_table, feature_names, importance_table, pos_weight,
-    pos_weight_ratio, top_coefficients, top_importances, train_boosted, train_logistic, tune_boosted,
-    tuning_table,
+    balanced_weights, coefficient_table, feature_names, importance_table, pos_weight,
+    pos_weight_ratio, top_coefficients, top_importances, train_boosted, train_logistic,
 )
 from keepline.plans.preprocess import preprocess
 from keepline.sources.artefacts import load_model, load_params, save_model, save_params
@@ -117,16 +115,3 @@ def test_artefacts_survive(spark, ready, logistic, boosted, tmp_path):
         assert [r[0] for r in score(loaded, test).orderBy("customerID").select("churn_prob").collect()] == want
     save_params(ready.scaler, str(tmp_path / "scaler"))
     assert sorted(load_params(spark, str(tmp_path / "scaler")).collect()) == sorted(ready.scaler.collect())
-
-
-def test_tuning(ready):
-    rows = stratified_folds(pos_weight(side(ready, "train"), LABEL), "customerID", LABEL, 3)
-    grid = {"maxIter": (1, 4), "maxDepth": (1, 3)}
-    best, found = tune_boosted(rows, ready.names, LABEL, "fold", 3, grid)
-    table = tuning_table(found, rows).collect()
-    assert len(table) == 4 and table[0]["is_best"] and table[0]["f1"] == max(r["f1"] for r in table)
-    assert auc(score(best, side(ready, "test"))) > 0.7
-    n = 1
-    for values in GRID.values():
-        n *= len(values)
-    assert n == 32
