@@ -150,12 +150,32 @@ def grow(samples: list[np.ndarray], seed: int = SEED) -> Forest:
     return Forest(*(np.array(x) for x in (column, value, child, length)), np.array(roots, dtype=int), size)
 
 
+def lowest_rows(counts: DataFrame, need: int, seed: int = SEED) -> np.ndarray:
+    """COUNTS of the `need` rows that come first in the order of a hash, all rows if there are fewer.
+
+    Only rows below a limit that about 2 * need of all rows fall under are looked at, equal ones once with
+    their number, so that what all tasks together send does not grow with them; too few below it: the
+    limit is doubled.
+    """
+    n = counts.count()
+    order = F.xxhash64(F.lit(seed), "doc", *COUNTS)
+    share = 2 * need / max(n, 1)
+    while True:
+        below = counts.select(*COUNTS, order.alias("o"))
+        if share < 1:
+            below = below.where(F.col("o") < F.lit(int(share * 2**64) - 2**63))
+        rows = below.groupBy("o", *COUNTS).agg(F.count(F.lit(1)).alias("n")).orderBy("o", *COUNTS).limit(need).collect()
+        if share >= 1 or sum(r["n"] for r in rows) >= need:
+            break
+        share *= 2
+    got = np.array([tuple(r)[1:-1] for r in rows], dtype=np.int64).reshape(-1, len(COUNTS))
+    times = np.array([min(r["n"], need) for r in rows], dtype=np.int64)
+    return np.repeat(got, np.diff(np.minimum(np.r_[0, np.cumsum(times)], need)), axis=0)
+
+
 def fit_forest(counts: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> Forest:
     """A forest on trees x sample rows, drawn by hash from all rows: the method's own sub-sampling."""
-    order = F.xxhash64(F.lit(seed), "doc", *COUNTS)
-    rows = counts.select(*COUNTS, order.alias("o")).orderBy("o", *COUNTS).limit(trees * sample).collect()
-    drawn = np.array([tuple(r)[: len(COUNTS)] for r in rows], dtype=np.int64).reshape(-1, len(COUNTS))
-    x = features(drawn)
+    x = features(lowest_rows(counts, trees * sample, seed))
     each = max(1, min(sample, len(x) // trees or len(x)))
     return grow([x[i * each : (i + 1) * each] if len(x) >= trees * each else x for i in range(trees)], seed)
 

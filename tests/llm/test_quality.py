@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from keepline.llm import quality as Q
 
@@ -96,3 +97,30 @@ def test_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
     assert Q.quality_rules(no_docs, odd).count() == 0
     everything = Q.quality_rules(odd_docs, labels.limit(0)).collect()
     assert all(r.kept != r.base_failed for r in everything)
+
+
+def test_sample_is_bounded_over_many_partitions(spark):
+    """600 partitions: the rows first in hash order, whatever the partitions, and few more are sent."""
+    names = Q.COUNTS
+    rows = spark.range(0, 60_000, 1, 600).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc"),
+        *[F.when(F.col("id") % 3 > 0, F.col("id") % (7 + i)).otherwise(5).cast("long").alias(c) for i, c in enumerate(names)],
+    )
+    for need in (100, 30_000, 100_000):
+        got = Q.lowest_rows(rows, need)
+        order = F.xxhash64(F.lit(Q.SEED), "doc", *names)
+        want = sorted(tuple(r) for r in rows.coalesce(4).select(order, *names).collect())[:need]
+        assert got.tolist() == [list(r[1:]) for r in want]
+    assert rows.rdd.getNumPartitions() == 600
+
+
+def test_equal_scores_share_their_fate(spark):
+    """Ties: documents of equal counts have equal scores, so all or none lie above the cut."""
+    rows = [(i, f"word{'x' * (i % 5)} " * 20 + " ".join(f"w{j}" for j in range(i % 5, 40))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(300)], "doc_id long, quality int")
+    got = Q.quality_rules(docs, labels).collect()
+    fate = {}
+    for r in got:
+        fate.setdefault(tuple(r[c] for c in Q.COUNTS), set()).add((r["anomaly"], r["kept"]))
+    assert all(len(f) == 1 for f in fate.values())
