@@ -34,7 +34,7 @@ BITS = 20  # of an id in a cell's number
 TILE = 10
 CORNER = 16  # tiles each way that may fill up
 DENSE = 1 << 16  # so many pairs in a tile are counted by address
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 HELD = 300_000
 SLOTS = 33_554_393  # of the bit map of frequent pairs, a prime below 2 ** 25
 SLOT_BLOCK = 32_768
