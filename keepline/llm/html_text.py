@@ -8,6 +8,7 @@ neighbours in the second.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field as dataclass_field
 from html import unescape
@@ -41,6 +42,7 @@ AROUND_WORDS = set(
     "newsletter notice pager pagination paywall popup promo promotion recommended related search share sharing "
     "sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar widget".split()
 )
+TEXT_BLOCKS = HEADINGS | set("p blockquote pre li dd dt figcaption caption td th".split())
 OWN_WORDS = set("article body content entry main post story text".split())
 AROUND_ROLES = set(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split()
@@ -94,6 +96,7 @@ class _Page:
     """Open elements and the block being read."""
 
     stack: list[_Open] = dataclass_field(default_factory=list)
+    open: Counter = dataclass_field(default_factory=Counter)  # of each name in the stack
     parts: list[str] = dataclass_field(default_factory=list)
     linked: list[str] = dataclass_field(default_factory=list)
     blocks: list[Block] = dataclass_field(default_factory=list)
@@ -134,7 +137,7 @@ class _Page:
             self._close("p", BLOCKS - {"p"})
         if name in ("li", "dt", "dd", "option", "tr", "td", "th"):
             self._close(name, {"ul", "ol", "dl", "select", "table"})
-        if name in MAIN:  # never inside these: an end tag is missing
+        if name in MAIN and (self.open["nav"] or self.open["header"] or self.open["head"]):  # an end tag is missing
             for at, x in enumerate(self.stack):
                 if x.name in ("nav", "header", "head"):
                     self._pop(at)
@@ -143,10 +146,11 @@ class _Page:
         main = above.main or name in MAIN
         around = above.around or name in AROUND or (name == "header" and not main)
         if rest and not around and name not in ("html", "body"):
-            around = _marked(rest, main)
+            around = _marked(rest, name, main)
         self.in_link += name == "a"
         self.heading += name in HEADINGS
         self.stack.append(_Open(name, around, main))
+        self.open[name] += 1
 
     def end(self, name: str) -> None:
         if name in BLOCKS:
@@ -154,6 +158,8 @@ class _Page:
         self._close(name, set())
 
     def _close(self, name: str, stop: set[str]) -> None:
+        if not self.open[name]:
+            return
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at].name == name:
                 self._pop(at)
@@ -165,11 +171,18 @@ class _Page:
         for x in self.stack[at:]:
             self.in_link -= x.name == "a"
             self.heading -= x.name in HEADINGS
+            self.open[x.name] -= 1
         del self.stack[at:]
 
 
-def _marked(rest: str, main: bool) -> bool:
-    """Whether attributes say that an element is not part of the article."""
+def _marked(rest: str, element: str, main: bool) -> bool:
+    """Whether attributes say that an element is not part of the article.
+
+    Inside a marked article a header belongs to it, and of a paragraph, heading or the like all words of a
+    class have to say so: `related` does, `related-work` does not.
+    """
+    enough = all if main and element in TEXT_BLOCKS else any
+    own_header = {"header"} if main else set()
     for m in ATTRIBUTE.finditer(rest):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
@@ -182,7 +195,7 @@ def _marked(rest: str, main: bool) -> bool:
             for token in value.lower().split():
                 words = [w for w in re.split(r"[-_]+|\d+", token) if w]
                 own = bool(words) and words[0] in OWN_WORDS and not {"comments", "comment", "ad", "ads"} & set(words)
-                if not own and AROUND_WORDS & set(words):
+                if words and not own and enough(w in AROUND_WORDS and w not in own_header for w in words):
                     return True
     return False
 
@@ -207,7 +220,7 @@ def judge(block: Block) -> str:
     if block.around or ("©" in block.text and n < SHORT and not block.main):
         return "bad"
     if block.links > MOST_LINKS * n:
-        return "short" if block.main and (block.heading or block.links < n) else "bad"
+        return "short" if block.main else "bad"
     if block.heading:
         return "short"
     if n < SHORT:
@@ -227,9 +240,9 @@ def label(blocks: list[Block]) -> None:
     marked = any(b.main and not b.around for b in blocks)
     for b in blocks:
         b.label = "bad" if marked and not b.main else judge(b)
-    known = any(b.label in ("good", "near") for b in blocks)
+    known = sum(len(b.text) * ((b.label in ("good", "near")) - (b.label == "unlike")) for b in blocks) > 0
     for b in blocks:
-        if b.label == "unlike":  # no block in a known language: length and links decide
+        if b.label == "unlike":  # most of the page is in no known language: length and links decide
             b.label = "bad" if known else "good" if len(b.text) > LONG else "near"
     if not any(b.label == "good" for b in blocks):  # nothing certain: trust what is like running text
         for b in blocks:
@@ -278,7 +291,9 @@ def extract(
     """(id, *keep, text, n_chars), one row per row of pages.
 
     Character references are decoded, white space in a block is one space, blocks are joined by one
-    line feed. A null or empty page has the empty text. Repeated rows and null ids are like others.
+    line feed. A null or empty page has the empty text. Repeated rows and null ids are like others, no rows
+    give no rows, only the named columns are looked at. Of two decided neighbours as near as each other the
+    one before decides, for a heading the one after. Pages of any length are read whole, in linear time.
     """
     schema = T.StructType(
         [field(c, type_of(pages, c)) for c in (id_col, *keep)] + [field("text", T.StringType()), field("n_chars", T.LongType())]

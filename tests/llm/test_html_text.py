@@ -89,3 +89,35 @@ def test_page_in_another_language():
     menu = "<p>" + " ".join(f"<a href={i}>Valikon kohta numero {i}</a>" for i in range(9)) + "</p>"
     assert main_text(f"{menu}<p>{long}</p><p>{other}</p>{menu}") == f"{long.strip()}\n{other}"
     assert main_text(f"<p>{other}</p>{menu}") == other
+
+
+def test_article_keeps_its_own_header_and_lists():
+    body = re.sub("</?p>", "", ARTICLE)
+    page = (
+        f"<article><div class=header><h1>The title</h1></div>{ARTICLE}<p class='related-work'>Other work on the same.</p>"
+        f"<ul><li><a href=1>A first source</a><li><a href=2>A second source</a></ul><p><a href=3>All of it as one link</a></p>{ARTICLE}"
+        "<div class='related-posts'><p>Read this next</p></div><p class=related>And this</p><div class=share><a href=4>Share</a></div></article>"
+    )
+    want = ["The title", body, "Other work on the same.", "A first source", "A second source", "All of it as one link", body]
+    assert main_text(page) == "\n".join(want)
+
+
+def test_a_notice_does_not_decide_the_language():
+    notice = "<p>This site is for all of you, and it is by us that it was made for the year.</p>"
+    long = "Kissa istui matolla koko päivän koiran kanssa ja lintu josta olimme kuulleet niin paljon oli siellä myös. " * 3
+    other = "Yöllä kaikki olivat talossa ennen kuin aamu koitti meille kaikille jälleen kerran."
+    got = main_text(f"{notice}<p>{long}</p><p>{other}</p>")
+    assert long.strip() in got and other in got
+    body = re.sub("</?p>", "", ARTICLE)
+    assert main_text(f"{ARTICLE}{ARTICLE}<p>{other}</p>") == f"{body}\n{body}"
+
+
+def test_end_tags_without_a_start_take_linear_time():
+    def seconds(n: int) -> float:
+        start = time.perf_counter()
+        for page in ("<div>" * n + "</b>" * n, "<b>" * n + "</i>" * n, "<article>" * n, "<div>" * n + "<p>" * n, "<ul><li>" + "<b>" * n + "</p>" * n):
+            main_text(page + "text")
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(24_000) < 12 * max(seconds(6_000), 0.05)
