@@ -134,7 +134,7 @@ def _unpacked(blob: bytes, names: tuple[str, ...]) -> dict[str, np.ndarray]:
     for c in names:
         wide = np.zeros((n, 8), dtype=np.uint8)
         wide[:, : COLUMNS[c]] = raw[at : at + n * COLUMNS[c]].reshape(COLUMNS[c], n).T
-        out[c] = wide.view("<u8").ravel()
+        out[c] = wide.view("<i8" if c == "doc" else "<u8").ravel()  # documents are in the order of signed numbers
         at += n * COLUMNS[c]
     return out
 
@@ -230,7 +230,7 @@ def _neighbours(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """(doc, mark) of the repeats in one bucket: the mark's anchor is -1 where all strings of the anchor
     repeat, and its place where only a comparison of the bytes can tell."""
     order, (_, grams, alls, _) = multikey_sort([rows[c] for c in ("lead", "next", "all", "doc")])
-    doc = rows["doc"][order].view(np.int64)
+    doc = rows["doc"][order]
     index = np.arange(len(order))
     first = doc[np.maximum.accumulate(np.where(alls, index, 0))]
     repeated = doc > first
@@ -423,8 +423,9 @@ def repeated_spans(
     also starts in a document with a smaller id; kept_sha256 is the digest of the other bytes. Strings
     don't cross documents and are looked for in the input. A null text is empty. Repeated rows are one
     document and get the same spans. Rows that share an id but not the text, or have no id, are
-    documents of their own, ordered by id, nulls last, then by the hash of the text. length is at
-    least 2 * GRAM and at most 200.
+    documents of their own, ordered by id, nulls last, then by the hash of the text. Ids may be negative.
+    Only the two columns are looked at; no rows give no rows; texts of any length are read whole, in
+    pieces. length is at least 2 * GRAM and at most 200.
     """
     if not 2 * GRAM <= length <= 200:
         raise ValueError("length is to be between 32 and 200")

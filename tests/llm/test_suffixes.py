@@ -128,3 +128,22 @@ def test_other_ids_and_empty_table(spark, no_docs, rows):
     assert S.repeated_spans(no_docs).count() == 0
     with pytest.raises(ValueError):
         S.repeated_spans(no_docs, length=10)
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_negative_ids_come_first(spark, rows, parts):
+    """Ids on both sides of zero, the smallest one included, whatever the tasks that read them."""
+    some = [(i, t) for i, t in rows if len(t or "") < 20_000]
+    signed = [(-(1 << 63) if k == 0 else (-1) ** k * i, t) for k, (i, t) in enumerate(some)]
+    signed += [(-5000, "the same long text of two documents, again " * 9), (3000, "the same long text of two documents, again " * 9)]
+    signed.sort()
+    df = spark.createDataFrame(signed, "doc_id long, text string").repartition(parts)
+    assert result(S.repeated_spans(df)) == sorted((i, *x) for (i, _), x in zip(signed, by_hand(signed)))
+
+
+def test_long_periodic_documents(spark):
+    """Texts of one repeated unit: every place is an anchor, and all of the later document goes."""
+    base = [(-2, "ab" * 40_000), (4, "b" + "ab" * 30_000), (9, "-" * 50_000), (7, "-" * 60_000), (8, "x" + "-" * 49)]
+    base.sort()
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in S.repeated_spans(spark.createDataFrame(base, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {-2: [], 4: [(0, 60_001)], 7: [], 8: [], 9: [(0, 50_000)]}
