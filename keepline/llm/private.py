@@ -169,7 +169,8 @@ def disclosing(docs: DataFrame, rows: DataFrame, text_col: str, support: float,
     size = wanted.agg(F.sum(F.length("term") + 32).alias("n")).first()["n"] or 0
     repeated = copies.where("copies > 1")
     weights = F.broadcast(repeated) if 16 * repeated.count() <= most_bytes else repeated
-    words = F.array_distinct(F.split(ascii_lower(F.col("text")), r"[^\p{L}]+", -1))
+    # The same words as TERM's: letters, and the numbers that are no decimal digits (as in km²).
+    words = F.array_distinct(F.split(ascii_lower(F.col("text")), r"[^\p{L}\p{Nl}\p{No}]+", -1))
     each = docs.select(docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("version")).join(weights, "version", "left")
     each = each.select(F.explode(words).alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("part"))
     if size <= most_bytes:
@@ -181,7 +182,7 @@ def disclosing(docs: DataFrame, rows: DataFrame, text_col: str, support: float,
     whole = -F.log2(base)
     smooth = (F.col("both") + support * base) / (held + support)
     return (
-        joint.join(counted, "term", "left")
+        joint.join(counted, "term")
         .select(
             "entity",
             "term",

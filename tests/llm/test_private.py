@@ -140,3 +140,13 @@ def test_words_far_from_the_value_count_and_go(spark):
     got = marked_words(df)
     assert got[600] == got[601] == ["Quentinius", "Quentinius"]
     assert not any(words for i, words in got.items() if i not in (600, 601))
+
+
+def test_words_with_other_numbers_are_counted_alike(spark):
+    """km² in all texts discloses nothing; a word with a Roman numeral that one text has does."""
+    rows = [(i, f"An area of 3 km² and ⅷ more, text {chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(400)]
+    rows.append((400, "An area of 3 km² and ⅷ more, write to some.one@example.com on levelⅣx of km²km"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in P.find_private(docs).collect()}
+    text = rows[-1][1]
+    assert {text[t["start"] : t["end"]] for t in got[400]["terms"]} == {"write", "levelⅣx", "km²km"}
