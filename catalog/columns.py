@@ -8,8 +8,8 @@ from catalog.base import (
     DIGITS, KEY, LABEL, WEIGHTS, decisions, explained, features, prepared, scored, snapshots,
 )
 from catalog.registry import query
-from catalog.sql import case, fixed, number, sql, strip
-from catalog.tables import COMPARED, both_metrics, records
+from catalog.sql import FITTED, LEVELS, RAW_WIDE, SCALED_WIDE, WIDE, case, fixed, number, sql, strip
+from catalog.tables import COMPARED, both_metrics, records, whole_features
 from keepline.functions.text import lookup
 from keepline.operators.clean import (
     binary_target, coerce_numeric, drop_columns, drop_exact_duplicates, duplicate_counts,
@@ -221,19 +221,11 @@ def _(spark, sf):
     return map_binary(snapshots(spark, sf).select(KEY, *TELCO.binary), list(TELCO.binary))
 
 
-_LEVELS = {
-    "gender": ["Female", "Male"],
-    "InternetService": ["DSL", "Fiber optic", "No"],
-    "Contract": ["Month-to-month", "One year", "Two year"],
-    "PaymentMethod": ["Bank transfer", "Credit card", "Electronic check", "Mailed check"],
-}
-
-
 @query(
     "c08_one_hot",
     sql(
         "SELECT customerID, "
-        + ", ".join(f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS \"{c}_{v}\"" for c, vs in _LEVELS.items() for v in vs)
+        + ", ".join(f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS \"{c}_{v}\"" for c, vs in LEVELS.items() for v in vs)
         + " FROM panel"
     ),
 )
@@ -251,23 +243,12 @@ def _(spark, sf):
     return bools_to_int(flags)
 
 
-_NUMERIC = ["tenure", "MonthlyCharges", "TotalCharges", "is_monthly", "lifetime_value"]
-
-
-@query(
-    "c10_standardize",
-    sql(
-        ", p AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _NUMERIC)
-        + " FROM parted WHERE split = 'train') SELECT customerID, split, "
-        + ", ".join(f"round(({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END, {DIGITS}) AS {c}" for c in _NUMERIC)
-        + " FROM parted, p"
-    ),
-)
+@query("c10_standardize", sql(FITTED + f"SELECT customerID, split, {SCALED_WIDE} FROM wide, fitted"))
 def _(spark, sf):
-    rows = stratified_split(features(spark, sf), KEY, LABEL)
-    params = fit_scaler(rows.where("split = 'train'"), _NUMERIC)
-    scaled = apply_scaler(rows.select(KEY, "split", *_NUMERIC), params)
-    return scaled.select(KEY, "split", *[F.round(c, DIGITS).alias(c) for c in _NUMERIC])
+    """All features, unscaled columns in and scaled ones out."""
+    rows = prepared(spark, sf).features.select(KEY, "split", *[F.col(f"`{n}`") for n in WIDE])
+    scaled = apply_scaler(rows, fit_scaler(rows.where("split = 'train'"), WIDE), "_scaled")
+    return scaled.select(KEY, "split", *[F.round(F.col(f"`{n}_scaled`"), DIGITS).alias(f"{n}_scaled") for n in WIDE])
 
 
 @query("c11_stratified_split", sql("SELECT customerID, Churn_Binary, split FROM parted"))
@@ -318,27 +299,9 @@ def _(spark, sf):
     return spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "ordinal int, feature string")
 
 
-_C15 = ["tenure", "TotalCharges", "charge_per_service"]
-
-
-@query(
-    "c15_preprocess",
-    sql(
-        f""", med AS (SELECT median(x) AS m FROM (SELECT {number('p.TotalCharges')} AS x FROM panel p JOIN parted USING (customerID) WHERE split = 'train')),
-        f AS (SELECT d.* REPLACE (coalesce({number('p.TotalCharges')}, m) AS TotalCharges) FROM parted d JOIN panel p USING (customerID), med),
-        s AS (SELECT """ + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _C15) + """ FROM f WHERE split = 'train')
-        SELECT customerID, Churn_Binary, split, SeniorCitizen, is_echeck, CASE WHEN StreamingTV = 'Yes' THEN 1 ELSE 0 END AS StreamingTV,
-          CASE WHEN gender = 'Male' THEN 1 ELSE 0 END AS gender_Male, CASE WHEN InternetService = 'No' THEN 1 ELSE 0 END AS InternetService_No,
-          round(TotalCharges, 6) AS TotalCharges, """
-        + ", ".join(f"round(({c} - m_{c}) / s_{c}, {DIGITS}) AS {c}_scaled" for c in _C15) + " FROM f, s"
-    ),
-)
+@query("c15_preprocess", sql(FITTED + f"SELECT customerID, Churn_Binary, split, {RAW_WIDE}, {SCALED_WIDE} FROM wide, fitted"))
 def _(spark, sf):
-    return prepared(spark, sf).features.select(
-        KEY, LABEL, "split", "SeniorCitizen", "is_echeck", "StreamingTV", "gender_Male", "InternetService_No",
-        F.round("TotalCharges", 6).alias("TotalCharges"),
-        *[F.round(f"{c}_scaled", DIGITS).alias(f"{c}_scaled") for c in _C15],
-    )
+    return whole_features(prepared(spark, sf).features)
 
 
 # ---- joins --------------------------------------------------------------------------------

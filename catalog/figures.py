@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import (
-    DIGITS, KEY, LABEL, WEIGHTS, coefficients, explained, features, outcomes, scored, snapshots,
+    DIGITS, KEY, LABEL, WEIGHTS, coefficients, explained, features, outcomes, prepared, scored, snapshots,
 )
 from catalog.columns import RISK, risk
 from catalog.registry import query
-from catalog.sql import sql
+from catalog.sql import FITTED, WIDE, sql
 from catalog.tables import COMPARED, both_metrics, records
 from keepline.operators.eda import (
     correlation, histogram, mean_by_class, overview, point_cloud, point_density, rate_by, top_level,
@@ -127,6 +127,22 @@ def _(spark, sf):
     return rounded(correlation(features(spark, sf), _CORR), "corr", digits=8)
 
 
+_ALL = [*WIDE, LABEL]
+
+
+@query(
+    "e07_wide_correlation",
+    sql(
+        FITTED + "SELECT u.a AS row_name, u.b AS col_name, round(u.c, 8) AS corr FROM (SELECT unnest(["
+        + ", ".join(f"{{'a': '{a}', 'b': '{b}', 'c': corr(\"{a}\", \"{b}\")}}" for i, a in enumerate(_ALL) for b in _ALL[:i])
+        + "]) AS u FROM wide)"
+    ),
+)
+def _(spark, sf):
+    """All features and the label, every pair."""
+    return rounded(correlation(prepared(spark, sf).features, _ALL), "corr", digits=8)
+
+
 @query("e08_point_cloud", sql("SELECT Churn, tenure, MonthlyCharges FROM panel"))
 def _(spark, sf):
     return point_cloud(snapshots(spark, sf), "tenure", "MonthlyCharges", "Churn")

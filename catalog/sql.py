@@ -450,3 +450,32 @@ def message_prompt() -> str:
         f"CASE WHEN risk_type = 'support_issue' THEN {rendered(SUPPORT_TEMPLATE, values)} "
         f"ELSE {rendered(REENGAGE_TEMPLATE, values)} END"
     )
+
+
+# ---- all features, under the names of the feature table --------------------------------------
+
+LEVELS = {
+    "gender": ["Female", "Male"],
+    "InternetService": ["DSL", "Fiber optic", "No"],
+    "Contract": ["Month-to-month", "One year", "Two year"],
+    "PaymentMethod": ["Bank transfer", "Credit card", "Electronic check", "Mailed check"],
+}
+_WIDE = {
+    **{c: c for c in TELCO.numeric},
+    **{c: f"CASE WHEN {c} = 'Yes' THEN 1 ELSE 0 END" for c in TELCO.binary},
+    **{c: c for c in TELCO.engineered},
+    **{f"{c}_{v}": f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END" for c, vs in LEVELS.items() for v in vs},
+}
+WIDE = list(_WIDE)
+#: The feature table before scaling, and the mean and deviation of each feature on the training side.
+FITTED = (
+    f""", med AS (SELECT median(x) AS m FROM (SELECT {number("p.TotalCharges")} AS x FROM panel p JOIN parted USING (customerID) WHERE split = 'train')),
+    filled AS (SELECT d.* REPLACE (coalesce({number("p.TotalCharges")}, m) AS TotalCharges) FROM parted d JOIN panel p USING (customerID), med),
+    wide AS (SELECT customerID, Churn_Binary, split, """
+    + ", ".join(f'CAST({x} AS DOUBLE) AS "{n}"' for n, x in _WIDE.items())
+    + " FROM filled), fitted AS (SELECT "
+    + ", ".join(f'avg("{n}") AS "m_{n}", stddev_pop("{n}") AS "s_{n}"' for n in WIDE)
+    + " FROM wide WHERE split = 'train') "
+)
+RAW_WIDE = ", ".join(f'round("{n}", 6) AS "{n}"' for n in WIDE)
+SCALED_WIDE = ", ".join(f'round(("{n}" - "m_{n}") / CASE WHEN "s_{n}" = 0 THEN 1 ELSE "s_{n}" END, 6) AS "{n}_scaled"' for n in WIDE)

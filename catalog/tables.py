@@ -8,7 +8,7 @@ from catalog.base import (
     KEY, LABEL, decisions, outcomes, prepared, scored, scored_twice, snapshots, texts,
 )
 from catalog.registry import query
-from catalog.sql import RAW, case, exact, fixed, scaled_round, signed, sql
+from catalog.sql import FITTED, RAW, RAW_WIDE, SCALED_WIDE, WIDE, case, exact, fixed, scaled_round, signed, sql
 from keepline.operators.evaluate import evaluate
 from keepline.operators.messages import message_records
 from keepline.operators.profile import class_balance, profile, sample_rows, target_values
@@ -16,7 +16,9 @@ from keepline.plans.marts import ordered, risk_table
 from keepline.plans.reports import METRIC_LABELS, model_report, run_report
 from keepline.session import new_path
 from keepline.sources.artefacts import load_params, save_params
-from keepline.sources.customers import export_csv, read_customers, read_features, verify_source, write_features
+from keepline.sources.customers import (
+    export_csv, read_checked, read_customers, read_features, verify_source, write_features,
+)
 from keepline.sources.log import append_log, read_log, replace_run
 
 _RAW = ", ".join(RAW)
@@ -70,36 +72,51 @@ def _(spark, sf):
     return verify_source(spark, path)
 
 
-@query("a06_write_features", sql("SELECT customerID, Churn_Binary, split, tenure, MonthlyCharges FROM parted"))
+def whole_features(rows):
+    """Every column of a feature table; numbers as doubles with six decimals."""
+    names = [f"`{c}`" for n in WIDE for c in (n, f"{n}_scaled")]
+    return rows.select(KEY, LABEL, "split", *[F.round(F.col(c).cast("double"), 6).alias(c.strip("`")) for c in names])
+
+
+@query("a06_write_features", sql(FITTED + f"SELECT customerID, Churn_Binary, split, {RAW_WIDE}, {SCALED_WIDE} FROM wide, fitted"))
 def _(spark, sf):
     path = new_path(spark, "feature-store")
     write_features(prepared(spark, sf).features, path)
-    return read_features(spark, path).select(KEY, LABEL, "split", "tenure", "MonthlyCharges")
+    return whole_features(read_features(spark, path))
 
 
 @query(
     "a07_saved_parameters",
     sql(
-        "SELECT u.f AS feature, round(u.m, 8) AS mean, round(u.s, 8) AS scale FROM (SELECT unnest(["
-        "{'f': 'tenure', 'm': avg(tenure), 's': stddev_pop(tenure)},"
-        "{'f': 'MonthlyCharges', 'm': avg(MonthlyCharges), 's': stddev_pop(MonthlyCharges)},"
-        "{'f': 'is_fiber', 'm': avg(is_fiber), 's': stddev_pop(is_fiber)}]) AS u FROM parted WHERE split = 'train')"
+        FITTED + "SELECT u.f AS feature, round(u.m, 6) AS mean, round(u.s, 6) AS scale FROM (SELECT unnest(["
+        + ", ".join(f"{{'f': '{n}', 'm': \"m_{n}\", 's': CASE WHEN \"s_{n}\" = 0 THEN 1.0::DOUBLE ELSE \"s_{n}\" END}}" for n in WIDE)
+        + "]) AS u FROM fitted)"
     ),
 )
 def _(spark, sf):
     path = new_path(spark, "scaler")
     save_params(prepared(spark, sf).scaler, path)
-    kept = F.col("feature").isin("tenure", "MonthlyCharges", "is_fiber")
-    return load_params(spark, path).where(kept).select(
-        "feature", F.round("mean", 8).alias("mean"), F.round("scale", 8).alias("scale")
-    )
+    return load_params(spark, path).select("feature", F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale"))
 
 
-@query("a08_read_test_side", sql("SELECT customerID, Churn_Binary, tenure_bucket FROM parted WHERE split = 'test'"))
+@query("a08_read_test_side", sql(FITTED + f"SELECT customerID, Churn_Binary, {RAW_WIDE}, {SCALED_WIDE} FROM wide, fitted WHERE split = 'test'"))
 def _(spark, sf):
     path = new_path(spark, "feature-store")
     write_features(prepared(spark, sf).features, path)
-    return read_features(spark, path, "test").select(KEY, LABEL, "tenure_bucket")
+    return whole_features(read_features(spark, path, "test")).drop("split")
+
+
+@query("a01_quarantine", sql("SELECT count(*) AS n_rows, count(*) FILTER (tenure % 7 = 3) AS n_damaged, sum(CASE WHEN tenure % 7 = 3 THEN 0 ELSE tenure END)::BIGINT AS tenure FROM panel"))
+def _(spark, sf):
+    """A file in which every tenure of 3, 10, 17, .. is unreadable: those rows are set apart, the others stay."""
+    path = new_path(spark, "damaged-csv")
+    rows = snapshots(spark, sf).select(*RAW)
+    broken = F.when(F.col("tenure") % 7 == 3, F.concat(F.col("tenure").cast("string"), F.lit(" months"))).otherwise(F.col("tenure").cast("string"))
+    export_csv(rows.withColumn("tenure", broken), path)
+    good, damaged = read_checked(spark, path)
+    total = good.agg(F.count(F.lit(1)).alias("n"), F.sum("tenure").alias("tenure"))
+    n = damaged.agg(F.count(F.lit(1)))
+    return total.select((F.col("n") + n.scalar()).alias("n_rows"), n.scalar().alias("n_damaged"), "tenure")
 
 
 def records(spark, sf):

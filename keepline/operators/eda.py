@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,16 +89,40 @@ def histogram(
 
 
 def correlation(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation of each pair below the diagonal, one pass."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[:i]]
-    wide = df.agg(
-        *[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
+    """Pearson correlation of each pair below the diagonal, over the rows that have both values.
+
+    A block of rows gives one matrix product for all pairs, and blocks add up; values are taken from the
+    column's mean, so a large mean costs no digits. Null where a column does not vary over the pair's rows;
+    NaN counts as missing.
+    """
+    wide = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(f"x{i}") for i, c in enumerate(cols)])
+    center = np.array([m or 0.0 for m in wide.agg(*[F.avg(c) for c in wide.columns]).first()])
+    k = len(cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, k, k))  # of pairs: rows, value of the first, its square, product
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) - center
+            there = ~np.isnan(x)
+            x, there = np.where(there, x, 0.0), there.astype(float)
+            sums += [there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x]
+        a, b = np.tril_indices(k, -1)
+        names = ["i", "j", "n", "sx", "sy", "xx", "yy", "xy"]
+        n, s, q, c = sums
+        columns = [a, b, n[a, b], s[a, b], s[b, a], q[a, b], q[b, a], c[a, b]]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names)
+
+    parts = wide.mapInArrow(run, "i long, j long, n double, sx double, sy double, xx double, yy double, xy double")
+    t = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "xx", "yy", "xy")])
+    spread = [F.col(q) - F.col(s) * F.col(s) / F.col("n") for q, s in (("xx", "sx"), ("yy", "sy"))]
+    varies = (F.col("n") > 0) & (spread[0] > 1e-12 * F.col("xx")) & (spread[1] > 1e-12 * F.col("yy"))
+    both = F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")
+    names = F.array(*[F.lit(c) for c in cols])
+    return t.select(
+        F.get(names, F.col("i")).alias("row_name"),
+        F.get(names, F.col("j")).alias("col_name"),
+        F.when(varies, both / F.sqrt(spread[0]) / F.sqrt(spread[1])).alias("corr"),
     )
-    rows = [
-        F.struct(F.lit(a).alias("row_name"), F.lit(b).alias("col_name"), F.col(f"c{i}").alias("corr"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return wide.select(F.inline(F.array(*rows)))
 
 
 def point_cloud(df: DataFrame, x: str, y: str, by: str) -> DataFrame:

@@ -36,8 +36,8 @@ from keepline.plans.reports import RunReport, markdown, model_report, run_report
 from keepline.roles import TELCO, DecisionConfig, Roles
 from keepline.session import as_table
 from keepline.sources.artefacts import load_params, save_model, save_params
-from keepline.sources.customers import export_csv, read_customers, read_features, write_features
-from keepline.sources.log import replace_run
+from keepline.sources.customers import CSV_OPTIONS, read_checked, read_customers, read_features, write_features
+from keepline.sources.log import replace_partition, replace_run
 
 BASELINE, BOOSTED = "Logistic Regression", "Boosted Trees"
 
@@ -71,8 +71,10 @@ def explore(spark: SparkSession, path: str, workspace: str, roles: Roles = TELCO
 
 
 def prepare(spark: SparkSession, path: str, workspace: str, roles: Roles = TELCO, fit_on: str = "train") -> Prepared:
-    """Raw file to stored features and fitted parameters."""
-    ready = preprocess(read_customers(spark, path), roles, fit_on)
+    """Raw file to stored features and fitted parameters; damaged lines are kept under ``quarantine``."""
+    good, damaged = read_checked(spark, path)
+    _store(damaged, f"{workspace}/quarantine")
+    ready = preprocess(good, roles, fit_on)
     write_features(ready.features, f"{workspace}/features")
     save_params(ready.medians, f"{workspace}/params/medians")
     save_params(ready.scaler, f"{workspace}/params/scaler")
@@ -203,16 +205,15 @@ def run_decisions(
     _store(message_prompts(explained, roles.key, texts), f"{workspace}/prompts/{run_id}/messages")
     decided = with_texts(explained, roles.key, texts)
     replace_run(message_records(decided, roles.key), f"{workspace}/log", run_id)
-    outcomes = _store(
-        sent_outcomes(decided, roles.key).unionByName(
-            idle_outcomes(scored, roles.key, cfg=cfg), allowMissingColumns=True
-        ),
-        f"{workspace}/outcomes/{run_id}",
-    )
-    export_csv(risk_table(scored, roles.key, roles.label, cfg=cfg), f"{workspace}/risk/{run_id}")
-    _store(score_summary(scored, cfg=cfg), f"{workspace}/summaries/{run_id}")
+    sent = sent_outcomes(decided, roles.key)
+    idle = idle_outcomes(scored, roles.key, cfg=cfg)
+    replace_partition(sent.unionByName(idle, allowMissingColumns=True), f"{workspace}/outcomes", run_id, "parquet")
+    outcomes = spark.read.parquet(f"{workspace}/outcomes/run_id={run_id}")
+    risk = risk_table(scored, roles.key, roles.label, cfg=cfg)
+    replace_partition(risk, f"{workspace}/risk", run_id, "csv", **CSV_OPTIONS)
+    replace_partition(score_summary(scored, cfg=cfg), f"{workspace}/summaries", run_id, "parquet")
     report = run_report(outcomes, scored)
-    places = {"Outcomes": f"outcomes/{run_id}", "Risk table": f"risk/{run_id}", "Message log": f"log/run_id={run_id}"}
+    places = {"Outcomes": f"outcomes/run_id={run_id}", "Risk table": f"risk/run_id={run_id}", "Message log": f"log/run_id={run_id}"}
     page = "\n".join(
         [
             f"# Run {run_id}",

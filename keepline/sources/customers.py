@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keepline.session import as_table
+
 # The columns of a raw customer table, in file order.
 RAW_COLUMNS = {
     "customerID": "string", "gender": "string", "SeniorCitizen": "int", "Partner": "string",
@@ -41,21 +43,33 @@ def read_customers(
     return _open(reader.option("header", True) if format == "csv" else reader, path)
 
 
+DAMAGED = "_damaged"
+
+
+def read_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The readable rows of a customer CSV file, and the lines (line) that don't fit the schema.
+
+    A line is damaged if a number can't be read or if it has too few or too many cells; `read_customers`
+    makes nulls of such cells instead. The file is read once, whole, and stored: of columns that a plan
+    leaves out, Spark would not see the damage.
+    """
+    reader = spark.read.schema(f"{RAW_SCHEMA}, {DAMAGED} string").format("csv").option("header", True)
+    rows = as_table(_open(reader.option("columnNameOfCorruptRecord", DAMAGED), path), "checked")
+    return rows.where(F.col(DAMAGED).isNull()).drop(DAMAGED), rows.where(F.col(DAMAGED).isNotNull()).select(F.col(DAMAGED).alias("line"))
+
+
 def verify_source(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
     """Shape of a customer file, or a clear error when it is not there."""
     table = read_customers(spark, path, format)
     return table.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(table.columns)))
 
 
+CSV_OPTIONS = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """Header CSV, blanks kept as they are, one file per partition."""
-    (
-        df.write.mode("overwrite")
-        .option("header", True)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def write_features(df: DataFrame, path: str) -> None:

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keepline.session import as_table
+
 LOG_SCHEMA = (
     "user_id string, timestamp string, churn_prob double, risk_type string, discount_pct int, "
     "eligible boolean, subject string, body string, top_reasons array<string>, strategy string, "
@@ -24,9 +26,25 @@ def append_log(records: DataFrame, path: str, run_id: str) -> None:
 def replace_run(records: DataFrame, path: str, run_id: str) -> None:
     """Write a run afresh: its earlier records go, other runs stay.
 
-    The safe choice when a job may be started twice.
+    The safe choice when a job may be started twice, or may fail: see `replace_partition`.
+    """
+    replace_partition(records, path, run_id, "json")
+
+
+def replace_partition(rows: DataFrame, path: str, run_id: str, format: str, **options) -> None:
+    """Replace one run's folder of a table that has a folder per run.
+
+    The rows are worked out and stored elsewhere first, and then written by Spark's dynamic partition
+    overwrite, which moves them in when all are written: a job that fails on the way leaves the earlier
+    run readable. No rows clear the run.
     """
-    records.write.mode("overwrite").json(_run_folder(path, run_id))
+    folder = _run_folder(path, run_id)
+    staged = as_table(rows, "staged")
+    if staged.isEmpty():
+        staged.write.mode("overwrite").format(format).options(**options).save(folder)
+        return
+    writer = staged.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").format(format).options(**options)
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("run_id").save(path)
 
 
 def _run_folder(path: str, run_id: str) -> str:

@@ -42,7 +42,7 @@ def test_steps(spark, workspace):
     assert done["rows"].count() == 600 and done["importance"].count() == 15
 
     report, page = runs.run_decisions(spark, workspace, "r1")
-    outcomes = spark.read.parquet(f"{workspace}/outcomes/r1")
+    outcomes = spark.read.parquet(f"{workspace}/outcomes/run_id=r1")
     assert outcomes.count() == 600
     flagged = outcomes.where("action = 'pending'")
     n_flagged = flagged.count()
@@ -70,7 +70,7 @@ def test_steps(spark, workspace):
     assert spark.read.parquet(f"{workspace}/prompts/r1/messages").count() == 0
 
     runs.run_decisions(spark, workspace, "trial", limit=10)
-    assert spark.read.parquet(f"{workspace}/outcomes/trial").count() == 10
+    assert spark.read.parquet(f"{workspace}/outcomes/run_id=trial").count() == 10
 
 
 def test_command_line(spark, workspace, capsys, monkeypatch):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pytest
 from conftest import SMALL
 from planted import planted
@@ -24,7 +25,7 @@ from keepline.plans.marts import filter_log, ordered, risk_type_breakdown, run_s
 from keepline.plans.reports import markdown, run_report
 from keepline.session import as_table, pin, shared_dir
 from keepline.sources.customers import (
-    MissingSource, RAW_COLUMNS, export_csv, read_customers, read_features, write_features,
+    MissingSource, RAW_COLUMNS, export_csv, read_checked, read_customers, read_features, write_features,
 )
 from keepline.sources.log import append_log, read_log, replace_run
 from keepline.streaming.decisions import decide_arrivals, start_decisions
@@ -226,3 +227,51 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = decide_arrivals(snapshots, coefs, means)
     columns = ["customerID", "risk_type", "eligible", "discount_pct", "strategy", "ltv"]
     assert sorted(got.select(*columns).collect()) == sorted(batch.select(*columns).collect())
+
+
+def test_a_failed_job_leaves_the_earlier_run(spark, tmp_path):
+    path = str(tmp_path / "log")
+    one = spark.createDataFrame([entry("u1"), entry("u2")], LOG_ROWS)
+    replace_run(one, path, "r1")
+    replace_run(one.where("user_id = 'u1'"), path, "r2")
+    broken = one.withColumn("body", F.when(F.col("user_id") == "u2", F.raise_error(F.lit("lost"))).otherwise("new"))
+    with pytest.raises(Exception, match="lost"):
+        replace_run(broken, path, "r1")
+    assert sorted((r["run_id"], r["user_id"]) for r in read_log(spark, path).collect()) == [("r1", "u1"), ("r1", "u2"), ("r2", "u1")]
+    # a run may be replaced by what it is itself read for
+    replace_run(read_log(spark, path).where("run_id = 'r1' and user_id = 'u2'").drop("run_id"), path, "r1")
+    assert sorted((r["run_id"], r["user_id"]) for r in read_log(spark, path).collect()) == [("r1", "u2"), ("r2", "u1")]
+
+
+def test_damaged_lines_are_set_apart(spark, tmp_path):
+    header = ",".join(RAW_COLUMNS)
+    good = "A1,Male,0,Yes,No,5,Yes,No,DSL,No,No,No,No,No,No,One year,Yes,Mailed check,20.5, ,No"
+    bad = [good.replace("A1", "B1").replace(",5,", ",five,"), good.replace("A1", "B2").replace("20.5", "twenty"), "B3,Male,0"]
+    (tmp_path / "c.csv").write_text("\n".join([header, good, *bad, good.replace("A1", "A2")]) + "\n")
+    rows, damaged = read_checked(spark, str(tmp_path / "c.csv"))
+    assert sorted(r["customerID"] for r in rows.collect()) == ["A1", "A2"] and list(rows.columns) == list(RAW_COLUMNS)
+    assert sorted(r["line"] for r in damaged.collect()) == sorted(bad)
+    with pytest.raises(MissingSource):
+        read_checked(spark, str(tmp_path / "none.csv"))
+
+
+def test_correlation_of_many_columns(spark):
+    """Against numpy, with a large mean, nulls in some rows, a constant and a null column."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 6))
+    x[:, 1] = x[:, 0] * 0.5 + x[:, 1]
+    x[:, 2] = x[:, 2] * 1e-3 + 1e9
+    x[:, 4] = 7.0
+    missing = rng.random(500) < 0.3
+    rows = [[None if (j == 3 and missing[i]) or j == 5 else float(v) for j, v in enumerate(r)] for i, r in enumerate(x)]
+    names = [f"c {j}" for j in range(6)]
+    got = correlation(spark.createDataFrame(rows, ", ".join(f"`{n}` double" for n in names)).repartition(7), names).collect()
+    assert len(got) == 15
+    for r in got:
+        i, j = names.index(r["row_name"]), names.index(r["col_name"])
+        assert j < i
+        if i >= 4 or j >= 4:
+            assert r["corr"] is None
+            continue
+        use = ~missing if 3 in (i, j) else np.ones(500, dtype=bool)
+        assert r["corr"] == pytest.approx(np.corrcoef(x[use, i], x[use, j])[0, 1], abs=1e-7)
