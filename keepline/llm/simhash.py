@@ -27,6 +27,8 @@ SHINGLE = 4
 MAX_DISTANCE = 4
 LARGE = 256
 CHUNK = 1 << 18
+QUERIES = 256
+MOST_LINKS = 1 << 22
 
 
 def shingle_hashes(text: str | bytes | None, width: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -119,8 +121,57 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
+def mask_of(group: list[int]) -> int:
+    return sum(1 << b for b in group)
+
+
+def query_values(fps: DataFrame, n: int, most: int = QUERIES) -> np.ndarray:
+    """At most `most` of n distinct fingerprints, the first in the order of a hash; the driver gets about
+    twice as many, however many tasks there are."""
+    order = F.xxhash64(F.lit(SEED), "fp")
+    share = 2 * most / max(n, 1)
+    while True:
+        below = fps.select("fp", order.alias("o"))
+        if share < 1:
+            below = below.where(F.col("o") < F.lit(int(share * 2**64) - 2**63))
+        rows = below.orderBy("o", "fp").limit(most).collect()
+        if share >= 1 or len(rows) >= most:
+            return np.array([r["fp"] for r in rows], dtype=np.int64).view(np.uint64)
+        share *= 2
+
+
+def measured_shares(
+    fps: DataFrame, n: int, queries: np.ndarray, groups: list[list[int]], distance: int
+) -> dict[int, list[float]]:
+    """By mask of a group: share of all fingerprints within 0, 1, .. distance bits of another one in it.
+
+    Counted between the query values and every fingerprint, so bits that go together are taken as they are.
+    """
+    masks = sorted({mask_of(g) for g in groups})
+    width = distance + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = np.zeros((len(masks), width), dtype=np.int64)
+        for batch in batches:
+            every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for i in range(0, len(every), 4096):
+                apart = every[i : i + 4096, None] ^ queries[None, :]
+                other = apart != 0
+                for m, mask in enumerate(masks):
+                    bits = np.bitwise_count(apart & np.uint64(mask))
+                    near[m] += [np.count_nonzero((bits <= r) & other) for r in range(width)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(near.size, dtype=np.int32)), pa.array(near.ravel())], ["cell", "n"])
+
+    rows = fps.select("fp").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    total = np.zeros(len(masks) * width)
+    for r in rows:
+        total[r["cell"]] = r["n"]
+    pairs = max(len(queries) * (n - 1), 1)
+    return {m: list(x) for m, x in zip(masks, total.reshape(-1, width) / pairs)}
+
+
 def candidate_shares(n: int, both: np.ndarray, group: list[int], most: int) -> list[float]:
-    """Estimated share of all fingerprints within 0, 1, .. most bits of a fingerprint in this group."""
+    """The same share as it were if the bits of a group were independent; used where none is measured."""
     p = np.diag(both)[group] / max(n, 1)
     exactly = np.zeros(len(group) + 1)
     exactly[0] = 1
@@ -130,12 +181,14 @@ def candidate_shares(n: int, both: np.ndarray, group: list[int], most: int) -> l
     return [float(x) for x in np.cumsum(exactly)[: most + 1]]
 
 
-def allocate(n: int, both: np.ndarray, groups: list[list[int]], distance: int) -> tuple[float, list[int]]:
+def allocate(
+    n: int, both: np.ndarray, groups: list[list[int]], distance: int, measured: dict[int, list[float]] | None = None
+) -> tuple[float, list[int]]:
     """Thresholds that sum to distance - parts + 1 and cost least; -1 leaves a group unprobed."""
     target = distance - len(groups) + 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for group in groups:
-        shares = candidate_shares(n, both, group, distance)
+        shares = measured[mask_of(group)] if measured else candidate_shares(n, both, group, distance)
         cost = {-1: 0.0}
         for t in range(distance + 1):
             probes = sum(comb(len(group), r) for r in range(min(t, len(group)) + 1))
@@ -149,19 +202,25 @@ def allocate(n: int, both: np.ndarray, groups: list[list[int]], distance: int) -
     return best[target]
 
 
-def plan(n: int, both: np.ndarray, distance: int) -> list[tuple[int, int, list[int]]]:
+def groupings(n: int, both: np.ndarray, distance: int) -> list[list[list[int]]]:
+    """The ways to cut the bits that are tried: into 1 to distance + 1 groups."""
+    return [group_bits(n, both, parts) for parts in range(1, distance + 2)]
+
+
+def plan(
+    n: int, both: np.ndarray, distance: int, measured: dict[int, list[float]] | None = None
+) -> list[tuple[int, int, list[int]]]:
     """(bits as a mask, threshold, flips to probe) of each probed partition, for the cheapest grouping."""
     choices = []
-    for parts in range(1, distance + 2):
-        groups = group_bits(n, both, parts)
-        cost, thresholds = allocate(n, both, groups, distance)
+    for parts, groups in enumerate(groupings(n, both, distance), start=1):
+        cost, thresholds = allocate(n, both, groups, distance, measured)
         choices.append((cost, parts, groups, thresholds))
     _, _, groups, thresholds = min(choices, key=lambda c: c[:2])
     made = []
     for group, t in zip(groups, thresholds):
         if t >= 0:
             flips = [sum(1 << b for b in some) for r in range(t + 1) for some in combinations(group, r)]
-            made.append((sum(1 << b for b in group), t, flips))
+            made.append((mask_of(group), t, flips))
     return made
 
 
@@ -172,23 +231,83 @@ def _close(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= distance
 
 
+class _Edges:
+    """Links found so far; many of them are replaced by the stars of their components."""
+
+    def __init__(self) -> None:
+        self.froms, self.tos, self.n = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint64)], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.froms.append(a)
+        self.tos.append(b)
+        self.n += len(a)
+        if self.n > MOST_LINKS:
+            a, b = local_roots(*self.all())
+            self.froms, self.tos, self.n = [a], [b], 0
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(self.froms), np.concatenate(self.tos)
+
+
+def _walk(values: np.ndarray, distance: int, edges: _Edges, whole: bool) -> np.ndarray:
+    """Breadth first over distinct values, each compared only with those that no component has taken yet.
+
+    Unless `whole`, it stops when 64 comparisons in a row took less than a quarter of what was left, and
+    returns the values whose links are not all found.
+    """
+    left, wave, steps, before = values, values[:0], 0, len(values)
+    while len(left):
+        if not len(wave):
+            wave, left = left[:1], left[1:]
+        pivot, wave = wave[0], wave[1:]
+        near = _close(left, pivot, distance)
+        found, left = left[near], left[~near]
+        edges.add(np.full(len(found), pivot, dtype=np.uint64), found)
+        wave = np.concatenate([wave, found])
+        steps += 1
+        if steps % 64 == 0 and len(left) > LARGE and not whole:
+            if 4 * len(left) > 3 * before:
+                return np.concatenate([wave, left])
+            before = len(left)
+    return left
+
+
+def _split(values: np.ndarray, distance: int, edges: _Edges) -> Iterator[np.ndarray]:
+    """Pigeonhole on the bits that vary: values within `distance` bits agree in one of distance + 1 groups
+    of them. Small runs of equal groups are compared here, large ones come back."""
+    bits = np.unpackbits(values.view(np.uint8), bitorder="little").reshape(-1, BITS)
+    ones = bits.sum(axis=0, dtype=np.int64)
+    uneven = np.abs(2 * ones - len(values))
+    vary = [int(b) for b in np.argsort(uneven, kind="stable") if 0 < ones[b] < len(values)]
+    for k in range(distance + 1):
+        key = values & np.uint64(mask_of(vary[k :: distance + 1]))
+        order = np.argsort(key, kind="stable")
+        key, held = key[order], values[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[first, len(key)])
+        ends = np.repeat(np.where(sizes <= LARGE, first + sizes, 0), sizes)
+        live, j = np.arange(len(held)), 1
+        while len(live := live[live + j < ends[live]]):
+            hit = live[_close(held[live], held[live + j], distance)]
+            edges.add(held[hit], held[hit + j])
+            j += 1
+        for g in np.flatnonzero(sizes > LARGE):
+            yield held[first[g] : first[g] + sizes[g]]
+
+
 def _spread(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that hold one large bucket's components together, without listing its pairs.
 
-    Each fingerprint is compared only with those that no component has taken yet.
+    Close values are walked; what hardly links is split by its other bits, and so are the parts. A part
+    that a split leaves with over an eighth of the values is walked to its end instead.
     """
-    left, froms, tos = np.unique(fps), [], []
-    while len(left):
-        wave, left = left[:1], left[1:]
-        while len(wave) and len(left):
-            pivot, wave = wave[0], wave[1:]
-            near = _close(left, pivot, distance)
-            found, left = left[near], left[~near]
-            froms.append(np.full(len(found), pivot, dtype=np.uint64))
-            tos.append(found)
-            wave = np.concatenate([wave, found])
-    none = np.zeros(0, dtype=np.uint64)
-    return np.concatenate([none, *froms]), np.concatenate([none, *tos])
+    edges, todo = _Edges(), [(np.unique(fps), False)]
+    while todo:
+        values, whole = todo.pop()
+        rest = _walk(values, distance, edges, whole or len(values) <= LARGE)
+        if len(rest):
+            todo += [(part, 8 * len(part) > len(rest)) for part in _split(rest, distance, edges)]
+    return edges.all()
 
 
 def _bucket_links(part: np.ndarray, key: np.ndarray, fp: np.ndarray, masks: np.ndarray, distance: int):
@@ -225,7 +344,8 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     stars of what a task has found, so a group of n near copies gives about n edges, not n squared.
     """
     n, both = bit_counts(fps)
-    probes = plan(n, both, distance)
+    groups = [g for some in groupings(n, both, distance) for g in some]
+    probes = plan(n, both, distance, measured_shares(fps, n, query_values(fps, n), groups, distance))
     masks = np.array([m for m, _, _ in probes], dtype=np.uint64)
     flips = [np.array(f, dtype=np.uint64) for _, _, f in probes]
 
@@ -284,7 +404,9 @@ def simhash_groups(
     Fingerprints are linked at `distance` or fewer differing bits; component_id is the smallest id
     reachable by such links. A null text has no words and, like an empty one, fingerprint zero.
     Repeated rows repeat in the result. A null id takes part in links but is never the smallest; a
-    component without any id has component_id null.
+    component without any id has component_id null. Ids may be negative; equal fingerprints are one
+    value, so ties don't arise. A text of any length is hashed in blocks. No rows give no rows. Other
+    columns are not looked at, whatever their names.
     """
     rows = stored(fingerprints(docs, id_col, text_col, shingle))
     ids = stored(rows.groupBy("fp").agg(F.min("doc").alias("first_doc")))

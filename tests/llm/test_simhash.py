@@ -102,6 +102,66 @@ def test_thresholds_meet_the_pigeonhole_sum():
     assert sum(len(f) for _, _, f in few) <= sum(len(f) for _, _, f in many)
 
 
+def pairs_within(values: np.ndarray, mask: int, most: int) -> float:
+    near = sum(int((np.bitwise_count((values ^ v) & np.uint64(mask)) <= most).sum()) - 1 for v in values)
+    return near / (len(values) * (len(values) - 1))
+
+
+def test_measured_shares_follow_correlated_bits(spark):
+    """16 bits that mostly go together: the share of equal keys is measured, not multiplied out."""
+    rng = np.random.default_rng(4)
+    bits = rng.integers(0, 2, (3000, 64))
+    lead = rng.integers(0, 2, 3000)
+    bits[:, :16] = np.where(rng.random((3000, 16)) < 0.1, 1 - lead[:, None], lead[:, None])
+    values = np.unique(np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel())
+    table = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long").repartition(5)
+    n, both = S.bit_counts(table)
+    groups = S.group_bits(n, both, 4)
+    assert list(range(16)) in groups
+    queries = S.query_values(table, n)
+    assert len(queries) == S.QUERIES and set(queries) <= set(values)
+    shares = S.measured_shares(table, n, queries, groups, 4)
+    for group in groups:
+        for most in (0, 2, 4):
+            true = pairs_within(values, S.mask_of(group), most)
+            if true > 1e-4:
+                assert true / 2 < shares[S.mask_of(group)][most] < 2 * true
+    assert S.candidate_shares(n, both, list(range(16)), 4)[0] < shares[S.mask_of(list(range(16)))][0] / 100
+    assert len(S.query_values(table, n, 5000)) == n  # fewer values than asked for: all of them
+
+
+def test_one_bucket_of_unrelated_values_is_split():
+    """Noise, near pairs, chains and one dense cloud under a common key: components as by brute force."""
+    rng = np.random.default_rng(6)
+    noise = rng.integers(0, 1 << 52, 6000).astype(np.uint64)
+    near = noise[:300] ^ (np.uint64(1) << rng.integers(0, 52, 300).astype(np.uint64))
+    chain = [noise[0]]
+    for _ in range(60):
+        chain.append(chain[-1] ^ (np.uint64(15) << np.uint64(rng.integers(0, 48))))
+    cloud = noise[1] ^ rng.integers(0, 1 << 10, 400).astype(np.uint64)
+    values = np.unique(np.concatenate([noise, near, np.array(chain, dtype=np.uint64), cloud]))
+    for distance in (0, 1, 4):
+        a, b = S._spread(values, distance)
+        assert (np.bitwise_count(a ^ b) <= distance).all()
+        every = [(v, w) for i, v in enumerate(values) for w in values[i + 1 :][S._close(values[i + 1 :], v, distance)]]
+        want = np.array(every, dtype=np.uint64).reshape(-1, 2)
+        mine, theirs = (dict(zip(*S.local_roots(x, y))) for x, y in ((a, b), want.T))
+        assert mine == theirs
+
+
+def test_values_in_one_bucket_take_less_than_all_pairs():
+    import time
+
+    def seconds(n: int) -> float:
+        values = np.random.default_rng(7).integers(0, 1 << 51, n).astype(np.uint64)
+        start = time.perf_counter()
+        S._spread(values, 4)
+        return time.perf_counter() - start
+
+    seconds(2_000)
+    assert seconds(160_000) < 8 * max(seconds(40_000), 0.2)  # all pairs: 16 times
+
+
 def test_odd_rows(odd_docs):
     got = S.simhash_groups(odd_docs).collect()
     assert len(got) == 8
@@ -110,5 +170,12 @@ def test_odd_rows(odd_docs):
     assert {(r.doc_id, r.component_id) for r in zero} == {(None, 6), (6, 6)}
 
 
+def test_negative_ids(spark):
+    rows = [(-5, "one two three four five"), (3, "one two three four five"), (-9, "another text of words"), (-2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in S.simhash_groups(docs).collect()}
+    assert got == {-5: -5, 3: -5, -9: -9, -2: -2}
+
+
 def test_empty_table(no_docs):
     assert S.simhash_groups(no_docs).count() == 0
