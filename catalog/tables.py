@@ -9,7 +9,7 @@ from catalog.base import (
 )
 from catalog.registry import query
 from catalog.sql import FITTED, RAW, RAW_WIDE, SCALED_WIDE, WIDE, case, exact, fixed, scaled_round, signed, sql
-from keepline.operators.evaluate import evaluate
+from keepline.operators.evaluate import evaluate_models
 from keepline.operators.messages import message_records
 from keepline.operators.profile import class_balance, profile, sample_rows, target_values
 from keepline.plans.marts import ordered, risk_table
@@ -243,8 +243,7 @@ COMPARED = (
 
 
 def both_metrics(spark, sf):
-    rows = scored_twice(spark, sf)
-    return evaluate(rows, "base", "other_prob", LABEL).unionByName(evaluate(rows, "new", "churn_prob", LABEL))
+    return evaluate_models(scored_twice(spark, sf), {"base": "other_prob", "new": "churn_prob"}, LABEL)
 
 
 @query(

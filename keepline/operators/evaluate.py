@@ -131,20 +131,39 @@ def evaluate(
 
     All five come from the same per-score totals, so the rows are grouped once.
     """
+    sums = _ranked(df, prob, label, buckets).agg(*_area(), *_above(threshold))
+    return _metric_rows(sums, F.lit(model))
+
+
+def evaluate_models(
+    df: DataFrame, probs: dict[str, str], label: str, threshold: float = 0.5, buckets: int | None = None
+) -> DataFrame:
+    """``evaluate`` for several models whose scores stand side by side (name: column), in the same passes.
+
+    The table is read once; each row counts once per model, before anything is shuffled. Without rows
+    there are no metrics.
+    """
+    scores = [F.struct(F.lit(m).alias("model"), (-F.col(p)).alias("neg_score")) for m, p in probs.items()]
+    rows = df.select(F.col(label).cast("long").alias("y"), F.inline(F.array(*scores)))
+    sums = {"pos": F.col("y"), "neg": F.lit(1).cast("long") - F.col("y")}
+    totals = value_totals(rows, "neg_score", sums, buckets, by="model")
+    return _metric_rows(totals.groupBy("model").agg(*_area(), *_above(threshold)), F.col("model"))
+
+
+def _above(threshold: float) -> list[Column]:
     above_cut = F.col("neg_score") <= -threshold
-    sums = _ranked(df, prob, label, buckets).agg(
-        *_area(),
-        F.sum(F.when(above_cut, F.col("pos")).otherwise(0)).alias("tp"),
-        F.sum(F.when(above_cut, F.col("neg")).otherwise(0)).alias("fp"),
-    )
+    return [F.sum(F.when(above_cut, F.col(n)).otherwise(0)).alias(to) for n, to in (("pos", "tp"), ("neg", "fp"))]
+
+
+def _metric_rows(sums: DataFrame, model: Column) -> DataFrame:
     tp, fp = F.col("tp"), F.col("fp")
     values = {**_rates(tp, fp, F.col("p") - tp, F.col("n") - fp), "roc_auc": _auc()}
-    wide = sums.select(*[round_exact(v, METRIC_DIGITS).alias(k) for k, v in values.items()])
+    wide = sums.select(model.alias("model"), *[round_exact(v, METRIC_DIGITS).alias(k) for k, v in values.items()])
     rows = [
         F.struct(F.lit(i + 1).alias("ordinal"), F.lit(m).alias("metric"), F.col(m).alias("value"))
         for i, m in enumerate(METRICS)
     ]
-    return wide.select(F.lit(model).alias("model"), F.inline(F.array(*rows)))
+    return wide.select("model", F.inline(F.array(*rows)))
 
 
 def class_report(df: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:

@@ -22,10 +22,10 @@ _ROWS = "_rows"
 PER_BUCKET = 100_000  # distinct values that one task sorts
 
 
-def _grouped(df: DataFrame, col: str, sums: dict[str, Column], skip_unusable: bool) -> DataFrame:
-    """One stored row per distinct value. Rows without a usable value are skipped or an error."""
+def _grouped(df: DataFrame, col: str, sums: dict[str, Column], skip_unusable: bool, by: list[str] | None = None) -> DataFrame:
+    """One stored row per distinct value (of each ``by``). Rows without a usable value are skipped or an error."""
     added = [F.sum(e).alias(name) for name, e in sums.items()]
-    table = as_table(df.groupBy(col).agg(*added, F.count(F.lit(1)).alias(_ROWS)), "totals")
+    table = as_table(df.groupBy(*(by or []), col).agg(*added, F.count(F.lit(1)).alias(_ROWS)), "totals")
     unusable = F.col(col).isNull() | F.isnan(col)
     if not skip_unusable:
         lost = table.where(unusable).agg(F.sum(_ROWS)).first()[0]
@@ -49,24 +49,33 @@ def _in_buckets(grouped: DataFrame, col: str, buckets: int | None) -> DataFrame:
     return Bucketizer(splits=splits, inputCol=col, outputCol=_BUCKET).transform(grouped)
 
 
-def value_totals(df: DataFrame, col: str, sums: dict[str, Column], buckets: int | None = None) -> DataFrame:
+def value_totals(
+    df: DataFrame, col: str, sums: dict[str, Column], buckets: int | None = None, by: str | None = None
+) -> DataFrame:
     """One row per distinct value with its sums, and the running sums ``cum_*`` up to it.
 
-    The rows are read once. A value held by most rows costs one row. Null or NaN is an error.
+    The rows are read once. A value held by most rows costs one row. Null or NaN is an error. With
+    ``by``, totals run within each of its few values, all in the same passes.
     """
-    rows = _in_buckets(_grouped(df, col, sums, skip_unusable=False), col, buckets)
-    totals = rows.groupBy(_BUCKET).agg(*[F.sum(name).alias(name) for name in sums]).orderBy(_BUCKET)
-    per_bucket = totals.collect()
-    before = {name: [0, *accumulate(r[name] for r in per_bucket)] for name in sums}
-    offsets = df.sparkSession.createDataFrame(
-        [(r[_BUCKET], *[before[name][i] for name in sums]) for i, r in enumerate(per_bucket)],
-        totals.toDF("_b", *[f"_before_{n}" for n in sums]).schema,
-    )
-    inside = Window.partitionBy(_BUCKET).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+    keys = [by] if by else []
+    rows = _in_buckets(_grouped(df, col, sums, False, keys), col, buckets)
+    totals = rows.groupBy(*keys, _BUCKET).agg(*[F.sum(name).alias(name) for name in sums])
+    before, offsets = {}, []
+    for r in totals.orderBy(*keys, _BUCKET).collect():
+        of = tuple(r[k] for k in keys)
+        so_far = before.get(of, [0] * len(sums))
+        offsets.append((*of, r[_BUCKET], *so_far))
+        before[of] = [x + r[name] for x, name in zip(so_far, sums)]
+    renamed = totals.toDF(*[f"_of_{k}" for k in keys], "_b", *[f"_before_{n}" for n in sums])
+    table = df.sparkSession.createDataFrame(offsets, renamed.schema)
+    inside = Window.partitionBy(*keys, _BUCKET).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col(_BUCKET) == F.col("_b")
+    for k in keys:
+        same &= F.col(k) == F.col(f"_of_{k}")
     return (
         rows.withColumns({f"cum_{n}": F.sum(n).over(inside) for n in sums})
-        .join(offsets, F.col(_BUCKET) == F.col("_b"))
-        .select(col, *sums, *[(F.col(f"cum_{n}") + F.col(f"_before_{n}")).alias(f"cum_{n}") for n in sums])
+        .join(table, same)
+        .select(*keys, col, *sums, *[(F.col(f"cum_{n}") + F.col(f"_before_{n}")).alias(f"cum_{n}") for n in sums])
     )
 
 

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from keepline.operators.evaluate import (
-    class_report, compare_models, confusion_matrix, evaluate, roc_auc, roc_comparison, roc_curve,
-    threshold_metrics, with_prediction,
+    class_report, compare_models, confusion_matrix, evaluate, evaluate_models, roc_auc,
+    roc_comparison, roc_curve, threshold_metrics, with_prediction,
 )
 from keepline.plans.reports import append_section, markdown, model_report
 
@@ -106,3 +106,19 @@ def test_rows_without_a_score_are_an_error(spark):
     for use in (lambda: evaluate(rows, "m", "p", "y"), lambda: roc_curve(rows, "p", "y"), lambda: roc_auc(rows, "p", "y")):
         with pytest.raises(ValueError, match="2 rows"):
             use()
+
+
+def test_several_models_in_the_same_passes(spark):
+    """As one by one, with ties and over several buckets; the scores are grouped and stored once."""
+    rng = np.random.default_rng(8)
+    rows = [(float(rng.integers(0, 40)) / 40, float(rng.random()), int(rng.random() < 0.3)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "p double, q double, y int").repartition(4)
+    for buckets in (None, 1, 7):
+        both = evaluate_models(df, {"one": "p", "two": "q"}, "y", buckets=buckets)
+        alone = evaluate(df, "one", "p", "y").unionByName(evaluate(df, "two", "q", "y"))
+        assert sorted(map(tuple, both.collect())) == sorted(map(tuple, alone.collect()))
+        assert both.columns == alone.columns
+    assert evaluate_models(df.where("p > 1"), {"one": "p", "two": "q"}, "y").count() == 0
+    lost = spark.createDataFrame([(0.9, None, 1), (0.2, 0.1, 0)], "p double, q double, y int")
+    with pytest.raises(ValueError, match="1 rows"):
+        evaluate_models(lost, {"one": "p", "two": "q"}, "y")
