@@ -4,16 +4,21 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from keepline.operators.boost import BoostedTrees
 from keepline.operators.explain import (
     as_map, customer_features, explain, extreme_customers, feature_means, global_importance,
     largest_contributions, linear_contributions, linear_margins, risk_hint, total_contribution, waterfall,
 )
 from keepline.operators.score import coefficient_frame, linear_score, score
 from keepline.operators.train import train_boosted
-from keepline.operators.tree_shap import node_table, read_nodes, sample_contributions, tree_contributions, tree_tables
+from keepline.operators.tree_shap import (
+    chunks_of, node_table, read_nodes, sample_contributions, tree_contributions, tree_tables,
+)
+from keepline.session import as_table
 
 FEATURES = ["a", "b", "c", "d"]
 
@@ -61,7 +66,6 @@ def brute_shapley(nodes, x):
 
 @pytest.mark.parametrize("depth", [2, 4, 10])
 def test_tree_contributions_are_shapley_values(spark, rows, depth):
-    """Depth 10 leaves the tabulated range and takes the per-pattern way."""
     model = train_boosted(rows, FEATURES, "y", maxIter=3, maxDepth=depth, stepSize=0.3)
     nodes = node_table(model, spark)
     explained = tree_contributions(score(model, rows), model, nodes)
@@ -79,6 +83,91 @@ def test_tree_contributions_are_shapley_values(spark, rows, depth):
     assert gap < 1e-9
 
 
+KINDS = "treeID int, weight double, id int, prediction double, cover double, left int, right int, feature int, threshold double, n_categories int"
+
+
+def grown(rng, n_leaves: int, n_features: int, tree: int = 0, balanced: bool = False) -> list[tuple]:
+    """A random tree as rows of a node table; unbalanced trees have long paths."""
+    split, children, open_ = {}, {}, [0]
+    while len(open_) < n_leaves:
+        i = open_.pop(0 if balanced else -1 if rng.random() < 0.7 else int(rng.integers(len(open_))))
+        split[i] = (int(rng.integers(n_features)), float(np.round(rng.normal(), 2)))
+        children[i] = (len(split) * 2 - 1, len(split) * 2)
+        open_ += children[i]
+    cover = {i: float(rng.integers(1, 50)) for i in open_}
+    for i in sorted(children, reverse=True):
+        cover[i] = cover[children[i][0]] + cover[children[i][1]]
+    value = rng.normal(size=len(cover))
+    return [
+        (tree, 0.5, i, float(value[i]), cover[i], *children.get(i, (-1, -1)), *split.get(i, (-1, None)), -1)
+        for i in sorted(cover)
+    ]
+
+
+def margins(nodes: list[tuple], x) -> float:
+    trees, total = {}, 0.0
+    for n in nodes:
+        trees.setdefault(n[0], {})[n[2]] = n
+    for t in trees.values():
+        n = t[0]
+        while n[5] >= 0:
+            n = t[n[5] if x[n[7]] <= n[8] else n[6]]
+        total += n[3]
+    return total
+
+
+def longest_path(nodes) -> int:
+    """Different features on one path, from the tables."""
+    return max(int(t.used.max()) for t in nodes)
+
+
+@pytest.mark.parametrize("chunk_nodes", [200_000, 30])
+def test_long_paths_are_shapley_values(spark, chunk_nodes):
+    """Paths over twelve features, beyond what is tabulated, in one chunk of trees and in several."""
+    rng = np.random.default_rng(8)
+    names = [f"x{i}" for i in range(12)]
+    rows = [r for t in range(2) for r in grown(rng, 40, 12, t)]
+    nodes = spark.createDataFrame(rows, KINDS)
+    tables, _ = tree_tables(nodes)
+    assert longest_path(tables) >= 11 and any(t.table is None for t in tables)
+    x = rng.normal(size=(3, 12))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, " + ", ".join(f"{n} double" for n in names))
+    assert len(chunks_of(nodes, chunk_nodes)) == (1 if chunk_nodes > 200 else 2)
+    got = tree_contributions(df, BoostedTrees(names, [], []), nodes, chunk_nodes=chunk_nodes).orderBy("id").collect()
+    cached = {}
+    tree = {t: {n["id"]: n for n in nodes.collect() if n["treeID"] == t} for t in range(2)}
+
+    def v(i, known):
+        if (i, known) not in cached:
+            cached[i, known] = sum(expected_value(t, 0, x[i], known) for t in tree.values())
+        return cached[i, known]
+
+    for i, r in enumerate(got):
+        assert abs(r["base_value"] - v(i, frozenset())) < 1e-9
+        for f in range(12):
+            rest = [j for j in range(12) if j != f]
+            want = sum(
+                math.factorial(k) * math.factorial(11 - k) / math.factorial(12)
+                * (v(i, frozenset(s) | {f}) - v(i, frozenset(s)))
+                for k in range(12) for s in itertools.combinations(rest, k)
+            )
+            assert abs(r["contributions"][f]["contribution"] - want) < 1e-9
+
+
+def test_models_of_any_size_add_up(spark):
+    """A tree of 262,143 nodes beside small ones: nothing is refused, contributions add up to the margin."""
+    rng = np.random.default_rng(9)
+    names = [f"x{i}" for i in range(12)]
+    rows = [r for t, n in enumerate([5, 2**17, 9]) for r in grown(rng, n, 12, t, balanced=True)]
+    nodes = as_table(spark.createDataFrame(pd.DataFrame(rows, columns=[k.split()[0] for k in KINDS.split(", ")]), KINDS), "nodes")
+    assert len(chunks_of(nodes)) == 3
+    x = rng.normal(size=(20, 12))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, " + ", ".join(f"{n} double" for n in names))
+    for r in tree_contributions(df, BoostedTrees(names, [], []), nodes).collect():
+        total = r["base_value"] + sum(c["contribution"] for c in r["contributions"])
+        assert abs(total - margins(rows, x[r["id"]])) < 1e-8
+
+
 def test_tables_follow_the_tree_depth(spark, rows):
     shallow = train_boosted(rows, FEATURES, "y", maxIter=1, maxDepth=2)
     deep = train_boosted(rows, FEATURES, "y", maxIter=1, maxDepth=0)
