@@ -9,15 +9,16 @@ from pyspark.sql import SparkSession
 
 from keepline.plans import runs
 
-STEPS = ("verify", "explore", "prepare", "baseline", "boosted", "attribute", "decide")
+STEPS = ("verify", "batch", "explore", "prepare", "baseline", "boosted", "attribute", "decide", "customer")
 
 
 def arguments(argv: list[str]) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="keepline", description="Churn analytics and retention decisions")
     parser.add_argument("step", choices=STEPS)
-    parser.add_argument("--input", help="raw customer file (verify, explore, prepare)")
+    parser.add_argument("--input", help="raw customer file (verify, batch, explore, prepare)")
     parser.add_argument("--workspace", help="folder for stored tables and models")
-    parser.add_argument("--run-id", default="run", help="name of a decision run")
+    parser.add_argument("--run-id", default="run", help="name of a decision run, or of a batch")
+    parser.add_argument("--customer", help="key of the customer to show")
     parser.add_argument("--test", action="store_true", help="trial mode: only the first customers")
     parser.add_argument("--size", type=int, default=10, help="customers in trial mode")
     return parser.parse_args(argv)
@@ -30,6 +31,11 @@ def main(argv: list[str] | None = None) -> None:
         for name, table in runs.verify(spark, args.input).items():
             print(name)
             table.show(30, truncate=False)
+    elif args.step == "batch":
+        for table in runs.note_batch(spark, args.input, args.workspace, args.run_id).values():
+            table.show(50, truncate=False)
+    elif args.step == "customer":
+        runs.customer(spark, args.workspace, args.run_id, args.customer).show(truncate=False)
     elif args.step == "explore":
         for name, table in runs.explore(spark, args.input, args.workspace).items():
             print(name)

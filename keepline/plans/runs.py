@@ -1,17 +1,20 @@
 """Whole jobs: files in, files out. Each step reads what an earlier step has stored.
 
 A workspace folder holds ``features`` (by split), ``params``, ``models``, ``metrics``, ``eda``,
-``attributions``, ``prompts``, ``outcomes``, ``log``, ``risk``, ``summaries`` and ``reports``.
+``attributions``, ``prompts``, ``answers``, ``outcomes``, ``log``, ``risk``, ``lookup``, ``summaries``,
+``batches`` and ``reports``.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keepline.operators.batches import add_batch, profile_of, rates_of
 from keepline.operators.boost import GRID, SAMPLE, BoostedTrees, load_trees, save_trees, tune_trees
 from keepline.operators.clean import binary_target, coerce_numeric, fit_medians, impute
 from keepline.operators.decide import CONFIG, contract_from_one_hot
@@ -30,13 +33,15 @@ from keepline.operators.train import (
 )
 from keepline.operators.tree_shap import tree_contributions
 from keepline.plans.decisions import flagged_decisions, idle_outcomes, sent_outcomes, with_texts
-from keepline.plans.marts import risk_table, score_summary
+from keepline.plans.marts import customer_detail, risk_table, score_summary
 from keepline.plans.preprocess import SCALED, Prepared, preprocess
 from keepline.plans.reports import RunReport, markdown, model_report, run_report, write_page
 from keepline.roles import TELCO, DecisionConfig, Roles
 from keepline.session import as_table
+from keepline.sources.answers import answer
 from keepline.sources.artefacts import load_params, save_model, save_params
 from keepline.sources.customers import CSV_OPTIONS, read_checked, read_customers, read_features, write_features
+from keepline.sources.keyed import look_up, open_keyed, store_keyed, store_ranges
 from keepline.sources.log import replace_partition, replace_run
 
 BASELINE, BOOSTED = "Logistic Regression", "Boosted Trees"
@@ -52,6 +57,15 @@ def verify(spark: SparkSession, path: str, roles: Roles = TELCO) -> dict[str, Da
     }
 
 
+def note_batch(spark: SparkSession, path: str, workspace: str, batch: str, roles: Roles = TELCO) -> dict[str, DataFrame]:
+    """Adds one file's profile to those of earlier batches, which are not read again; the profile of all."""
+    raw = coerce_numeric(read_customers(spark, path), list(roles.text_numeric))
+    rows = as_table(binary_target(raw, roles.target, roles.positive, roles.label), "batch")
+    folder = f"{workspace}/batches"
+    add_batch(rows, folder, batch, ["Contract", "InternetService", "PaymentMethod"], roles.label)
+    return {"columns": profile_of(spark, folder), "rates": rates_of(spark, folder)}
+
+
 def explore(spark: SparkSession, path: str, workspace: str, roles: Roles = TELCO) -> dict[str, DataFrame]:
     """The exploratory tables, stored under ``eda``."""
     raw = coerce_numeric(read_customers(spark, path), list(roles.text_numeric))
@@ -97,7 +111,8 @@ def _assess(spark: SparkSession, workspace: str, model: PipelineModel | BoostedT
     """Scores of the test side, scored once, and every evaluation table from them."""
     test = read_features(spark, f"{workspace}/features", "test")
     folder = f"{workspace}/metrics/{name.replace(' ', '_').lower()}"
-    scored = _store(score(model, test).select(roles.key, roles.label, "churn_prob"), f"{folder}/scores")
+    scores = score(model, test).select(roles.key, roles.label, "churn_prob")
+    scored = store_keyed(scores, f"{folder}/scores", roles.key)  # joined with other models' scores
     predicted = with_prediction(scored, "churn_prob")
     _store(confusion_matrix(predicted, roles.label), f"{folder}/confusion")
     _store(class_report(predicted, roles.label), f"{folder}/classes")
@@ -141,8 +156,8 @@ def fit_boosted(
     comparison = _store(model_report(both, BASELINE, BOOSTED), f"{workspace}/metrics/comparison")
     shown = comparison.orderBy("ordinal").drop("ordinal")
     write_page(spark, markdown(f"{BOOSTED} against {BASELINE}", shown), f"{workspace}/reports/boosted")
-    scores = spark.read.parquet(f"{workspace}/metrics/boosted_trees/scores").withColumnRenamed("churn_prob", "boosted")
-    other = spark.read.parquet(f"{base}/scores").select(roles.key, F.col("churn_prob").alias("baseline"))
+    scores = open_keyed(spark, f"{workspace}/metrics/boosted_trees/scores").withColumnRenamed("churn_prob", "boosted")
+    other = open_keyed(spark, f"{base}/scores").select(roles.key, F.col("churn_prob").alias("baseline"))
     curves = roc_comparison(
         scores.join(other, roles.key), {BOOSTED: "boosted", BASELINE: "baseline"}, roles.label
     )
@@ -211,6 +226,7 @@ def run_decisions(
     outcomes = spark.read.parquet(f"{workspace}/outcomes/run_id={run_id}")
     risk = risk_table(scored, roles.key, roles.label, cfg=cfg)
     replace_partition(risk, f"{workspace}/risk", run_id, "csv", **CSV_OPTIONS)
+    store_ranges(risk, f"{workspace}/lookup/{run_id}", roles.key)
     replace_partition(score_summary(scored, cfg=cfg), f"{workspace}/summaries", run_id, "parquet")
     report = run_report(outcomes, scored)
     places = {"Outcomes": f"outcomes/run_id={run_id}", "Risk table": f"risk/run_id={run_id}", "Message log": f"log/run_id={run_id}"}
@@ -229,3 +245,19 @@ def run_decisions(
     )
     write_page(spark, page, f"{workspace}/reports/{run_id}")
     return report, page
+
+
+def write_messages(
+    spark: SparkSession, workspace: str, run_id: str, make_writer: Callable[[], Callable[[str], str]], roles: Roles = TELCO
+) -> DataFrame:
+    """Texts (key, text) for the stored message prompts of a run, for `run_decisions`.
+
+    Answers are kept under ``answers`` as they come: started again, only open prompts are asked.
+    """
+    prompts = spark.read.parquet(f"{workspace}/prompts/{run_id}/messages")
+    return answer(prompts, roles.key, f"{workspace}/answers/{run_id}", make_writer)
+
+
+def customer(spark: SparkSession, workspace: str, run_id: str, value, roles: Roles = TELCO) -> DataFrame:
+    """One customer's header line of a run, from the one file that holds the customer."""
+    return customer_detail(look_up(spark, f"{workspace}/lookup/{run_id}", roles.key, value), roles.key, value)

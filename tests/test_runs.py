@@ -26,6 +26,10 @@ def test_steps(spark, workspace):
     assert runs.verify(spark, raw)["balance"].count() == 2
     assert runs.explore(spark, raw, workspace)["rates"].count() == 3 + 3 + 4 + 1
 
+    noted = runs.note_batch(spark, raw, workspace, "b1")
+    assert noted["rates"].count() == 11
+    assert {r["n_rows"] for r in noted["columns"].collect()} == {3100}
+
     ready = runs.prepare(spark, raw, workspace)
     counts = {r["split"]: r["count"] for r in ready.features.groupBy("split").count().collect()}
     assert counts == {"train": 2400, "test": 600}
@@ -61,7 +65,10 @@ def test_steps(spark, workspace):
     replies = unclear.select("customerID", F.lit("support_issue").alias("reply"))
     messages = spark.read.parquet(f"{workspace}/prompts/r1/messages")
     assert messages.count() == n_flagged
-    texts = messages.select("customerID", F.lit("Subject: Hello\n\nHi").alias("text"))
+    texts = runs.write_messages(spark, workspace, "r1", lambda: (lambda prompt: "Subject: Hello\n\nHi"))
+    assert texts.count() == n_flagged
+    one = runs.customer(spark, workspace, "r1", messages.first()["customerID"]).collect()
+    assert len(one) == 1 and one[0]["churn_probability"].endswith("%")
     runs.run_decisions(spark, workspace, "r1", replies=replies, texts=texts)
     again = read_log(spark, f"{workspace}/log")
     assert again.count() == n_flagged
