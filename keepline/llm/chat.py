@@ -97,7 +97,8 @@ def format_chats(
     Turns are ordered by turn, then role, then text; a null turn comes first. Null roles and texts
     are empty. Repeated rows are turns of their own. Rows without an id are one conversation. Roles
     and texts may hold anything, control strings included. One conversation is one row, so it has to
-    fit in memory; no more than that meets in a task.
+    fit in memory; no more than that meets in a task. No rows give no rows; only the four columns are
+    looked at.
     """
     rows = turns.select(
         turns[id_col].alias("conv"),

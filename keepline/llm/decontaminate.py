@@ -97,7 +97,8 @@ def decontaminate(
     word in `one_in` is. `original` is a struct of all columns of docs, whatever their names; `items`
     the sorted ids, as strings, of the items found; `cleaned` the text without the hit words and what
     follows each up to the next word. Null and empty texts have no words and are never contaminated.
-    Repeated rows are treated alike. Rows without an id are checked too. No benchmark: no hits.
+    Repeated rows are treated alike. Rows without an id are checked too. No benchmark: no hits; no
+    documents: no rows. Items of equal id are one item. Texts of any length are checked whole.
     """
     windows = stored(item_windows(benchmark, item_col, item_text_col, width))
     by_width = windows.groupBy("width").agg(F.sum(F.length("window") + 40 + 16 * F.size("items")).alias("bytes")).collect()

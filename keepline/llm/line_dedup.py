@@ -107,7 +107,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(`original`, `n_lines`, `n_dropped`, `kept`) for every row of docs.
 
     `original` is a struct with all columns of docs, whatever their names. `kept` is the text left:
-    the lines that stay, joined by line feeds. A null or empty text is one empty line.
+    the lines that stay, joined by line feeds. A null or empty text is one empty line. Ids may be negative.
+    Rows that share an id are one document: none of its lines goes because of the other row. Rows
+    without an id keep all lines. Of equal lines in one document all stay or all go.
+    A text is held whole as the array of its lines. No rows give no rows.
     """
     bitmaps = drop_bitmaps(docs, id_col, text_col, **options)
     rows = docs.select(

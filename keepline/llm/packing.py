@@ -124,6 +124,8 @@ def pack(
     about `block` by the hash of their id, so no source gathers in one block, and each block is
     packed by itself, largest first. A block that repeated ids make larger is packed in parts of
     twice that many. A null source conflicts with nothing. Repeated rows are packed each, as copies.
+    Pieces of equal size go in the order of id, place in the document and source. Null ids are like others, no rows give no
+    rows, and only the three columns are looked at.
     """
     kind = type_of(docs, id_col)
     # inline, not the fields of a struct: each text is then cut into words only once

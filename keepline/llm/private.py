@@ -208,7 +208,9 @@ def find_private(
     `base` has the spans of the patterns (kind, start, end), `terms` those of the disclosing words
     anywhere in the same text (start, end, share), each once and sorted; offsets count code points. `version` is the hash of
     the text. A null text is empty. Repeated rows and null ids are treated like others; copies of a text
-    count as one text. A value needs no number of texts; `support` is the weight of the smoothing.
+    count as one text. A value needs no number of texts; `support` is the weight of the smoothing. Values
+    that overlap are all listed; of a word's shares the largest is given. No rows give no rows, only the two
+    columns are looked at, and texts of any length are searched whole, in linear time.
     """
     rows = stored(found(docs, id_col, text_col, near))
     shares = disclosing(docs, rows, text_col, support, least, most_bytes)

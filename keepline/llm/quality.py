@@ -244,7 +244,9 @@ def quality_rules(
     """(id, *COUNTS, anomaly, base_failed, kept), one row per row of docs, with a null id or not.
 
     kept is false if the base rules fail or the anomaly score reaches the calibrated cut. A null text
-    has no words and fails. Repeated rows get the same verdict. Empty docs give an empty result.
+    has no words and fails. Repeated rows get the same verdict. Empty docs give an empty result. A score
+    equal to the cut goes, so documents of equal counts share their fate. Only the id and the text are
+    looked at; texts of any length are counted whole, one at a time.
     """
     counts = stored(rule_counts(docs, id_col, text_col))
     rows = scored(counts, fit_forest(counts, trees, sample, seed))

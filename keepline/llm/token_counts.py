@@ -139,6 +139,8 @@ def token_counts(
     Words are cut at ASCII white space; each, with `before` and `after` added, is matched greedily
     against the pieces. Null and empty texts have neither words nor tokens; repeated rows and null
     ids are counted like others. The vocabulary, of bounded size, is read on the driver and broadcast.
+    No rows give no rows; only the two columns are looked at; a text of any length is counted whole. Of
+    pieces that match at one place the longest is taken, so ties don't arise.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(Automaton(pieces, inner)))
     schema = T.StructType(

@@ -70,3 +70,11 @@ def test_odd_rows(odd_docs):
 def test_empty_table(no_docs):
     assert dedup_lines(no_docs).count() == 0
     assert drop_bitmaps(no_docs).agg(F.count("*")).first()[0] == 0
+
+
+def test_negative_ids_come_first(spark):
+    line = "the same line of text"
+    rows = [(i, f"{line}\nonly {i} has this line") for i in (3, -5, 0, -9, 12)]
+    got = result(dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in got} == by_hand(rows)
+    assert [r.doc_id for r in got if r.n_dropped == 0] == [-9]

@@ -150,3 +150,15 @@ def test_words_with_other_numbers_are_counted_alike(spark):
     got = {r["doc_id"]: r for r in P.find_private(docs).collect()}
     text = rows[-1][1]
     assert {text[t["start"] : t["end"]] for t in got[400]["terms"]} == {"write", "levelⅣx", "km²km"}
+
+
+def test_a_very_long_text_is_searched_whole(spark):
+    """Two million characters with values at both ends, and a telling word a million characters from them."""
+    common = "plain words go on here "
+    text = "at@the.start.org " + common * 45_000 + "Quentinius " + common * 45_000 + "+1 (234) 567-8901"
+    rows = [(i, f"{common} and text number{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(600)] + [(600, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in P.find_private(docs).collect()}
+    assert [(s.kind, text[s.start : s.end]) for s in got[600].base] == [(0, "at@the.start.org"), (3, "+1 (234) 567-8901")]
+    assert [text[s.start : s.end] for s in got[600].terms] == ["Quentinius"]
+    assert not any(r.terms or r.base for i, r in got.items() if i != 600)
