@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import time
@@ -7,6 +8,7 @@ import time
 from pyspark.sql import functions as F
 
 from keepline.llm import private as P
+from keepline.llm import queries as Q
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -162,3 +164,20 @@ def test_a_very_long_text_is_searched_whole(spark):
     assert [(s.kind, text[s.start : s.end]) for s in got[600].base] == [(0, "at@the.start.org"), (3, "+1 (234) 567-8901")]
     assert [text[s.start : s.end] for s in got[600].terms] == ["Quentinius"]
     assert not any(r.terms or r.base for i, r in got.items() if i != 600)
+
+
+def test_query_counts_the_spans_of_each_kind(spark, tmp_path):
+    texts = {
+        1: "4111 1111 1111 1111 and 1.2.3.4 5.6.7.8 at a@b.org",
+        2: "+1 (234) 567-8901, +1 (234) 567-8902 and 1.2.3.4",
+        3: "a@b.org c@d.org e@f.org",
+        4: None,
+        5: "nothing",
+    }
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in Q.QUERIES["op8_private"](spark, str(tmp_path)).collect()}
+    for i, text in texts.items():
+        spans = by_pattern(text or "")
+        assert [got[i][f"n_{k}"] for k in P.KINDS[:4]] == [sum(k == j for k, _, _ in spans) for j in range(4)]
+        listed = ",".join(f"{P.KINDS[k]}:{s}:{e}" for k, s, e in spans)
+        assert got[i]["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
