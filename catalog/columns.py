@@ -146,9 +146,9 @@ def _(spark, sf):
     return filter_risk(risk(spark, sf), KEY, True, 0.7, "MonthlyCharges")
 
 
-@query("b12_filter_log", sql("SELECT user_id, churn_prob, email_subject AS subject FROM outcomes WHERE risk_type = 'support_issue' AND action = 'email_sent'"))
+@query("b12_filter_log", sql("SELECT user_id, churn_prob, email_subject AS subject FROM outcomes WHERE risk_type = 'support_issue'"))
 def _(spark, sf):
-    return filter_log(records(spark, sf), "support_issue").select("user_id", "churn_prob", "subject")
+    return filter_log(records(spark, sf, pending=True), "support_issue").select("user_id", "churn_prob", "subject")
 
 
 @query("b13_limit_users", sql("SELECT customerID, churn_prob FROM scored ORDER BY customerID LIMIT 10"))

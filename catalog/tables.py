@@ -119,10 +119,11 @@ def _(spark, sf):
     return total.select((F.col("n") + n.scalar()).alias("n_rows"), n.scalar().alias("n_damaged"), "tenure")
 
 
-def records(spark, sf):
-    """Log records of the customers with a written message, stamped with their snapshot date."""
+def records(spark, sf, pending=False):
+    """Log records of the customers with a written message, stamped with their snapshot date; with
+    ``pending`` also of those whose message is yet to be written."""
     ready = decisions(spark, sf).join(texts(spark, sf), KEY, "left")
-    return message_records(ready, KEY, stamp=F.date_format("as_of", "yyyy-MM-dd'T'HH:mm:ss"))
+    return message_records(ready, KEY, stamp=F.date_format("as_of", "yyyy-MM-dd'T'HH:mm:ss"), pending=pending)
 
 
 _LOGGED = (

@@ -203,3 +203,13 @@ def test_flags_levels_contract(spark):
     answers = spark.createDataFrame([(" Support.\n",), ("no",), (None,)], "r string")
     kinds = answers.select(classify_reply(F.col("r")).alias("k")).collect()
     assert [r["k"] for r in kinds] == ["support_issue", "disengagement", "disengagement"]
+
+
+def test_pending_records(spark):
+    rows = spark.createDataFrame(
+        [(1, 0.9, "support_issue", 10, True, ["a"], "s", "Subject: Hi\nbody"), (2, 0.8, "support_issue", 0, False, ["a"], "s", None), (3, 0.8, "x", 0, False, ["a"], "s", " ")],
+        "id long, churn_prob double, risk_type string, discount_pct int, eligible boolean, reasons array<string>, strategy string, text string",
+    )
+    got = {r["user_id"]: (r["subject"], r["body"], r["status"]) for r in message_records(rows, "id", pending=True).collect()}
+    assert got == {1: ("Hi", "body", "simulated"), 2: (None, None, "pending"), 3: (None, None, "pending")}
+    assert message_records(rows, "id").count() == 1
