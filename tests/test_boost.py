@@ -171,3 +171,39 @@ def test_learns_the_planted_signal(spark):
     from test_train import auc
 
     assert auc(score(model, ready.features.where("split = 'test'"))) > 0.75
+
+
+def test_all_rows_are_fitted_from_blocks_without_writing_them_again(spark, rows, monkeypatch):
+    """Blocks of few rows in many partitions give the trees of one task; renewed margins cost no table."""
+    names, edges = FEATURES, boost.bin_edges(rows, FEATURES, 16)
+    table = boost.binned_rows(rows.repartition(5), names, "y", "weight", edges)
+    params = boost.TreeParams(trees=5, depth=3, rows=0.8)
+    alone = boost.fit_on(table, names, edges, params)
+    monkeypatch.setattr(boost, "SETTLED", 2)
+    monkeypatch.setattr(boost, "BLOCK", 1)
+    monkeypatch.setattr(boost, "FEW_PARTS", 1)
+    monkeypatch.setattr(boost, "as_table", lambda df, name: pytest.fail(f"{name} are written"))
+    together = boost.fit_on(table, names, edges, params, in_task=0)
+    for a, b in zip(alone.trees, together.trees, strict=True):
+        assert a.n.tolist() == b.n.tolist() and np.allclose(a.value, b.value) and np.allclose(a.gain, b.gain)
+
+
+@pytest.mark.parametrize("depth", [0, 1, 4, 9])
+def test_paths_of_small_and_large_trees(depth):
+    rng = np.random.default_rng(depth)
+    bins = rng.integers(0, 256, (500, 3)).astype(np.uint8)
+    feature, split, left = [-1], [0], [-1]
+    for _ in range(150 if depth == 9 else 20):
+        node = rng.choice(np.flatnonzero(np.array(feature) < 0))
+        feature[node], split[node], left[node] = int(rng.integers(3)), int(rng.integers(256)), len(feature)
+        feature, split, left = feature + [-1, -1], split + [0, 0], left + [-1, -1]
+    tree = tuple(np.array(x) for x in (feature, split, left))
+    want = []
+    for row in bins:
+        node = 0
+        for _ in range(depth):
+            if feature[node] >= 0:
+                node = left[node] + int(row[feature[node]] > split[node])
+        want.append(node)
+    for order in "CF":
+        assert boost.node_of(tree, np.array(bins, order=order), depth).tolist() == want
