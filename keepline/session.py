@@ -9,6 +9,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Setting -> value as delivered with Spark, value that `sized` puts in its place.
+SIZES = {
+    "spark.sql.codegen.hugeMethodLimit": ("65535", "8000"),
+    "spark.sql.files.maxPartitionBytes": ("134217728b", "32m"),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": ("67108864b", "16m"),
+}
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -38,6 +45,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{base}/keepline/{spark.conf.get('spark.app.id', 'app')}/{name}-{uuid.uuid4().hex}"
 
 
+def sized(spark: SparkSession) -> None:
+    """Settings for tables that are narrow on disk and wide in memory, each only where Spark's own value stands.
+
+    A split of 128 MB of such a table holds millions of rows, and what a task keeps of them while it groups
+    or sorts grows with them; smaller splits and shuffle partitions bound it. Columns beyond 8,000 bytes of byte code are
+    worked out expression by expression: the JVM does not compile a longer method, and interprets it row by row.
+    """
+    for name, (delivered, wanted) in SIZES.items():
+        if spark.conf.get(name, delivered) == delivered:
+            spark.conf.set(name, wanted)
+
+
 def as_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -45,6 +64,7 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     needs the shared folder; without one this is an error.
     """
     spark = df.sparkSession
+    sized(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

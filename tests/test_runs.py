@@ -87,3 +87,18 @@ def test_command_line(spark, workspace, capsys, monkeypatch):
     assert "balance" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         arguments(["nonsense"])
+
+
+def test_task_sizes_follow_the_delivered_values_only(spark):
+    from keepline.session import SIZES, as_table
+
+    limit, splits = "spark.sql.codegen.hugeMethodLimit", "spark.sql.files.maxPartitionBytes"
+    before = {name: spark.conf.get(name) for name in SIZES}
+    try:
+        spark.conf.set(splits, "7m")
+        spark.conf.unset(limit)
+        assert as_table(spark.range(3), "three").count() == 3
+        assert spark.conf.get(splits) == "7m" and spark.conf.get(limit) == "8000"
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
