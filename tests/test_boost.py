@@ -207,3 +207,54 @@ def test_paths_of_small_and_large_trees(depth):
         want.append(node)
     for order in "CF":
         assert boost.node_of(tree, np.array(bins, order=order), depth).tolist() == want
+
+
+def test_features_of_two_bins_are_counted_together(spark, rows):
+    """Bits counted by their joint code give the sums of each alone, and the trees those of one task."""
+    bit = lambda i: (F.shiftright(F.xxhash64("id").cast("long"), i).bitwiseAND(F.lit(1))).cast("int")
+    wide = rows.select("*", *[bit(i).alias(f"bit {i}") for i in range(11)], (-bit(3)).alias("copy"))
+    names = [*FEATURES, *[f"bit {i}" for i in range(11)], "copy"]
+    edges = boost.bin_edges(wide, names, 16)
+    two = boost._two_bins(edges)
+    assert len(two) == 13 and [len(g) for g in boost._joint(two)] == [8, 5]
+    table = boost.binned_rows(wide, names, "y", "weight", edges)
+    data = table.orderBy("row").toPandas()
+    bins = np.array([list(b) for b in data["bins"]], dtype=np.uint8)
+    x = wide.select("id", *[F.col(f"`{n}`") for n in names], F.monotonically_increasing_id().alias("row")).orderBy("row").toPandas()[names].to_numpy(dtype=float)
+    assert np.array_equal(bins, boost.binned(x, edges))
+    rng = np.random.default_rng(1)
+    at, g, h = rng.integers(0, 5, len(bins)), rng.normal(size=len(bins)), rng.random(len(bins))
+    for keep in (None, rng.random(len(bins)) < 0.6):
+        alone, joint = (boost.histograms(bins, at, g, h, [3, 1], 16, keep, j) for j in ((), boost._joint(two)))
+        np.testing.assert_allclose(joint, alone, atol=1e-12)
+    for share in (1.0, 0.7):
+        p = boost.TreeParams(trees=4, depth=3, rows=share)
+        near, far = (boost.fit_on(table, names, edges, p, n) for n in (10_000, 0))
+        for a, b in zip(near.trees, far.trees, strict=True):
+            assert a.n.tolist() == b.n.tolist()
+            np.testing.assert_allclose(a.value, b.value, rtol=1e-9)
+            assert "copy" not in [names[f] for f in b.feature[b.feature >= 0]]
+
+
+def test_blocks_hold_few_bytes(spark, rows):
+    """Bits for features of two bins, labels in a byte, row numbers only where rows are drawn; other labels are kept."""
+    edges = boost.bin_edges(rows, FEATURES, 16)
+    for frame, drawn_rows, size in ((rows, False, 20), (rows, True, 28), (rows.withColumn("y", F.col("y") / 2), False, 27)):
+        table = boost.binned_rows(frame, FEATURES, "y", "weight", edges)
+        blocks = boost._blocks(table, 3, boost._two_bins(edges), drawn_rows)
+        held, opened = blocks.collect(), boost._opened(3, boost._two_bins(edges))
+        assert sum(len(part) for block in held for part in block) == size * 400
+        back = [opened(block) for block in held]
+        want = table.toPandas()
+        assert sorted(np.concatenate([b[1] for b in back]).tolist()) == sorted(want["label"])
+        assert sorted(bytes(r) for b in back for r in np.ascontiguousarray(b[4])) == sorted(bytes(r) for r in want["bins"])
+        blocks.unpersist()
+
+
+def test_two_values_need_no_sketch(rows, monkeypatch):
+    """Two-valued features have the edge their quantiles give, also where one value is rarer than a bin."""
+    rare = rows.select("a", (F.col("id") < 3).cast("int").alias("low"), (F.col("id") >= 3).cast("int").alias("high"), F.lit(7).alias("one"), (F.col("id") % 2).alias("even"))
+    got = boost.bin_edges(rare, rare.columns, 16)
+    assert [e.tolist() for e in got[1:]] == [[0.0], [], [], [0.0]]
+    monkeypatch.setattr(boost, "_two_valued", lambda df, features: {})
+    assert [e.tolist() for e in boost.bin_edges(rare, rare.columns, 16)] == [e.tolist() for e in got]
