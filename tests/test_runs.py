@@ -102,3 +102,24 @@ def test_task_sizes_follow_the_delivered_values_only(spark):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_shuffles_start_with_many_partitions(spark):
+    """A shuffle of a stored table is cut by its size, however few partitions the session asks for."""
+    from keepline.session import FIRST_PARTITIONS, as_table
+
+    advisory, least = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    before = spark.conf.get(advisory)
+    try:
+        spark.conf.unset(FIRST_PARTITIONS[0])
+        table = as_table(spark.range(200_000), "many")
+        spark.conf.set(advisory, "50k")
+        spark.conf.set(least, "10k")
+        assert table.groupBy("id").count().rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.conf.set(FIRST_PARTITIONS[0], "3")
+        as_table(spark.range(3), "few")
+        assert spark.conf.get(FIRST_PARTITIONS[0]) == "3"
+    finally:
+        spark.conf.set(advisory, before)
+        spark.conf.unset(least)
+        spark.conf.unset(FIRST_PARTITIONS[0])
