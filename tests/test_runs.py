@@ -104,22 +104,27 @@ def test_task_sizes_follow_the_delivered_values_only(spark):
             spark.conf.set(name, value)
 
 
-def test_shuffles_start_with_many_partitions(spark):
-    """A shuffle of a stored table is cut by its size, however few partitions the session asks for."""
-    from keepline.session import FIRST_PARTITIONS, as_table
+def test_shuffle_partitions_follow_the_rows(spark):
+    """Few rows leave the session's number, more raise it, and a number set by the caller stands."""
+    from keepline import session
 
     advisory, least = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize"
-    before = spark.conf.get(advisory)
+    first, before = session.FIRST_PARTITIONS, spark.conf.get(advisory)
     try:
-        spark.conf.unset(FIRST_PARTITIONS[0])
-        table = as_table(spark.range(200_000), "many")
-        spark.conf.set(advisory, "50k")
-        spark.conf.set(least, "10k")
-        assert table.groupBy("id").count().rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
-        spark.conf.set(FIRST_PARTITIONS[0], "3")
-        as_table(spark.range(3), "few")
-        assert spark.conf.get(FIRST_PARTITIONS[0]) == "3"
+        session.shuffled(spark, 8 * session.ROWS_A_PARTITION)
+        assert spark.conf.get(first, None) is None
+        session.shuffled(spark, 20 * session.ROWS_A_PARTITION)
+        session.shuffled(spark, 40 * session.ROWS_A_PARTITION)
+        session.shuffled(spark, 30 * session.ROWS_A_PARTITION)
+        assert spark.conf.get(first) == "40"
+        spark.conf.set(advisory, "10k")
+        spark.conf.set(least, "1k")
+        assert spark.range(200_000).groupBy("id").count().rdd.getNumPartitions() > 8
+        spark.conf.set(first, "3")
+        session.shuffled(spark, 40 * session.ROWS_A_PARTITION)
+        assert spark.conf.get(first) == "3"
     finally:
         spark.conf.set(advisory, before)
         spark.conf.unset(least)
-        spark.conf.unset(FIRST_PARTITIONS[0])
+        spark.conf.unset(first)
+        session._first_partitions.clear()
