@@ -119,7 +119,7 @@ def test_shuffle_partitions_follow_the_rows(spark):
         assert spark.conf.get(first) == "40"
         spark.conf.set(advisory, "10k")
         spark.conf.set(least, "1k")
-        assert spark.range(200_000).groupBy("id").count().rdd.getNumPartitions() > 8
+        assert spark.range(200_000).selectExpr("id * 7 % 150000 AS k").groupBy("k").count().rdd.getNumPartitions() > 8
         spark.conf.set(first, "3")
         session.shuffled(spark, 40 * session.ROWS_A_PARTITION)
         assert spark.conf.get(first) == "3"
