@@ -17,7 +17,7 @@ SIZES = {
 }
 
 FIRST_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-ROWS_A_PARTITION = 250_000
+ROWS_A_PARTITION = 1_000_000
 
 _first_partitions: dict[str, str] = {}
 _local_dirs: dict[str, str] = {}

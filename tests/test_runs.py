@@ -128,3 +128,15 @@ def test_shuffle_partitions_follow_the_rows(spark):
         spark.conf.unset(least)
         spark.conf.unset(first)
         session._first_partitions.clear()
+
+
+def test_shuffle_partitions_of_the_panel_stay_few(spark):
+    """One for each million order lines: smaller ones cost time and hardly save memory."""
+    from keepline import session
+
+    try:
+        session.shuffled(spark, 9_999_999)
+        assert spark.conf.get(session.FIRST_PARTITIONS) == "9"
+    finally:
+        spark.conf.unset(session.FIRST_PARTITIONS)
+        session._first_partitions.clear()
