@@ -14,7 +14,7 @@ import __spark_entry__ as entrypoint
 from catalog import base
 from keepline.operators.clean import (
     binary_target, coerce_numeric, drop_exact_duplicates, duplicate_counts, fit_medians, impute,
-    impute_constant, trim_strings,
+    impute_constant, store_distinct, trim_strings,
 )
 from keepline.operators.eda import correlation, histogram, point_density, rate_by, top_level
 from keepline.operators.encode import bools_to_int, fit_levels, map_binary, one_hot
@@ -22,6 +22,7 @@ from keepline.operators.features import engineer, tenure_bucket
 from keepline.operators.profile import class_balance, class_counts, profile, sample_rows
 from keepline.operators.scale import apply_scaler, fit_scaler
 from keepline.plans.marts import filter_log, ordered, risk_type_breakdown, run_summary
+from keepline.plans.preprocess import preprocess
 from keepline.plans.reports import markdown, run_report
 from keepline.session import as_table, pin, shared_dir
 from keepline.sources.customers import (
@@ -156,6 +157,33 @@ def test_features(spark, raw):
     assert "Python" not in plan
 
 
+def test_distinct_rows_of_many(spark):
+    one = [(1, "a", 0.5), (1, "a", 0.5), (1, "b", 0.5), (None, "a", None), (None, "a", None), (2, None, -0.0), (2, None, 0.0)]
+    copied = spark.createDataFrame(one, "k int, `t.x` string, v double")
+    single = spark.range(100).select(F.col("id").cast("int").alias("k"), F.lit("z").alias("t.x"), F.lit(1.5).alias("v"))
+    for rows in (copied, copied.unionByName(single), single, single.where("k < 0"), single.unionByName(single)):
+        want = sorted(map(str, rows.dropDuplicates().collect()))
+        for few in (0, 1_000):
+            got = store_distinct(rows, "distinct", few)
+            assert got.dtypes == rows.dtypes and sorted(map(str, got.collect())) == want
+
+
+def test_scaler_over_tasks_and_nulls(spark):
+    x = np.random.default_rng(3).normal(1e6, 1e-2, 1_000)
+    rows = spark.createDataFrame([(float(v), 0.1, None if i % 3 else i, None) for i, v in enumerate(x)], "x double, k double, n int, `no.ne` int")
+    got = {r["feature"]: (r["mean"], r["scale"]) for r in fit_scaler(rows.repartition(7), ["x", "k", "n", "no.ne"]).collect()}
+    some = np.arange(0, 1_000, 3)
+    assert got["k"] == (0.1, 1.0) and got["no.ne"] == (None, None)
+    assert np.allclose(got["x"], (x.mean(), x.std()), rtol=1e-9) and np.allclose(got["n"], (some.mean(), some.std()), rtol=1e-12)
+
+
+def test_only_raw_features_are_stored(spark):
+    ready = preprocess(planted(spark))
+    stored = spark.read.parquet(*ready.features.inputFiles()).columns
+    assert set(ready.names) < set(stored) and not set(ready.scaled_names) & set(stored)
+    assert set(ready.scaled_names) < set(ready.features.columns)
+
+
 def test_scaler_with_constant_column(spark):
     rows = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "x double, k double")
     params = fit_scaler(rows, ["x", "k"])
