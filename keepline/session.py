@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Setting -> value as delivered with Spark, value that `sized` puts in its place.
 SIZES = {
     "spark.sql.codegen.hugeMethodLimit": ("65535", "8000"),
-    "spark.sql.files.maxPartitionBytes": ("134217728b", "32m"),
+    "spark.sql.files.maxPartitionBytes": ("134217728b", "16m"),
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": ("67108864b", "16m"),
 }
 

@@ -104,6 +104,12 @@ def test_task_sizes_follow_the_delivered_values_only(spark):
             spark.conf.set(name, value)
 
 
+def test_splits_of_wide_tables_are_small():
+    from keepline.session import SIZES
+
+    assert SIZES["spark.sql.files.maxPartitionBytes"] == ("134217728b", "16m")
+
+
 def test_shuffle_partitions_follow_the_rows(spark):
     """Few rows leave the session's number, more raise it, and a number set by the caller stands."""
     from keepline import session
