@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepline.operators.batches import add_batch, profile_of, rates_of
-from keepline.operators.boost import GRID, SAMPLE, BoostedTrees, load_trees, save_trees, tune_trees
+from keepline.operators.boost import GRID, BoostedTrees, load_trees, save_trees, tune_trees
 from keepline.operators.clean import binary_target, coerce_numeric, fit_medians, impute
 from keepline.operators.decide import CONFIG, contract_from_one_hot
 from keepline.operators.eda import correlation, histogram, mean_by_class, overview, point_density, rate_by, top_level
@@ -140,7 +140,7 @@ def fit_boosted(
     roles: Roles = TELCO,
     grid: dict[str, tuple] | None = None,
     folds: int = 5,
-    sample: int = SAMPLE,
+    sample: int | None = None,
 ) -> DataFrame:
     """Tuned boosted trees; stores model, tuning table, importances, evaluation and comparison."""
     train = pos_weight(read_features(spark, f"{workspace}/features", "train"), roles.label)
