@@ -98,16 +98,25 @@ def _task_functions():
         return at
 
     def margins(trees: list, bins: np.ndarray, depth: int, start) -> np.ndarray:
-        out, bins = np.zeros(len(bins)) + start, np.asfortranarray(bins)
-        for tree in trees:
-            out += tree[3][node_of(tree, bins, depth)]
+        out, bins, i = np.zeros(len(bins)) + start, np.asfortranarray(bins), 0
+        while i < len(trees):
+            value, node = trees[i][3], node_of(trees[i], bins, depth)
+            if i + 1 < len(trees) and len(value) * len(trees[i + 1][3]) <= 256:  # two small trees by one byte
+                i, other = i + 1, trees[i + 1][3]
+                node = node * np.uint8(len(other)) + node_of(trees[i], bins, depth)
+                value = np.add.outer(value, other).reshape(-1)
+            out += value[node]
+            i += 1
         return out
 
     def slopes(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        p = np.exp(-margin)
-        p += 1.0
-        np.divide(1.0, p, out=p)
-        return weight * (p - label), weight * p * (1.0 - p)
+        g, h = np.empty(len(margin)), np.empty(len(margin))
+        for i in range(0, len(margin), 1 << 14):  # few at once stay in the cache
+            some = slice(i, i + (1 << 14))
+            p = 1.0 / (1.0 + np.exp(-margin[some]))
+            g[some] = weight[some] * (p - label[some])
+            h[some] = weight[some] * p * (1.0 - p)
+        return g, h
 
     def drawn(row: np.ndarray, tree: int, share: float, seed: int) -> np.ndarray:
         """Which rows a tree learns from: a hash of row and tree decides."""
@@ -440,7 +449,7 @@ def _blocks(rows: DataFrame, n_features: int, two: list[int], drawn_rows: bool,
             row, label, weight, margin = (np.ascontiguousarray(table.column(c).to_numpy()) for c in names)
             bins, bits = cut(table.column("bins"), n_features), np.zeros((len(row), n_bytes), dtype=np.uint8, order="F")
             for at, f in enumerate(two):
-                bits[:, at // 8] |= bins[:, f] << np.uint8(at % 8)
+                bits[:, at // 8] |= bins[:, f] * np.uint8(1 << at % 8)
             plain = np.isin(label, (0.0, 1.0)).all()
             values = [row if drawn_rows else row[:0], label.astype(np.uint8) if plain else label, weight, margin]
             values = [*(v.tobytes() for v in values), bins[:, others].tobytes(order="F"), bits.tobytes(order="F")]
@@ -473,7 +482,7 @@ def _opened(n_features: int, two: list[int]) -> Callable:
         for at, f in enumerate(others):
             bins[:, f] = np.frombuffer(wide, np.uint8, n, at * n)
         for at, f in enumerate(two):
-            bins[:, f] = np.frombuffer(bits, np.uint8, n, at // 8 * n) >> np.uint8(at % 8) & np.uint8(1)
+            np.not_equal(np.frombuffer(bits, np.uint8, n, at // 8 * n) & np.uint8(1 << at % 8), 0, out=bins[:, f].view(bool))
         label = np.frombuffer(label, np.uint8 if len(label) == n else float)
         margin = np.frombuffer(margin, float).reshape(-1, n)
         return np.frombuffer(row, np.int64), label, np.frombuffer(weight, float), margin, bins, np.frombuffer(fold, np.int64)
