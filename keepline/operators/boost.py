@@ -98,15 +98,9 @@ def _task_functions():
         return at
 
     def margins(trees: list, bins: np.ndarray, depth: int, start) -> np.ndarray:
-        out, bins, i = np.zeros(len(bins)) + start, np.asfortranarray(bins), 0
-        while i < len(trees):
-            value, node = trees[i][3], node_of(trees[i], bins, depth)
-            if i + 1 < len(trees) and len(value) * len(trees[i + 1][3]) <= 256:  # two small trees by one byte
-                i, other = i + 1, trees[i + 1][3]
-                node = node * np.uint8(len(other)) + node_of(trees[i], bins, depth)
-                value = np.add.outer(value, other).reshape(-1)
-            out += value[node]
-            i += 1
+        out, bins = np.zeros(len(bins)) + start, np.asfortranarray(bins)
+        for tree in trees:
+            out += tree[3][node_of(tree, bins, depth)]
         return out
 
     def slopes(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
